@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import rlz, suffix_dedup
+from . import decontaminate, mixing, rlz, sharding, simhash, suffix_dedup
 
 QUERIES = {
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_substring_dedup": rlz.op4_substring_dedup,
+    "op5_sharding": sharding.op5_sharding,
     "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
+    "op9_mixing_sources": mixing.op9_mixing_sources,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLES = {k: v for m in (rlz,) for k, v in m.ORACLES.items()}
+ORACLES = {k: v for m in (decontaminate, mixing, rlz, sharding) for k, v in m.ORACLES.items()}
