@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, rlz, sharding, simhash, suffix_dedup
+from . import decontaminate, mixing, rlz, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_substring_dedup": rlz.op4_substring_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing_sources": mixing.op9_mixing_sources,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
