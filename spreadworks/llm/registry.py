@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, rlz, sharding, simhash, suffix_dedup, toxicity
+from . import decontaminate, html_extract, license_scan, mixing, rlz, sharding, simhash, suffix_dedup, topk, toxicity
 
 QUERIES = {
+    "op1_html_extraction": html_extract.op1_html_extraction,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_substring_dedup": rlz.op4_substring_dedup,
     "op5_sharding": sharding.op5_sharding,
+    "op6_exact_top_k": topk.op6_exact_top_k,
     "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing_sources": mixing.op9_mixing_sources,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLES = {k: v for m in (decontaminate, mixing, rlz, sharding) for k, v in m.ORACLES.items()}
+ORACLES = {k: v for m in (decontaminate, mixing, rlz, sharding, topk) for k, v in m.ORACLES.items()}
