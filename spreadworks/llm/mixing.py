@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import materialize, prepare, table
 
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
-#: Bits of a bucket, and how often a boundary bucket is refined: 3 x 16 of 48 bits.
-BITS, LEVELS = 16, 3
+#: Bits of a bucket, and levels of buckets: 4 x 12 of 48 bits.
+BITS, LEVELS = 12, 4
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,45 +51,74 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int =
     return rows.select("source", "source_size", F.when(F.col("rate").isNull() | F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("rate")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every row."""
-    prepare(docs.sparkSession)
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"),
-        F.col(f"`{source_col}`").alias("source"),
-        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-    )
-    rows = materialize(rows.withColumn("h", hash48("doc_id")), "sizes")
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
+    """(words, hash, source) columns of docs."""
+    words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORDS)), F.lit(0)).cast("long")
+    return words, hash48(f"`{id_col}`"), F.col(f"`{source_col}`")
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(source, source_size, target, whole, limit) per source: every document whole times, once more if its hash is below limit."""
+    words, h, source = sized(docs, id_col, text_col, source_col)
+    rows = materialize(docs.select(source.alias("source"), words.alias("size"), h.alias("h")), "sizes")
     first = rows.groupBy("source", F.shiftright("h", BITS * (LEVELS - 1)).alias("bucket")).agg(F.sum("size").alias("words"))
     first = materialize(first, "histogram")
     wanted = targets(first.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
     budget = wanted.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     budget = materialize(budget, "targets")
     # under: words below the boundary so far; prefix: the boundary's leading bits
-    bound = budget.select("source", "budget")
-    histogram, state = first, bound.withColumn("under", F.lit(0).cast("long")).withColumn("prefix", F.lit(0).cast("long"))
+    histogram = first
+    state = budget.select("source", "budget", F.lit(0).cast("long").alias("under"), F.lit(0).cast("long").alias("prefix"))
     for level in range(LEVELS):
         if level:
             shift = BITS * (LEVELS - 1 - level)
-            near = rows.join(state.select(F.col("source").alias("s"), "prefix"), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + BITS) == F.col("prefix")))
+            near = rows.join(small(state.select(F.col("source").alias("s"), "prefix")), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + BITS) == F.col("prefix")))
             histogram = near.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
-        run = histogram.join(state.select(F.col("source").alias("s"), "budget", "under"), F.col("source").eqNullSafe(F.col("s")))
+        run = histogram.join(small(state.select(F.col("source").alias("s"), "budget", "under")), F.col("source").eqNullSafe(F.col("s")))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
         run = run.withColumn("upto", F.col("under") + upto).filter("upto > budget")
         ends = run.groupBy("source").agg(F.min(F.struct("bucket", "upto", "words", "budget")).alias("e"))
         state = materialize(ends.select("source", F.col("e.budget").alias("budget"), (F.col("e.upto") - F.col("e.words")).alias("under"), F.col("e.bucket").alias("prefix"), F.col("e.words").alias("words")), "boundary")
     # one hash value is left: it is in if that comes nearer to the budget; no boundary: the budget takes every document
-    limit = state.select(F.col("source").alias("s"), F.when(F.col("under") + F.col("words") - F.col("budget") < F.col("budget") - F.col("under"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("limit"))
-    plan = budget.join(limit, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("k"), "source_size", "target", "whole", F.coalesce("limit", F.lit(1 << 48)).alias("limit"))
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("k")))
-    copies = F.col("whole") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0)
-    copies = F.when(F.col("size") > 0, F.least(copies, F.lit(most))).otherwise(F.least(F.col("whole"), F.lit(most)))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    nearer = F.col("under") + F.col("words") - F.col("budget") < F.col("budget") - F.col("under")
+    limit = state.select(F.col("source").alias("s"), F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("limit"))
+    out = budget.join(limit, F.col("source").eqNullSafe(F.col("s")), "left")
+    return materialize(out.select("source", "source_size", "target", "whole", F.coalesce("limit", F.lit(1 << (BITS * LEVELS))).alias("limit")), "plan")
+
+
+def small(per_source: DataFrame) -> DataFrame:
+    """Broadcast a table of one row per source if it is small (counted: it is a written table); else joins shuffle."""
+    return F.broadcast(per_source) if per_source.count() <= 100_000 else per_source
+
+
+def take(docs: DataFrame, mix_plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefix: str = "mix_") -> DataFrame:
+    """docs with columns mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the row)."""
+    words, h, source = sized(docs, id_col, text_col, source_col)
+    kept = docs.select("*", source.alias(prefix + "source"), words.alias(prefix + "size"), h.alias(prefix + "h"))
+    names = mix_plan.select(*[F.col(c).alias(f"{prefix}p_{c}") for c in mix_plan.columns])
+    out = kept.join(small(names), F.col(prefix + "source").eqNullSafe(F.col(prefix + "p_source")))
+    extra = F.when((F.col(prefix + "size") > 0) & (F.col(prefix + "h") < F.col(prefix + "p_limit")), 1).otherwise(0)
+    return out.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.col(prefix + "size"),
+        F.col(prefix + "p_source_size").alias(prefix + "source_size"),
+        F.col(prefix + "p_target").alias(prefix + "target"),
+        (F.col(prefix + "p_whole") + extra).cast("int").alias(prefix + "copies"),
+    )
 
 
 def op9_mixing_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = take(docs, plan(docs))
+    return found.select(
+        "doc_id",
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
+    )
 
 
 #: The mix of a table d as SQL; hash buckets give the same documents as a running sum in hash order.

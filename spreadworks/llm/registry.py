@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, html_extract, license_scan, mixing, rlz, sharding, simhash, suffix_dedup, topk, toxicity
 
 QUERIES = {
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing_sources": mixing.op9_mixing_sources,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {k: v for m in (decontaminate, mixing, rlz, sharding, topk) for k, v in m.ORACLES.items()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
