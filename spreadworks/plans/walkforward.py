@@ -1,0 +1,54 @@
+"""Whole studies as single jobs: periods, pairs and parameter cells are grouping keys, never driver loops."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import performance, ranking, rolling, simulate
+
+PAIR = ["y", "x"]
+
+
+def simulated(pairs: DataFrame, start: int, step: int, lookback: int, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0) -> DataFrame:
+    """Daily pnl of every pair by block fits and the screener's rules."""
+    rows = rolling.block_z(pairs, start, step, lookback).select(*PAIR, "grp", "t", "date", "block", "beta", "z", "ds")
+    return simulate.screener_pnl(simulate.screener_positions(rows, PAIR, entry, leave, stop), PAIR)
+
+
+def rolling_selection(daily: DataFrame, start: int, length: int, k: int, per_ticker: int = 0) -> DataFrame:
+    """(period, y, x, f_pnl, next_pnl, place, selected): the best k pairs of one period are held in the next."""
+    period = F.floor((F.col("t") - start) / length).cast("int")
+    sums = daily.filter(F.col("t") >= start).groupBy(period.alias("period"), *PAIR).agg(F.sum("pnl").alias("pnl"), F.count_if(F.col("held") != 0).alias("in_market"))
+    formed = sums.select((F.col("period") + 1).alias("period"), *PAIR, F.col("pnl").alias("f_pnl"), "in_market")
+    both = formed.join(sums.select("period", *PAIR, F.col("pnl").alias("next_pnl")), ["period", *PAIR])
+    if per_ticker:
+        return ranking.capped_top_k(both.filter("in_market > 0"), ["period"], "f_pnl", k, per_ticker)
+    rank = ranking.top_k(both.filter("in_market > 0"), ["period"], [F.col("f_pnl").desc(), "y", "x"], 10**9)
+    return rank.withColumn("selected", F.col("place") <= k)
+
+
+def period_summary(selection: DataFrame) -> DataFrame:
+    """Selected against the rest: sums, means, hit rates, names in order."""
+    s = F.col("selected")
+    return selection.groupBy("period").agg(
+        F.count(F.lit(1)).alias("n_pool"), F.count_if(s).alias("n_selected"), F.sum(F.when(s, F.col("next_pnl"))).alias("sel_pnl"), F.sum("next_pnl").alias("all_pnl"),
+        F.avg(F.when(s, F.when(F.col("next_pnl") > 0, 1.0).otherwise(0.0))).alias("sel_hit_rate"), F.avg(F.when(~s, F.when(F.col("next_pnl") > 0, 1.0).otherwise(0.0))).alias("unsel_hit_rate"),
+        F.avg(F.when(s, F.col("f_pnl"))).alias("sel_avg_formation"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(s, F.struct("place", F.concat("y", F.lit("/"), "x").alias("name"))))), lambda p: p["name"]), ", ").alias("names"),
+    )
+
+
+def tuned(pnl: DataFrame, least_trades: int = 1) -> DataFrame:
+    """The best (entry, exit) cell of each pair: highest Sharpe, then most trades."""
+    cells = performance.sharpe_sortino(pnl, [*PAIR, "entry", "exit"], "net")
+    trades = pnl.groupBy(*PAIR, "entry", "exit").agg(F.max("run").alias("n_trades"), F.sum("net").alias("net"))
+    both = cells.join(trades, [*PAIR, "entry", "exit"]).filter(F.col("n_trades") >= least_trades)
+    return ranking.top_k(both, PAIR, [F.col("sharpe").desc_nulls_last(), F.col("n_trades").desc(), "entry", "exit"], 1)
+
+
+def evidence(pairs: DataFrame) -> DataFrame:
+    """robust, watchlist or insufficient, from trades, Sharpe and the share of good blocks."""
+    robust = (F.col("n_trades") >= 5) & (F.col("sharpe") >= 0.5) & (F.col("good_share") >= 0.6)
+    watch = (F.col("n_trades") >= 3) & (F.col("sharpe") > 0)
+    return pairs.withColumn("evidence", F.when(robust, "robust").when(watch, "watchlist").otherwise("insufficient"))
