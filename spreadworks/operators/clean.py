@@ -19,14 +19,15 @@ def dense(panel: DataFrame) -> DataFrame:
 
 
 def drop_sparse(grid: DataFrame, most_missing: float = 0.05) -> DataFrame:
-    kept = grid.groupBy("ticker").agg(F.count("close").alias("n"), F.count(F.lit(1)).alias("all")).filter(F.col("n") >= (1 - most_missing) * F.col("all"))
-    return grid.join(kept.select("ticker"), "ticker", "left_semi")
+    """Tickers present on enough dates: a count over the ticker's rows, no second pass over the grid."""
+    w = Window.partitionBy("ticker")
+    enough = F.count("close").over(w) >= (1 - most_missing) * F.count(F.lit(1)).over(w)
+    return grid.withColumn("_keep", enough).filter("_keep").drop("_keep")
 
 
 def drop_nonpositive(grid: DataFrame) -> DataFrame:
     """Tickers with a price that is not positive go as a whole."""
-    good = grid.groupBy("ticker").agg(F.min("close").alias("low")).filter("low > 0").select("ticker")
-    return grid.join(good, "ticker", "left_semi")
+    return grid.withColumn("_low", F.min("close").over(Window.partitionBy("ticker"))).filter("_low > 0").drop("_low")
 
 
 def forward_fill(grid: DataFrame, column: str = "close", limit: int | None = 3) -> DataFrame:
@@ -35,8 +36,8 @@ def forward_fill(grid: DataFrame, column: str = "close", limit: int | None = 3)
 
 
 def complete_dates(grid: DataFrame) -> DataFrame:
-    full = grid.groupBy("date").agg(F.count("close").alias("n"), F.count(F.lit(1)).alias("all")).filter("n = all").select("date")
-    return grid.join(full, "date", "left_semi")
+    w = Window.partitionBy("date")
+    return grid.withColumn("_full", F.count("close").over(w) == F.count(F.lit(1)).over(w)).filter("_full").drop("_full")
 
 
 def repair_open(rows: DataFrame) -> DataFrame:

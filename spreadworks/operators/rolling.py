@@ -30,8 +30,10 @@ def static_hedge(rows: DataFrame, y: str = "ly", x: str = "lx") -> DataFrame:
 
 
 def static_spread(rows: DataFrame, y: str = "ly", x: str = "lx") -> DataFrame:
-    hedge = static_hedge(rows, y, x).select(F.col("y").alias("_y"), F.col("x").alias("_x"), "alpha", "beta")
-    out = rows.join(hedge, (F.col("y") == F.col("_y")) & (F.col("x") == F.col("_x"))).drop("_y", "_x")
+    """alpha, beta and spread by least squares over all rows of a pair, as windows over the pair: no join back."""
+    w = Window.partitionBy(*KEY)
+    out = rows.withColumn("beta", F.covar_pop(y, x).over(w) / F.nullif(F.var_pop(x).over(w), F.lit(0.0)))
+    out = out.withColumn("alpha", F.avg(y).over(w) - F.col("beta") * F.avg(x).over(w))
     return out.withColumn("spread", F.col(y) - F.col("beta") * F.col(x) - F.col("alpha"))
 
 

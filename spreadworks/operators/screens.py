@@ -24,7 +24,7 @@ def screen(rows: DataFrame, by: list[str], y: str = "ly", x: str = "lx", least:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", " + SCREEN
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         table = table.sort_by("t")
         a, b = table[y].to_numpy(), table[x].to_numpy()
         row: list = [None] * 9 + [None, None, len(a)]

@@ -28,16 +28,19 @@ def R(expression: str) -> str:
 
 # ---------------------------------------------------------------- shared plans
 
+# The panels are far smaller than the line items and many branches of a plan read them: they are kept
+# (memory, then disk; lost parts are computed again).  Equal plans share what is kept.
+
 def _panel(spark, d):
-    return sources.sales_panel(spark, d)
+    return sources.sales_panel(spark, d).persist()
 
 
 def _clean(spark, d):
-    return clean.clean(_panel(spark, d))
+    return clean.clean(_panel(spark, d)).persist()
 
 
 def _pairs(spark, d):
-    return pairs.pair_panel(_clean(spark, d))
+    return pairs.pair_panel(_clean(spark, d)).persist()
 
 
 def _spread(spark, d):
@@ -57,7 +60,7 @@ def _block(spark, d):
 
 
 def _screened(spark, d):
-    return simulate.screener_pnl(simulate.screener_positions(_block(spark, d), PAIR, 1.5, 0.5, 4.0), PAIR)
+    return simulate.screener_pnl(simulate.screener_positions(_block(spark, d), PAIR, 1.5, 0.5, 4.0), PAIR).persist()
 
 
 def _engine(spark, d):
@@ -148,20 +151,20 @@ def query(sql: str | None = None):
 
 # ---------------------------------------------------------------- sources and cleaning
 
-@query(f"WITH {PX} SELECT ticker, grp, date, {R('close')} AS close, volume FROM px")
+@query(f"WITH {PX} SELECT ticker, grp, CAST(date AS VARCHAR) AS date, {R('close')} AS close, volume FROM px")
 def panel_prices(spark, d):
-    return r6(_panel(spark, d), "close").select("ticker", "grp", "date", "close", "volume")
+    return r6(_panel(spark, d), "close").select("ticker", "grp", F.col("date").cast("string").alias("date"), "close", "volume")
 
 
-@query(f"WITH {PX} SELECT ticker, grp, date, t, {R('close')} AS close, volume FROM panel")
+@query(f"WITH {PX} SELECT ticker, grp, CAST(date AS VARCHAR) AS date, t, {R('close')} AS close, volume FROM panel")
 def panel_clean_ffill(spark, d):
-    return r6(_clean(spark, d), "close")
+    return r6(_clean(spark, d), "close").withColumn("date", F.col("date").cast("string"))
 
 
-@query(f"""WITH {PX} SELECT ticker, count(close) AS n_present, {R('1 - count(close)::DOUBLE / (SELECT count(DISTINCT date) FROM px)')} AS missing, min(date) AS first_date,
+@query(f"""WITH {PX} SELECT ticker, count(close) AS n_present, {R('1 - count(close)::DOUBLE / (SELECT count(DISTINCT date) FROM px)')} AS missing, CAST(min(date) AS VARCHAR) AS first_date,
  CASE WHEN 1 - count(close)::DOUBLE / (SELECT count(DISTINCT date) FROM px) > 0.2 THEN 'too many missing' WHEN count(close) < 52 THEN 'short history' ELSE 'ok' END AS reason FROM px GROUP BY ticker""")
 def completeness_report(spark, d):
-    return r6(sources.completeness(_panel(spark, d)), "missing").select("ticker", "n_present", "missing", "first_date", "reason")
+    return r6(sources.completeness(_panel(spark, d)), "missing").select("ticker", "n_present", "missing", F.col("first_date").cast("string").alias("first_date"), "reason")
 
 
 @query(f"""WITH {PX}, r AS (SELECT *, ln(close) - ln(lag(close) OVER (PARTITION BY ticker ORDER BY t)) AS r FROM panel),
@@ -185,9 +188,9 @@ def pair_whitelist_semi(spark, d):
 
 
 @query("""WITH d AS (SELECT CAST(DATE '2020-01-01' + CAST(i AS INT) AS DATE) AS date FROM range(0, 400) t(i))
-SELECT CAST(row_number() OVER (ORDER BY date) - 1 AS INT) AS t, date FROM d WHERE isodow(date) <= 5 QUALIFY row_number() OVER (ORDER BY date) <= 250""")
+SELECT CAST(row_number() OVER (ORDER BY date) - 1 AS INT) AS t, CAST(date AS VARCHAR) AS date FROM d WHERE isodow(date) <= 5 QUALIFY row_number() OVER (ORDER BY date) <= 250""")
 def business_day_calendar(spark, d):
-    return sources.business_days(spark, "2020-01-01", 250)
+    return sources.business_days(spark, "2020-01-01", 250).withColumn("date", F.col("date").cast("string"))
 
 
 @query("""SELECT event_type AS ticker, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, count(*) AS n, round(sum(value), 4) + 0.0 AS volume, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY ALL""")
@@ -287,7 +290,7 @@ def screen_costs_edge(spark, d):
 
 # ---------------------------------------------------------------- ranks, corrections, studies
 
-@query(f"""WITH {SP}, p AS (SELECT grp, y, x, CASE WHEN y = 'Brand#11' THEN NULL ELSE {R('least(1, abs(regr_slope(ly, lx)))')} END AS p FROM sp GROUP BY ALL),
+@query(f"""WITH {SP}, p AS (SELECT grp, y, x, CASE WHEN y = 'Brand#11' THEN NULL ELSE {R('least(1, abs(regr_slope(ly, lx)))')} END AS p FROM sp GROUP BY grp, y, x),
 k AS (SELECT *, count(p) OVER (PARTITION BY grp) AS m, row_number() OVER (PARTITION BY grp ORDER BY p NULLS LAST, y, x) AS k FROM p)
 SELECT grp, y, x, p, CASE WHEN p IS NOT NULL THEN {R('least(1, p * m)')} END AS p_bonferroni,
  CASE WHEN p IS NOT NULL THEN {R('least(1, min(p * m / k) OVER (PARTITION BY grp ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} END AS p_bh,
