@@ -24,16 +24,30 @@ def _key():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _only(docs: DataFrame, names: list[str]) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`") for c in names])
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose id is in gone (doc)."""
-    return docs.join(gone.select(F.col("doc").alias("_gone")).distinct(), _key() == F.col("_gone"), "left_anti")
+    name = _fresh(docs, "_gone")
+    return docs.join(gone.select(F.col("doc").alias(name)).distinct(), _key() == F.col(name), "left_anti")
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 1: documents that the classifier rejects (score 0.5 or more) go."""
     prepare(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
-    return toxicity.score(docs, model, name="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    name = _fresh(docs, "_toxicity")
+    return _only(toxicity.score(docs, model, name=name).filter(F.col(name) < 0.5), docs.columns)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +57,9 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     ids = docs.select(_key().alias("k"))
     if ids.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         return kept
+    name = _fresh(docs, "_place")
     place = F.row_number().over(Window.partitionBy(_key()).orderBy("text"))
-    return kept.withColumn("_place", place).filter("_place = 1").drop("_place")
+    return _only(kept.withColumn(name, place).filter(F.col(name) == 1), docs.columns)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +70,12 @@ def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 4: each document as often as the mix takes it."""
     prepare(spark)
-    found = mixing.take(docs, mixing.plan(docs))
-    return found.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    found = mixing.take(docs, mixing.plan(docs), prefix=prefix)
+    copies = F.explode(F.array_repeat(F.lit(1), F.col(prefix + "copies"))).alias(prefix + "copy")
+    return _only(found.select("*", copies), docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,12 +197,13 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:
     """pages with a column of main texts in place of the html; other columns stay as they are."""
     prepare(pages.sparkSession)
-    rows = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in (name, html_col)], F.col(f"`{html_col}`").alias("_html"))
-    schema = rows.drop("_html").select("*", F.lit("").alias(name)).schema
+    others = [F.col(f"`{c}`") for c in pages.columns if c not in (name, html_col)]
+    schema = pages.select(*others, F.lit("").alias(name)).schema
+    rows = pages.select(*others, F.col(f"`{html_col}`").alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch["_html"].to_pylist()]
+            texts = [main_text(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], name])
 
     return rows.mapInArrow(run, schema)
