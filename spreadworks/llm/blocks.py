@@ -32,7 +32,7 @@ from .common import materialize, numbered
 #: Different blocks of one anchor that are compared together; others are split into windows.
 HOT = 4096
 #: Symbols cut at once, and blocks among which repeats are settled before the shuffle.
-PIECE, CHUNK = 2_000_000, 400_000
+PIECE, CHUNK = 1_000_000, 400_000
 
 OCCURRENCE = "route long, anchor long, block long, doc long, copy int, start int, n int, settled boolean"
 SETTLED = "repeated boolean, anchor long, doc long, copy int, start int, n int, variant int"
