@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clean, pairs, performance, ranking, research, rolling, screens, simulate
+from .operators import clean, pairs, performance, portfolio, ranking, research, rolling, screens, simulate
 from .plans import folds, walkforward
 from .sources import panel as sources
 from .streaming.bars import bars
@@ -586,6 +586,100 @@ def folds_continuous(spark, d):
     return folds.table(spark, folds.continuous(2942))
 
 
+# ---------------------------------------------------------------- portfolios and pools
+
+TL = EN + """, s AS (SELECT *, CASE WHEN executed <> 0 AND coalesce(lag(executed) OVER w, 0) = 0 THEN 1 ELSE 0 END AS st FROM ep WINDOW w AS (PARTITION BY y, x ORDER BY t)),
+u AS (SELECT *, sum(st) OVER (PARTITION BY y, x ORDER BY t)::BIGINT AS run FROM s),
+tl AS (SELECT y, x, run, min(t) AS entry_t, count(*) AS days_held, sum(net) AS net FROM u WHERE executed <> 0 GROUP BY ALL)"""
+
+
+@query(f"""WITH {TL} SELECT y, x, count(*) AS n_trades, {R('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate, {R('avg(net) FILTER (WHERE net > 0)')} AS avg_win, {R('avg(net) FILTER (WHERE net < 0)')} AS avg_loss,
+ {R('avg(net)')} AS expectancy, {R('avg(days_held)')} AS avg_days, {R('least(min(net), 0)')} AS worst, CASE WHEN sum(net) FILTER (WHERE net < 0) < 0
+ THEN {R('coalesce(sum(net) FILTER (WHERE net > 0), 0) / -sum(net) FILTER (WHERE net < 0)')} WHEN sum(net) > 0 THEN 'inf'::DOUBLE END AS profit_factor FROM tl GROUP BY y, x""")
+def trade_stats(spark, d):
+    out = performance.trade_stats(simulate.trade_log(_engine(spark, d), PAIR), PAIR)
+    return r6(out, "win_rate", "avg_win", "avg_loss", "expectancy", "avg_days", "worst", "profit_factor")
+
+
+@query(f"""WITH {EN}, cal AS (SELECT DISTINCT date FROM panel), s AS (SELECT date, sum(net) AS net, count(*) FILTER (WHERE executed <> 0) AS n FROM ep GROUP BY date)
+SELECT CAST(date AS VARCHAR) AS date, {R('coalesce(net, 0)')} AS net, coalesce(n, 0) AS n_active, {R('100000 + sum(coalesce(net, 0)) OVER (ORDER BY date)')} AS equity FROM cal LEFT JOIN s USING (date)""")
+def portfolio_daily(spark, d):
+    out = portfolio.daily_total(_engine(spark, d), _clean(spark, d), 100_000.0)
+    return r6(out.withColumn("date", F.col("date").cast("string")), "net", "equity")
+
+
+@query(f"""WITH {BZ}, v AS (SELECT y, x, block, stddev_samp(pnl) AS vol FROM sc GROUP BY ALL), i AS (SELECT *, CASE WHEN vol > 1e-12 THEN 1 / vol ELSE 0 END AS inv FROM v)
+SELECT y, x, CAST(block AS INT) AS block, {R('CASE WHEN sum(inv) OVER b > 0 THEN inv / sum(inv) OVER b ELSE 1.0 / count(*) OVER b END')} AS weight FROM i WINDOW b AS (PARTITION BY block)""")
+def inverse_vol_weights(spark, d):
+    vol = _screened(spark, d).groupBy(*PAIR, F.col("block").cast("int").alias("block")).agg(F.stddev_samp("pnl").alias("vol"))
+    return r6(portfolio.inverse_vol_weights(vol, ["block"]), "weight").select(*PAIR, "block", "weight")
+
+
+@query(f"""WITH {EN} SELECT y, x, t, CASE WHEN executed <> 0 THEN {R('least(1.0::DOUBLE / count(*) FILTER (WHERE executed <> 0) OVER (PARTITION BY date), 0.25)')} ELSE 0 END AS weight FROM ep""")
+def active_weights(spark, d):
+    return r6(portfolio.active_weights(_engine(spark, d), ["date"]), "weight").select(*PAIR, "t", "weight")
+
+
+_SELECTED = f"""s AS (SELECT (t - {START}) // {STEP} AS period, y, x, sum(pnl) AS pnl, count(*) FILTER (WHERE held <> 0) AS m FROM sc GROUP BY ALL),
+j AS (SELECT CAST(a.period + 1 AS INT) AS period, a.y, a.x, a.pnl AS f, b.pnl AS nx FROM s a JOIN s b ON b.period = a.period + 1 AND b.y = a.y AND b.x = a.x WHERE a.m > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY f DESC, y, x) AS p, row_number() OVER (PARTITION BY period ORDER BY f, y, x) AS low FROM j)"""
+
+
+@query(f"""WITH {BZ}, {_SELECTED}, pool AS (SELECT period, y, x FROM k WHERE p <= 10)
+SELECT a.period, count(*) AS n, count(b.y) AS n_kept FROM pool a LEFT JOIN pool b ON b.period = a.period - 1 AND b.y = a.y AND b.x = a.x GROUP BY a.period""")
+def pool_overlap(spark, d):
+    selected = walkforward.rolling_selection(_screened(spark, d), START, STEP, 10).filter("selected")
+    return portfolio.overlap(selected, "period", PAIR)
+
+
+@query(f"WITH {BZ}, {_SELECTED} SELECT period, y, x, {R('f')} AS f_pnl, {R('nx')} AS next_pnl, CAST(low AS INT) AS place FROM k WHERE low <= 10")
+def bottom_k(spark, d):
+    pool = walkforward.rolling_selection(_screened(spark, d), START, STEP, 10).drop("place", "selected")
+    out = ranking.top_k(pool, ["period"], [F.col("f_pnl").asc_nulls_first(), *PAIR], 10)
+    return r6(out, "f_pnl", "next_pnl").select("period", *PAIR, "f_pnl", "next_pnl", "place")
+
+
+@query(f"""WITH {SP}, l AS (SELECT y, x, grp, spread, ly - lag(ly) OVER w AS ry, lx - lag(lx) OVER w AS rx, lag(spread) OVER w AS s0 FROM sp WINDOW w AS (PARTITION BY y, x ORDER BY t)),
+p AS (SELECT y, x, grp, 1 + regr_slope(spread - s0, s0) AS phi, {R('corr(ry, rx)')} AS c, {R('stddev_samp(spread)')} AS sd FROM l GROUP BY y, x, grp),
+h AS (SELECT y, x, grp, c, sd, {R('-ln(2.0::DOUBLE) / ln(phi)')} AS half_life FROM p WHERE phi > 0 AND phi < 1),
+k AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, rank() OVER (PARTITION BY grp ORDER BY half_life) + (count(*) OVER (PARTITION BY grp, half_life) - 1) / 2.0 AS a,
+ rank() OVER (PARTITION BY grp ORDER BY c) + (count(*) OVER (PARTITION BY grp, c) - 1) / 2.0 AS b, rank() OVER (PARTITION BY grp ORDER BY sd) + (count(*) OVER (PARTITION BY grp, sd) - 1) / 2.0 AS e FROM h)
+SELECT y, x, grp, half_life, {R('((n + 1 - a) / n + b / n + e / n) / 3')} AS score FROM k""")
+def pool_scores(spark, d):
+    spread = _spread(spark, d)
+    life = rolling.half_life_ar1(spread).filter(F.col("half_life").isNotNull())
+    moves = rolling.returns(_pairs(spark, d)).groupBy(*PAIR, "grp").agg(F.corr("ry", "rx").alias("c"))
+    size = spread.groupBy(*PAIR).agg(F.stddev_samp("spread").alias("sd"))
+    rows = r6(life.join(moves, PAIR).join(size, PAIR), "half_life", "c", "sd")
+    parts = [ranking.percent_rank_of("half_life", ["grp"], descending=True), ranking.percent_rank_of("c", ["grp"]), ranking.percent_rank_of("sd", ["grp"])]
+    return r6(rows.withColumn("score", (parts[0] + parts[1] + parts[2]) / 3), "score").select(*PAIR, "grp", "half_life", "score")
+
+
+@query(f"""WITH {EN} SELECT y, x, count(*) FILTER (WHERE t < 250) AS n_in, count(*) FILTER (WHERE t >= 250) AS n_out, {R('sum(net) FILTER (WHERE t < 250)')} AS in_sum, {R('sum(net) FILTER (WHERE t >= 250)')} AS out_sum,
+ {R('avg(net) FILTER (WHERE t < 250)')} AS in_mean, {R('avg(net) FILTER (WHERE t >= 250)')} AS out_mean FROM ep GROUP BY y, x""")
+def holdout_split(spark, d):
+    return r6(portfolio.split_at(_engine(spark, d), PAIR, "t", 250, "net"), "in_sum", "out_sum", "in_mean", "out_mean")
+
+
+@query(f"""WITH {PX}, un AS (SELECT * FROM panel WHERE t >= 300), h AS (SELECT * FROM panel WHERE t < 310 AND date < (SELECT min(date) FROM un))
+SELECT ticker, count(*) AS n, max(t) AS last_t, count(*) FILTER (WHERE ticker NOT IN (SELECT ticker FROM un)) AS n_unmatched FROM h GROUP BY ticker""")
+def contamination_guard(spark, d):
+    panel = _clean(spark, d)
+    unseen = panel.filter("t >= 300")
+    kept = portfolio.before_unseen(panel.filter("t < 310"), unseen)
+    known = unseen.select("ticker").distinct().withColumn("known", F.lit(1))
+    return kept.join(known, "ticker", "left").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last_t"), F.count_if(F.col("known").isNull()).alias("n_unmatched"))
+
+
+@query(f"""WITH {BZ}, tr AS (SELECT y, x, grp, run, count(*) AS days_held, sum(pnl) AS net, {R('avg(abs(z))')} AS m FROM sc WHERE held <> 0 GROUP BY ALL),
+k AS (SELECT *, CAST(least(floor((rank() OVER (PARTITION BY grp ORDER BY m) + (count(*) OVER (PARTITION BY grp, m) - 1) / 2.0 - 1) * 5 / count(*) OVER (PARTITION BY grp)), 4) AS INT) + 1 AS q FROM tr)
+SELECT grp, q, count(*) AS n, {R('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate, {R('avg(days_held)')} AS avg_days, {R('sum(net)')} AS net FROM k GROUP BY grp, q""")
+def exits_by_quintile(spark, d):
+    trades = _screened(spark, d).filter("held <> 0").groupBy(*PAIR, "grp", "run").agg(F.count(F.lit(1)).alias("days_held"), F.sum("pnl").alias("net"), F.round(F.avg(F.abs("z")), 6).alias("m"))
+    out = trades.withColumn("q", ranking.quintile("m", ["grp"])).groupBy("grp", "q").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("net") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg("days_held").alias("avg_days"), F.sum("net").alias("net"))
+    return r6(out, "win_rate", "avg_days", "net")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Ten best pairs of a monthly panel by Sharpe of the screener's rules (dense enough at any scale)."""
     rows = clean.clean(sources.sales_panel(spark, d, "month"), most_missing=0.25, limit=3)

@@ -9,7 +9,8 @@ from spreadworks import queries as q
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 QUICK = ["panel_prices", "panel_clean_ffill", "completeness_report", "panel_sig_adv", "pair_whitelist_semi", "business_day_calendar", "event_bars", "return_correlation", "half_life_v1", "half_life_v2",
          "rolling_ols_causal", "rolling_z", "block_walk_forward", "multiple_testing", "quintile_sort", "formation_qcut", "clustered_se", "screener_trades", "engine_pnl", "trade_log", "perf_stats",
-         "drawdown_duration", "monthly_returns", "period_summary", "random_baseline", "evidence_class", "kalman_hedge", "folds_gapped", "folds_continuous"]
+         "drawdown_duration", "monthly_returns", "period_summary", "random_baseline", "evidence_class", "kalman_hedge", "folds_gapped", "folds_continuous",
+         "trade_stats", "portfolio_daily", "inverse_vol_weights", "active_weights", "pool_overlap", "bottom_k", "pool_scores", "holdout_split", "contamination_guard", "exits_by_quintile"]
 
 
 @pytest.mark.parametrize("name", QUICK)
