@@ -475,13 +475,32 @@ def random_baseline(spark, d):
     return r6(out, "actual", "random_mean", "random_std", "p5", "p50", "p95", "percentile", "p_value")
 
 
-@query()
+_CELL = "PARTITION BY {0}y, {0}x, {0}entry, {0}leave ORDER BY t"
+_GRID = ZZ + f""",
+en AS (SELECT zt.*, entry, leave, row_number() OVER (PARTITION BY y, x, entry, leave ORDER BY t) AS i
+ FROM zt, (VALUES (1.25::DOUBLE, 0.25::DOUBLE), (1.25, 0.5), (1.5, 0.25), (1.5, 0.5), (2.0, 0.25), (2.0, 0.5)) c(entry, leave)),
+eg AS (WITH RECURSIVE go(y, x, entry, leave, i, p, blocked, wait) AS (
+  SELECT y, x, entry, leave, i, CASE WHEN z > entry THEN -1 WHEN z < -entry THEN 1 ELSE 0 END, false, 0 FROM en WHERE i = 1
+  UNION ALL SELECT e.y, e.x, e.entry, e.leave, e.i,
+    CASE WHEN g.blocked THEN 0 WHEN g.p = 0 THEN CASE WHEN e.z > e.entry THEN -1 WHEN e.z < -e.entry THEN 1 ELSE 0 END WHEN abs(e.z) < e.leave OR abs(e.z) > 4 THEN 0 ELSE g.p END,
+    CASE WHEN g.blocked THEN NOT (greatest(g.wait - 1, 0) = 0 AND abs(e.z) <= 1) ELSE g.p <> 0 AND abs(e.z) > 4 END,
+    CASE WHEN g.blocked THEN greatest(g.wait - 1, 0) WHEN g.p <> 0 AND abs(e.z) > 4 THEN 5 ELSE 0 END
+  FROM go g JOIN en e ON e.y = g.y AND e.x = g.x AND e.entry = g.entry AND e.leave = g.leave AND e.i = g.i + 1) SELECT * FROM go),
+e0 AS (SELECT en.*, coalesce(lag(eg.p) OVER w, 0) AS executed, coalesce(lag(beta) OVER w, beta, 0) AS hedge FROM en JOIN eg USING (y, x, entry, leave, i) WINDOW w AS ({_CELL.format("en.")})),
+e1 AS (SELECT *, executed * 10.0::DOUBLE AS la, -executed * hedge * 10.0::DOUBLE AS lb FROM e0),
+e2 AS (SELECT *, coalesce(la * (lead(py) OVER w - py) + lb * (lead(px) OVER w - px), 0) - (abs(la - coalesce(lag(la) OVER w, 0)) * py + abs(lb - coalesce(lag(lb) OVER w, 0)) * px) * (6.0::DOUBLE / 1e4) AS net,
+ CASE WHEN executed <> 0 AND coalesce(lag(executed) OVER w, 0) = 0 THEN 1 ELSE 0 END AS st FROM e1 WINDOW w AS ({_CELL.format("")})),
+ce AS (SELECT y, x, entry, leave, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252.0::DOUBLE) AS sharpe, sum(st)::BIGINT AS n_trades, sum(net) AS net FROM e2 GROUP BY ALL),
+be AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY sharpe DESC NULLS LAST, n_trades DESC, entry, leave) AS place FROM ce WHERE n_trades >= 1)"""
+
+
+@query(f"WITH {_GRID} SELECT y, x, entry, leave AS exit, {R('sharpe')} AS sharpe, n_trades, {R('net')} AS net FROM be WHERE place = 1")
 def grid_tuning(spark, d):
     cells = pairs.grid(spark, (1.25, 1.5, 2.0), (0.25, 0.5))
     rows = simulate.grid_positions(_z(spark, d).crossJoin(F.broadcast(cells)), PAIR)
     pnl = simulate.engine_pnl(rows.withColumn("units", F.lit(10.0)), [*PAIR, "entry", "exit"])
     pnl = simulate.with_runs(pnl, [*PAIR, "entry", "exit"], "executed")
-    return walkforward.tuned(pnl)
+    return r6(walkforward.tuned(pnl), "sharpe", "net").select(*PAIR, "entry", "exit", "sharpe", "n_trades", "net")
 
 
 @query(f"""WITH {EN}, c AS (SELECT * FROM (VALUES (2.0::DOUBLE), (5.0), (10.0), (20.0)) v(bps))
