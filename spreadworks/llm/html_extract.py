@@ -8,7 +8,11 @@ like) have ratio 0.  The ratios are smoothed by a Gaussian over neighbouring lin
 split into two clusters by a threshold (two means in one dimension).  The lines of the
 upper cluster select the content region: the innermost element that holds at least
 80 % of their text, widened to the article or main element around it.  All content
-lines of the region are the text, short ones included.
+lines of the region are the text, short ones included.  Without an article or main
+element around it, the text is all content lines of the region but link-dense ones, the
+other lines of the upper cluster or with a ratio of its own above the threshold, and
+whatever borders on these (title, byline, ending) up to the next line that is outside or
+link-dense.
 
 Defined results: a null or empty page, or one without content, gives an empty string;
 broken, unclosed or nested markup is read as far as it goes; very long pages are read
@@ -181,17 +185,24 @@ def main_text(html: str | None) -> str:
     holds = [n for n in mass if mass[n] >= SHARE * total]
     inner = max(holds, default=-1)  # elements are numbered as they open: the innermost has the largest number
     around = [n for i in chosen if inner in lines[i][4] for n in lines[i][4] if parser.names[n] in REGION]
-    inside = [i for i in content if inner < 0 or inner in lines[i][4]]
     if inner >= 0 and around:
         outer = [n for n in around if n <= inner]
-        top = min(outer) if outer else None
-        if top is not None:
+        if outer:
+            top = min(outer)
             return " ".join(lines[i][0] for i in content if top in lines[i][4])
-        regions = set(around)  # several articles in one element
-        return " ".join(lines[i][0] for i in inside if regions & set(lines[i][4]))
-    first, last = chosen[0], chosen[-1]
-    picked = set(chosen)
-    return " ".join(lines[i][0] for i in inside if first <= i <= last and (i in picked or lines[i][2] < LINKED * size[i]))
+        regions = set(around)  # several articles in one element; an article that is a small part of it is no region
+        held = sum(size[i] for i in chosen if regions & set(lines[i][4]))
+        if 2 * held >= total or any(parser.names[n] == "main" for n in regions):
+            return " ".join(lines[i][0] for i in content if regions & set(lines[i][4]))
+    picked = {*chosen, *(i for i in content if ratio[i] >= cut)}  # a lone paragraph is smoothed away
+    plain = [not x[3] and x[2] < LINKED * size[i] for i, x in enumerate(lines)]
+    kept = {i for i in content if i in picked or (plain[i] and inner in lines[i][4])}
+    for order in (range(1, len(lines)), range(len(lines) - 2, -1, -1)):  # what borders on it, up to a line that is outside or link-dense
+        step = -1 if order.step > 0 else 1
+        for i in order:
+            if plain[i] and i + step in kept:
+                kept.add(i)
+    return " ".join(lines[i][0] for i in sorted(kept))
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:

@@ -50,6 +50,29 @@ def test_smoothing_and_threshold():
     assert s[1] < threshold(s) < s[2]
 
 
+PARAGRAPHS = [f"{k} " + "many plain words in a row " * 12 + "end." for k in range(10)]
+
+
+def div_page(body):
+    return f"<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav>{body}<footer>&copy; someone</footer></body></html>"
+
+
+def test_short_lines_at_the_edges_of_a_div_stay():
+    lines = ["Short title.", "By A. Writer", *PARAGRAPHS, "The end of the text."]
+    inner = f"<h1>{lines[0]}</h1><div>{lines[1]}</div>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + f"<p>{lines[-1]}</p>"
+    linked = "<p><a href=/a>Read also this and that</a></p>"
+    for body in (f"<div class='post-body'>{inner}</div>", f"<div>{inner.replace('<p>', '<div><p>', 1)}</div></div>", inner, f"<div>{inner}</div>{linked}"):
+        assert main_text(div_page(body)) == " ".join(lines)
+
+
+def test_intro_and_ending_in_sibling_elements_stay():
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS[1:-1])
+    page = div_page(f"<div><h2>Intro</h2><p>{PARAGRAPHS[0]}</p></div><div class=ad>Buy this</div><div>{text}</div><div><h2>Last</h2><p>{PARAGRAPHS[-1]}</p><p>Bye.</p></div>")
+    assert main_text(page) == " ".join(["Intro", *PARAGRAPHS[:-1], "Last", PARAGRAPHS[-1], "Bye."])
+    card = "<article><p>A card.</p></article>"  # a small article inside the text is not the text
+    assert main_text(div_page(f"<div>{text}{card}{text}</div>")) == " ".join([*PARAGRAPHS[1:-1], "A card.", *PARAGRAPHS[1:-1]])
+
+
 def plain_article(html):
     """The article element's text by patterns alone, for the generated pages."""
     import html as entities
