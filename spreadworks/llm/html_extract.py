@@ -4,7 +4,8 @@ The standard library's streaming parser gives one line per block of text (what l
 between two block-level tags).  A line's ratio is its text length over the tags that
 opened in it; lines under elements that are marked up as something else than content
 (navigation, header, footer, aside, form, script, adverts, notices, comments and the
-like) have ratio 0.  The ratios are smoothed by a Gaussian over neighbouring lines and
+like) have ratio 0.  A class or id does not mark what holds an article, main or most of
+the page's text, nor does one that tells a layout or state (with-sidebar, comments-open).  The ratios are smoothed by a Gaussian over neighbouring lines and
 split into two clusters by a threshold (two means in one dimension).  The lines of the
 upper cluster select the content region: the innermost element that holds at least
 80 % of their text, widened to the article or main element around it.  All content
@@ -52,6 +53,13 @@ MARKS = frozenset(
     "share sharing social related recommended login search skip".split()
 )
 KEEP = frozenset("html body main".split())
+#: A class like with-sidebar or comments-open says how something else is laid out.
+PREFIXES = frozenset("with without has have no not non is hide show".split())
+SUFFIXES = frozenset("open closed enabled disabled".split())
+#: Marks that beside one of these words (or on a section, if None) name a part of a text.
+PARTS = {"related": frozenset("work works research literature".split()), **dict.fromkeys(("response", "responses", "reply", "replies"), frozenset("body text content".split())), "discussion": None}
+#: An element with a mark is content all the same if it holds this share of the page's text (if it is nothing but marks: SHARE).
+MOST = 0.5
 REGION = frozenset("article main".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: Opening any of these ends an open paragraph, as browsers do.
@@ -65,6 +73,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool, tuple]] = []
         self.open: list[tuple[str, int, bool]] = []
+        self.marks: dict[int, float] = {}  # elements that a class or id marks: share of the text beyond which it does not count
         self.names: list[str] = []
         self.data: list[str] = []
         self.tags = self.linked = self.links = 0
@@ -78,7 +87,8 @@ class Lines(HTMLParser):
         self.tags = self.linked = 0
 
     @staticmethod
-    def marked(tag: str, attrs: list) -> bool:
+    def outside(tag: str, attrs: list) -> bool:
+        """No content, whatever the element holds."""
         if tag in OUTSIDE:
             return True
         if tag in KEEP:
@@ -89,12 +99,28 @@ class Lines(HTMLParser):
             if value:
                 if name == "role" and value.lower() in ROLES:
                     return True
-                if name in ("class", "id") and any(w.lower() in MARKS for w in _WORDS.findall(value)):
-                    return True
                 if name == "style" and "display:none" in value.replace(" ", "").lower():
                     return True
         return False
 
+    @staticmethod
+    def marked(tag: str, attrs: list) -> float:
+        """0 if no class or id marks the element; else the share of the page's text beyond which the mark does not count."""
+        found = 0.0
+        if tag in KEEP:
+            return found
+        for name, value in attrs:
+            for token in value.split() if value and name in ("class", "id") else ():
+                words = [w.lower() for w in _WORDS.findall(token)]
+                if len(words) > 1 and (words[0] in PREFIXES or words[-1] in SUFFIXES):
+                    continue
+                others = set(words) - MARKS
+                for w in MARKS.intersection(words):
+                    part = PARTS.get(w, frozenset())
+                    if not (tag == "section" if part is None else part & set(words)):
+                        found = max(found, MOST if others else SHARE)
+        return found
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.end_line()
@@ -107,8 +133,11 @@ class Lines(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        outside = (bool(self.open) and self.open[-1][2]) or self.marked(tag, attrs)
-        if tag in BLOCK or outside:
+        outside = (bool(self.open) and self.open[-1][2]) or self.outside(tag, attrs)
+        mark = 0 if outside else self.marked(tag, attrs)
+        if tag in BLOCK or outside or mark:
+            if mark:
+                self.marks[len(self.names)] = mark
             self.open.append((tag, len(self.names), outside))
             self.names.append(tag)
 
@@ -160,6 +189,36 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def decided(parser: Lines) -> list[tuple[str, int, int, bool, tuple]]:
+    """The parser's lines, those under elements outside by class or id set outside.
+
+    A mark does not count on an article, on what holds an article (without marks of its own)
+    or main, or, if no such element has text elsewhere, on what holds most of the page's text.
+    """
+    marks, names = parser.marks, parser.names
+    if not marks:
+        return parser.lines
+    size = dict.fromkeys(marks, 0)
+    regions = dict.fromkeys(marks, 0)  # text in articles or main
+    total = total_regions = 0
+    holds = set()
+    for text, _, _, outside, path in parser.lines:
+        if outside:
+            continue
+        total += len(text)
+        region = [n for n in path if names[n] in REGION and n not in marks]
+        total_regions += len(text) if region else 0
+        for n in path:
+            if n in marks:
+                size[n] += len(text)
+                if region:
+                    regions[n] += len(text)
+                    if n < region[-1]:
+                        holds.add(n)
+    gone = {n for n, most in marks.items() if names[n] != "article" and n not in holds and (regions[n] < total_regions or size[n] <= most * total)}
+    return [(*x[:3], x[3] or not gone.isdisjoint(x[4]), x[4]) for x in parser.lines]
+
+
 def main_text(html: str | None) -> str:
     """The content lines of a page, joined by one space."""
     if not html:
@@ -168,7 +227,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = decided(parser)
     content = [i for i, x in enumerate(lines) if not x[3]]
     if not content:
         return ""

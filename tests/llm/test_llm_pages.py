@@ -73,6 +73,27 @@ def test_intro_and_ending_in_sibling_elements_stay():
     assert main_text(div_page(f"<div>{text}{card}{text}</div>")) == " ".join([*PARAGRAPHS[1:-1], "A card.", *PARAGRAPHS[1:-1]])
 
 
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<div id='page' class='with-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<article class='post comments-open'>{}</article>", "<div class='response-body'>{}</div>",
+        "<article class='sponsored'>{}</article>", "<div class='sidebar-left'><article>{}</article></div>", "<div class='sidebar'><main>{}</main></div>", "<div id='comments'>{}</div>",
+        "<div class='hasSidebar'><div class='layout-side-right'>{}</div></div>",
+    ],
+)
+def test_layout_classes_do_not_delete_the_text(around):
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    inner = f"<h1>Title</h1>{text}<section class='related-work'><h2>Related work</h2><p>{LONG}</p></section>"
+    assert main_text(div_page(around.format(inner))) == " ".join(["Title", *PARAGRAPHS, "Related work", TEXT])
+    side = f"<div class='sidebar'><p>{LONG}</p></div><div class='comments-area'><p>{LONG}</p></div>"
+    assert main_text(div_page(around.format(inner) + side)) == " ".join(["Title", *PARAGRAPHS, "Related work", TEXT])
+
+
+def test_marks_count_where_an_article_has_the_text():
+    comments = "<div id='comments'>" + "<article class='comment-body'><p>" + LONG * 9 + "</p></article></div>"
+    assert main_text(div_page(f"<div class='with-sidebar'><article><p>{LONG}</p></article><div class='sidebar-right'>{LONG}</div>{comments}</div>")) == TEXT
+
+
 def plain_article(html):
     """The article element's text by patterns alone, for the generated pages."""
     import html as entities
