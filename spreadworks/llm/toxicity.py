@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as the embedding of the word itself (hashed) beside the mean embedding of
-its character 3- to 5-grams (hashed, with word edges).  Two GRUs read a window of 64
+its character 3- to 5-grams (hashed, with word edges).  Words end at ASCII white space;
+what is longer than LONGEST bytes is split at other spaces and signs, and parts that are
+still longer into overlapping pieces, which are words of their own.  Two GRUs read a window of 64
 words in either direction, attention pools their states and a linear layer gives the
 window's logit.  Every whole text is scored: windows start each 32 words and cover it
 to its end.  A document's score is a logistic function of its highest and second
@@ -22,6 +24,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,6 +45,10 @@ TOGETHER, CACHE = 2048, 150_000
 
 
 PUNCTUATION = b".,;:!?\"'()[]|*#%&$-"
+#: Bytes of a word beyond which it is split, and characters of a piece and from piece to piece (no piece is split again).
+LONGEST, PIECE, AHEAD = 60, 15, 8
+#: Spaces and separating signs; not marks of letters, emoji or signs that stand for letters.
+_SIGNS = re.compile(r"[\s\u200b_\-/\\|+=&.,;:!?()\[\]{}<>\"\u2010-\u2015\u2026\u3001-\u3003\u3008-\u3011\uff01\uff08\uff09\uff0c\uff0e\uff0f\uff1a\uff1b\uff1f\uff61-\uff65]+")
 
 
 class Parts:
@@ -50,8 +57,8 @@ class Parts:
     def __init__(self, words: list[bytes]):
         cores = [w.strip(PUNCTUATION) or w for w in words]
         self.word = np.fromiter((zlib.crc32(c) for c in cores), np.int64, len(cores)) % BUCKETS
-        text = np.frombuffer(b"".join(b"<" + c[:60] + b">" for c in cores), np.uint8).astype(np.uint32)
-        length = np.fromiter((min(len(c), 60) + 2 for c in cores), np.int64, len(cores))
+        text = np.frombuffer(b"".join(b"<" + c + b">" for c in cores), np.uint8).astype(np.uint32)
+        length = np.fromiter((len(c) + 2 for c in cores), np.int64, len(cores))
         end = np.repeat(np.cumsum(length), length)
         owner, grams, value = [], [], text.copy()
         for n in (2, 3, 4, 5):
@@ -92,8 +99,25 @@ def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def split_long(word: bytes) -> list[bytes]:
+    """The parts of a long word between spaces and signs, or overlapping pieces of what has none; nothing but signs: pieces."""
+    core = word.strip(PUNCTUATION) or word
+    if len(core) <= LONGEST:
+        return [word]
+    text, out = core.decode(), []
+    for part in [p for p in _SIGNS.split(text) if p] or [text]:
+        if len(part.encode()) <= LONGEST:
+            out.append(part.encode())
+        else:
+            out += [part[i : i + PIECE].encode() for i in range(0, max(1, len(part) - PIECE + AHEAD), AHEAD)]
+    return out
+
+
 def tokens(text: bytes) -> list[bytes]:
-    return text.decode("utf-8", "replace").lower().encode().split()
+    words = text.decode("utf-8", "replace").lower().encode().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [p for w in words for p in ((w,) if len(w) <= LONGEST else split_long(w))]
 
 
 def window_starts(n: int) -> list[int]:

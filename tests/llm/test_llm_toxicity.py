@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -96,3 +97,34 @@ def test_the_scorer_equals_the_network():
         rows = np.array([number[w] for w in text.split()], np.int64)
         logit = toxicity._logits(net, parts, toxicity.padded(rows, toxicity.window_starts(len(rows))))
         assert row[0] == pytest.approx(logit.max(), abs=1e-4) and row[3] == pytest.approx(np.log(len(logit)))
+
+
+def test_long_words_are_read_to_their_end():
+    for word in ("x" * 5000, "漢字" * 999, "😀" * 61, "a_b-c/" * 50, "-" * 400, "a" * 300 + "...", "word\u00a0and\u3000more" * 9, "ที่นี่" * 20, "ok_😀_f*ck_" * 20):
+        found = toxicity.tokens(word.encode())
+        assert toxicity.tokens(b" ".join(found)) == found and max(map(len, found)) <= toxicity.LONGEST
+        assert set(re.sub(r"[-_/.\s]", "", word)) <= set(b"".join(found).decode())
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 333)))  # all characters differ: every 7 in a row lie in one piece
+    found = [p.decode() for p in toxicity.tokens(text.encode())]
+    assert all(any(text[i : i + 7] in p for p in found) for i in range(327))
+    assert toxicity.tokens(b"Short words" + b"." * 99) == [b"short", b"words" + b"." * 99]
+    one, other = (toxicity.Parts([b"a" * 100 + end]) for end in (b"bad", b"fine"))
+    assert set(one.flat.tolist()) != set(other.flat.tolist())
+
+
+@pytest.mark.parametrize("sign", ["_", "-", "/", "\u00a0", "", "cjk"])
+def test_a_toxic_phrase_at_the_end_of_a_long_token_counts(sign):
+    g = np.random.default_rng(2)
+    cjk = sign == "cjk"
+    plain = ["".join(chr(0x4E00 + k) for k in g.integers(0, 60, 3)) if cjk else "".join("abcdefgh"[k] for k in g.integers(0, 8, 5)) for _ in range(80)]
+    bad, sign = ("侮辱罵倒" if cjk else "vilezwurm"), "" if cjk else sign
+
+    def text(toxic, joined, n=40):
+        words = [plain[k] for k in g.integers(0, len(plain), n)]
+        return joined.join([*words, bad] if toxic else words)
+
+    toxic = np.arange(120) % 2 == 0
+    net = toxicity.train_net([toxicity.tokens(text(t, sign if cjk else " ").encode()) for t in toxic], toxic, 5, 100)
+    clean = [text(False, sign) for _ in range(10)]
+    logit = toxicity.Scorer(net).features([t.encode() for c in clean for t in (c, c + sign + bad)])[:, 0].reshape(-1, 2)
+    assert (logit[:, 1] > logit[:, 0] + 1).all()
