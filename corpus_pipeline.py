@@ -63,8 +63,11 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 3: documents that contain 80 % or more of a benchmark item's shingles go."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Stage 3: documents that contain 80 % or more of a benchmark item's shingles go; of rows that share an id, those alone."""
+    found = decontaminate.contained(docs, table(spark, sf_dir, "benchmark"))
+    doc, digest = _fresh(docs, "_gone"), _fresh(docs, "_digest")
+    gone = found.select(F.col("doc").alias(doc), F.col("digest").alias(digest)).distinct()
+    return docs.join(gone, (_key() == F.col(doc)) & (decontaminate.text_digest("text") == F.col(digest)), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,11 @@ def shingle_texts(w, n: int = SHINGLE):
     return F.when(F.size(w) > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
+def text_digest(column: str):
+    """Tells the texts of rows that share an id apart."""
+    return F.md5(F.coalesce(F.col(f"`{column}`"), F.lit("")).cast("binary"))
+
+
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(item, hash, need): the K smallest hashes of each item, K by size partition; need: how many a match shows at least."""
     rows = items.select("item", F.array_distinct(F.transform(places(F.col("w")), lambda i: shingle_hash(F.col("w"), i))).alias("hashes"))
@@ -65,8 +70,8 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.select("item", "need", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), F.col("k"))).alias("hash"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc, item, n_shingles, n_shared, containment) of every pair at or above the threshold."""
+def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc, digest, item, n_shingles, n_shared, containment) of every pair of a row and an item at or above the threshold; digest: text_digest of the row."""
     prepare(docs.sparkSession)
     rows = numbered(docs, id_col, text_col)
     tests = items.select(F.col(f"`{item_col}`").alias("item"), words(F.coalesce(F.col(f"`{item_text_col}`"), F.lit(""))).alias("w"))
@@ -83,10 +88,15 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     candidates = materialize(candidates, "candidates")
     # the texts of candidate documents only meet the shingles of their own candidates
     full = tests.select("item", "test_row", shingle_texts(F.col("w")).alias("test"))
-    texts = rows.join(candidates, ["doc", "copy"]).select("doc", "c", words(F.col("text")).alias("w")).select("doc", "c", shingle_texts(F.col("w")).alias("has"))
-    pairs = texts.select("doc", "has", F.explode("c").alias("c")).select("doc", "has", F.col("c.item").alias("item"), F.col("c.test_row").alias("test_row"))
-    exact = pairs.join(full, [pairs["item"].eqNullSafe(full["item"]), pairs["test_row"] == full["test_row"]]).select("doc", pairs["item"].alias("item"), F.size("test").cast("long").alias("n_shingles"), F.size(F.array_intersect("test", "has")).cast("long").alias("n_shared"))
-    exact = exact.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= threshold)
+    texts = rows.join(candidates, ["doc", "copy"]).select("doc", text_digest("text").alias("digest"), "c", words(F.col("text")).alias("w")).select("doc", "digest", "c", shingle_texts(F.col("w")).alias("has"))
+    pairs = texts.select("doc", "digest", "has", F.explode("c").alias("c")).select("doc", "digest", "has", F.col("c.item").alias("item"), F.col("c.test_row").alias("test_row"))
+    exact = pairs.join(full, [pairs["item"].eqNullSafe(full["item"]), pairs["test_row"] == full["test_row"]]).select("doc", "digest", pairs["item"].alias("item"), F.size("test").cast("long").alias("n_shingles"), F.size(F.array_intersect("test", "has")).cast("long").alias("n_shared"))
+    return exact.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= threshold)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, **columns) -> DataFrame:
+    """(doc, item, n_shingles, n_shared, containment) of every pair of an id and an item at or above the threshold."""
+    exact = contained(docs, items, threshold, **columns)
     best = exact.groupBy("doc", "item").agg(F.max(F.struct("containment", "n_shingles", "n_shared")).alias("b"))
     return best.select("doc", "item", "b.n_shingles", "b.n_shared", "b.containment")
 

@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline as c
 import pyarrow.parquet as pq
 import pytest
-from llmcases import LOWEST, brute_contained, brute_simhash, words, write
+from llmcases import LOWEST, benchmark, brute_contained, brute_simhash, words, write
 from pyspark.sql import functions as F
 
 from spreadworks.llm import toxicity
@@ -71,6 +71,13 @@ def test_stages_on_edge_cases(spark, tmp_path):
     assert len(kept["simhash_near_dedup"]) > len(kept["benchmark_decontamination"]) > len(kept["mixing_sources"]) > 0
 
 
+def test_clean_rows_beside_a_contaminated_one_of_the_same_id_stay(spark, tmp_path):
+    dirty = benchmark()[0][1]
+    rows = [(None, dirty, "a"), (None, "a clean text without an id", "a"), (None, None, "a"), (5, "x " + dirty, "b"), (5, "another clean text of five", "b"), (5, "another clean text of five", "b"), (6, dirty, "c"), (7, "clean", "c")]
+    path = write(tmp_path / "t", rows)
+    assert Counter(rows_of(c.benchmark_out(spark, table(spark, path, "documents"), path))) == Counter(r for r in rows if dirty not in (r[1] or ""))
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     assert c.run(spark, write(tmp_path / "t", empty=True)).count() == 0
 
