@@ -1,24 +1,24 @@
-"""Repeated windows over a corpus: blocks at content-defined anchors, firsts, spans.
+"""Repeated windows over a corpus: blocks at content-defined anchors, comparison, spans.
 
 Shared by the substring operators (13-word windows, 100-byte windows):
 
-1. ``occurrences``: cut every whole text into blocks (see ``anchors.py``).  Blocks that
-   repeat within one chunk of a task are settled there, so that a key holds at most
-   one row for each chunk, however many copies a passage has.
-2. ``settle``: blocks of one anchor meet, sorted.  An occurrence after the first of an
-   identical block is a repeat as a whole.  If an anchor has several different blocks,
-   their first occurrences are marked to be compared symbol by symbol.
-3. the operator compares those (it reads their texts again by document id), and
+1. ``occurrences``: cut every whole text into blocks (see ``anchors.py``).  Blocks of a
+   task's piece of text that share an anchor are compared there by the operator's own
+   method (the parse, or the suffix sort).  A block that is a repeat as a whole is
+   settled; all others go on, so that a key holds at most one copy for each piece.
+2. ``shared``: blocks of one anchor meet, sorted; anchors that occur only once go.
+3. the operator compares the contents of what is left (read again by document id), and
 4. ``apply_spans`` joins the repeated spans of a document with its text.
 
-No step caps anything.  Anchors with more than ``HOT`` different blocks go another,
-equally exact way: their blocks are split into single windows (``windows_of``) which
-take step 2 again, each window being its own anchor.
+Every repeat is found by the operator's comparison, that of whole blocks too.  No step
+caps anything.  Anchors with more than ``HOT`` blocks left go another, equally exact
+way: their blocks are split into single windows (``windows_of``), whose firsts are a
+grouped minimum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +26,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import cut, mix64
-from .common import materialize, numbered
+from .anchors import cut, gram_hashes, mix64
+from .common import discard, materialize, numbered, small
 
-#: Different blocks of one anchor that are compared together; others are split into windows.
+#: Blocks of one anchor that are compared together; others are split into windows.
 HOT = 4096
-#: Symbols cut at once, and blocks among which repeats are settled before the shuffle.
-PIECE, CHUNK = 1_000_000, 400_000
+#: Symbols cut at once (bytes; words: a quarter of it).
+PIECE = 1_000_000
 
-OCCURRENCE = "route long, anchor long, block long, doc long, copy int, start int, n int, settled boolean"
-SETTLED = "repeated boolean, anchor long, doc long, copy int, start int, n int, variant int"
+OCCURRENCE = "route long, anchor long, doc long, copy int, start int, n int, settled boolean"
+SHARED = "settled boolean, anchor long, doc long, copy int, start int, n int, place long"
 FETCHED = "anchor long, doc long, copy int, start int, n int, content binary"
+WINDOW = "high long, low long, doc long, copy int, start int"
 SPAN = "doc long, copy int, start int, n int"
 
+#: (anchor, doc, start, key, windows, content) sorted by anchor, doc and start, to (key, offset, windows) of the repeats.
+Compare = Callable[[Iterable[tuple]], Iterator[tuple]]
+
 
 class Unit:
     """How a text becomes symbols.  strict: only an earlier document counts, not an earlier place in the same one."""
@@ -63,45 +67,33 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist() if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.to_pylist()
 
 
-def _rows(names: list[str], arrays: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, type=schema.field(c).type) for c, a in zip(names, arrays, strict=True)], schema=schema)
-
-
-OCC = pa.schema([("route", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("doc", pa.int64()), ("copy", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("settled", pa.bool_())])
-SET = pa.schema([("repeated", pa.bool_()), ("anchor", pa.int64()), ("doc", pa.int64()), ("copy", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("variant", pa.int32())])
-FET = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("copy", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("content", pa.binary())])
-SPA = pa.schema([("doc", pa.int64()), ("copy", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
-def _local(strict: bool, anchor, block, doc, copy, start, n) -> pa.RecordBatch:
-    """Settle what repeats within a chunk: only its first occurrence takes part in the shuffle by anchor."""
-    order = np.lexsort((start, doc, block, anchor))
-    anchor, block, doc, copy, start, n = (x[order] for x in (anchor, block, doc, copy, start, n))
-    new = np.ones(len(anchor), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = doc > doc[first]
-    if not strict:
-        later |= start > start[first]
-    spread = mix64(doc.view(np.uint64) * np.uint64(31) + start.astype(np.uint64)).view(np.int64)
-    return _rows(OCC.names, [np.where(later, spread, anchor), anchor, block, doc, copy, start, n, later], OCC)
+def _rows(ddl: str, arrays) -> pa.RecordBatch:
+    schema = _schema(ddl)
+    return pa.RecordBatch.from_arrays([pa.array(a, type=t) for a, t in zip(arrays, schema.types, strict=True)], schema=schema)
 
 
-def cutter(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def cutter(unit: Unit, compare: Compare) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow function: (doc, copy, text) to OCCURRENCE rows; whole texts, in pieces that overlap by a window."""
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
-        n_held = 0
         for docs, copies, parts in grouped_texts(batches, unit):
-            for found in _cut_group(unit, docs, copies, parts):
-                held.append(found)
-                n_held += len(found[0])
-                if n_held >= CHUNK:
-                    yield _local(unit.strict, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, n_held = [], 0
-        if held:
-            yield _local(unit.strict, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            length = np.array([len(p) for p in parts])
+            end = np.cumsum(length)
+            begin = end - length
+            symbols = np.concatenate([unit.symbols(p) for p in parts]) if unit.words else np.frombuffer(b"".join(parts), np.uint8)
+            ends = np.repeat(end, length)
+            ids, numbers = np.array(docs, np.int64), np.array(copies, np.int32)
+            for at in range(0, max(1, len(symbols)), PIECE):
+                stop = min(len(symbols), at + PIECE + unit.width - 1)
+                start, n, anchor = cut(symbols[at:stop], ends[at:stop] - at, unit.width, unit.gram)
+                if len(start):
+                    row = np.searchsorted(end, start + at, side="right")
+                    yield _local(unit, compare, parts, row, ids[row], numbers[row], start + at - begin[row], n, anchor.view(np.int64))
 
     return run
 
@@ -116,78 +108,91 @@ def grouped_texts(batches, unit: Unit):
             copies.append(c)
             parts.append(p)
             size += len(p)
-            if size >= (PIECE // 8 if unit.words else PIECE):
+            if size >= (PIECE // 4 if unit.words else PIECE):
                 yield docs, copies, parts
                 docs, copies, parts, size = [], [], [], 0
     if docs:
         yield docs, copies, parts
 
 
-def _cut_group(unit: Unit, docs, copies, parts):
-    length = np.array([len(p) for p in parts])
-    end = np.cumsum(length)
-    begin = end - length
-    symbols = np.concatenate([unit.symbols(p) for p in parts]) if unit.words else np.frombuffer(b"".join(parts), np.uint8)
-    raw = memoryview(np.ascontiguousarray(symbols)).cast("B")
-    size = symbols.itemsize
-    ends = np.repeat(end, length)
-    ids, copies = np.array(docs, np.int64), np.array(copies, np.int32)
-    digest = xxhash.xxh3_64_intdigest
-    for at in range(0, max(1, len(symbols)), PIECE):
-        stop = min(len(symbols), at + PIECE + unit.width - 1)
-        start, n, anchor = cut(symbols[at:stop], ends[at:stop] - at, unit.width, unit.gram)
-        if not len(start):
-            continue
-        start = start + at
-        block = np.array([digest(raw[x:y]) for x, y in zip((start * size).tolist(), ((start + n + unit.width - 1) * size).tolist(), strict=True)], np.uint64)
-        d = np.searchsorted(end, start, side="right")
-        yield [anchor.view(np.int64), block.view(np.int64), ids[d], copies[d], (start - begin[d]).astype(np.int32), n.astype(np.int32)]
-
-
-def settle(occurrences: DataFrame, strict: bool) -> DataFrame:
-    """SETTLED rows: repeats of identical blocks, and the firsts of anchors that have several different blocks."""
+def _local(unit: Unit, compare: Compare, parts, row, doc, copy, start, n, anchor) -> pa.RecordBatch:
+    """OCCURRENCE rows of one piece: what repeats as a whole within it takes no part in the shuffle by anchor.
+
+    strict: of equal blocks of one document only the first goes on; ``apply_spans`` gives its spans to the others.
+    """
+    order = np.lexsort((start, copy, doc, anchor))
+    row, doc, copy, start, n, anchor = (x[order] for x in (row, doc, copy, start, n, anchor))
+    twice = np.zeros(len(anchor), bool)
+    twice[1:] = anchor[1:] == anchor[:-1]
+    twice[:-1] |= twice[1:]
+    keep, found, seen = np.ones(len(anchor), bool), np.zeros(len(anchor), np.int64), set()
+    places = np.flatnonzero(twice)
+
+    def blocks():
+        last = None
+        for i, a, d, r, s, k in zip(places.tolist(), *(x[places].tolist() for x in (anchor, doc, row, start, n)), strict=True):
+            content = unit.content(parts[r], s, k)
+            if unit.strict:
+                if (a, r) != last:
+                    last = a, r
+                    seen.clear()
+                if content in seen:
+                    keep[i] = False
+                    continue
+                seen.add(content)
+            yield a, d, s, i, k, content
+
+    for i, _, windows in compare(blocks()):
+        found[i] += windows
+    settled = found == n
+    spread = mix64(doc.view(np.uint64) * np.uint64(31) + start.astype(np.uint64)).view(np.int64)
+    return _rows(OCCURRENCE, [x[keep] for x in (np.where(settled, spread, anchor), anchor, doc, copy, start, n, settled)])
+
+
+def shared(occurrences: DataFrame, strict: bool) -> DataFrame:
+    """SHARED rows: the settled ones, and those whose anchor occurs in another document (strict) or at another place.
+
+    place numbers the rows of an anchor.  Rows stream by: of an anchor at most the rows of its first document wait.
+    """
 
     def run(batches):
-        held = None
+        waiting, route, count, several = None, None, 0, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch[c].to_numpy(zero_copy_only=False) for c in OCC.names]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            cutoff = int(np.searchsorted(rows[0], rows[0][-1]))  # the last route may go on in the next batch
-            held = [x[cutoff:] for x in rows]
-            if cutoff:
-                yield _settled(strict, *(x[:cutoff] for x in rows))
-        if held is not None:
-            yield _settled(strict, *held)
-
-    dealt = occurrences.repartition(F.col("route")).sortWithinPartitions("route", "anchor", "block", "doc", "start", "copy")
-    return dealt.mapInArrow(run, SETTLED)
-
-
-def _settled(strict: bool, route, anchor, block, doc, copy, start, n, settled) -> pa.RecordBatch:
-    new_anchor = np.ones(len(route), bool)
-    new_anchor[1:] = (route[1:] != route[:-1]) | (anchor[1:] != anchor[:-1]) | settled[1:] | settled[:-1]
-    new = new_anchor.copy()
-    new[1:] |= block[1:] != block[:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = doc > doc[first]
-    if not strict:
-        later |= start > start[first]
-    variant = np.cumsum(new)
-    group = np.cumsum(new_anchor) - 1
-    base = variant[np.flatnonzero(new_anchor)]
-    last = np.append(variant[np.flatnonzero(new_anchor)[1:] - 1], variant[-1])
-    several = (last > base)[group]
-    repeated = settled | later
-    keep = repeated | several
-    return _rows(SET.names, [x[keep] for x in (repeated, anchor, doc, copy, start, n, (variant - base[group]).astype(np.int32))], SET)
-
-
-def fetched(rows: DataFrame, settled: DataFrame, unit: Unit) -> DataFrame:
-    """FETCHED rows: the contents of the blocks to be compared, read from their documents."""
-    wanted = settled.filter("not repeated").groupBy("doc", "copy").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("wanted"))
+            rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("route", "anchor", "doc", "copy", "start", "n", "settled")]
+            done = rows[6]
+            if done.any():
+                yield _rows(SHARED, [done[done], *(x[done] for x in rows[1:6]), np.zeros(done.sum(), np.int64)])
+                rows = [x[~done] for x in rows]
+                if not len(rows[0]):
+                    continue
+            if waiting is not None:
+                rows = [np.concatenate(x) for x in zip(waiting, rows, strict=True)]
+            of, _, doc = rows[:3]
+            new = np.append(True, of[1:] != of[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(of)) - 1
+            many = doc[first] != doc[last] if strict else last > first
+            known = several and of[0] == route
+            many[0] |= known
+            group = np.cumsum(new) - 1
+            place = np.arange(len(of)) - first[group]
+            if known:
+                place[: last[0] + 1] += count
+            out = many[group]
+            if out.any():
+                yield _rows(SHARED, [x[out] for x in (rows[6], *rows[1:6], place)])
+            route, several, count = of[-1], bool(many[-1]), int(place[-1]) + 1
+            waiting = None if several else [x[first[-1] :] for x in rows]
+
+    dealt = occurrences.repartition(F.col("route")).sortWithinPartitions("route", "doc", "start", "copy")
+    return dealt.mapInArrow(run, SHARED)
+
+
+def fetched(rows: DataFrame, blocks: DataFrame, unit: Unit) -> DataFrame:
+    """FETCHED rows: the contents of blocks, read from their documents."""
+    wanted = blocks.groupBy("doc", "copy").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("wanted"))
 
     def run(batches):
         for batch in batches:
@@ -201,55 +206,74 @@ def fetched(rows: DataFrame, settled: DataFrame, unit: Unit) -> DataFrame:
                 out += [unit.content(parts, starts[i], ns[i]) for i in range(at, at + count)]
                 at += count
             which = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            yield pa.RecordBatch.from_arrays([anchor, batch["doc"].take(which), batch["copy"].take(which), start, n, pa.array(out, pa.binary())], schema=FET)
+            yield _rows(FETCHED, [anchor, batch["doc"].take(which), batch["copy"].take(which), start, n, out])
 
     return rows.join(wanted, ["doc", "copy"]).select("doc", "copy", "text", "wanted").mapInArrow(run, FETCHED)
 
 
 def windows_of(blocks: DataFrame, unit: Unit) -> DataFrame:
-    """OCCURRENCE rows of single windows, each its own anchor: the exact way for anchors with very many different blocks."""
+    """WINDOW rows: each window of the blocks by a 128-bit digest (high, low)."""
 
     def run(batches):
         for batch in batches:
-            anchor, block, doc, copy, start = [], [], [], [], []
+            high, low, doc, copy, start = [], [], [], [], []
             for d, c, s, n, content in zip(*(batch[x].to_pylist() for x in ("doc", "copy", "start", "n", "content")), strict=True):
                 parts = unit.split(content)
                 for i in range(n):
                     digest = xxhash.xxh3_128_intdigest(unit.content(parts, i, 1))
-                    anchor.append(digest >> 64)
-                    block.append(digest & (2**64 - 1))
+                    high.append(digest >> 64)
+                    low.append(digest & (2**64 - 1))
                     doc.append(d)
                     copy.append(c)
                     start.append(s + i)
-            if doc:
-                yield _local(unit.strict, np.array(anchor, np.uint64).view(np.int64), np.array(block, np.uint64).view(np.int64), np.array(doc, np.int64), np.array(copy, np.int32), np.array(start, np.int32), np.ones(len(doc), np.int32))
+            yield _rows(WINDOW, [np.array(high, np.uint64).view(np.int64), np.array(low, np.uint64).view(np.int64), doc, copy, start])
+
+    return blocks.mapInArrow(run, WINDOW)
 
-    return blocks.mapInArrow(run, OCCURRENCE)
+
+def repeated_windows(windows: DataFrame, strict: bool) -> DataFrame:
+    """SPAN rows of the windows after their first: a grouped minimum (combined before its shuffle) and a join that AQE may split."""
+    first = windows.groupBy("high", "low").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    both = windows.join(first, ["high", "low"])
+    later = F.col("doc") > F.col("first.doc")
+    if not strict:
+        later = later | (F.col("start") > F.col("first.start"))
+    return both.filter(later).select("doc", "copy", "start", F.lit(1).alias("n"))
 
 
-def by_anchor(blocks: DataFrame, compare: Callable[[list[tuple[int, int, int, int, int, bytes]]], list[tuple]], bin_symbols: int) -> DataFrame:
-    """SPAN rows that compare finds in bins of whole anchors (rows sorted by anchor, document, start)."""
+def by_anchor(blocks: DataFrame, compare: Compare) -> DataFrame:
+    """SPAN rows that compare finds among the blocks of each anchor (rows sorted by anchor, document, start)."""
 
     def run(batches):
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in FET.names), strict=True):
-                if size >= bin_symbols and row[0] != held[-1][0]:
-                    yield from spans(compare(held))
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[5]) + 1
-        if held:
-            yield from spans(compare(held))
-
-    def spans(found):
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), SPA.types, strict=True)], schema=SPA)
+        def rows():
+            for batch in batches:
+                anchor, doc, copy, start, n, content = (batch[c].to_pylist() for c in _schema(FETCHED).names)
+                yield from zip(anchor, doc, start, zip(doc, copy, start, strict=True), n, content, strict=True)
+
+        out = []
+        for (doc, copy, start), offset, n in compare(rows()):
+            out.append((doc, copy, start + offset, n))
+            if len(out) >= 20_000:
+                yield _rows(SPAN, zip(*out, strict=True))
+                out = []
+        if out:
+            yield _rows(SPAN, zip(*out, strict=True))
 
     return blocks.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc", "start", "copy").mapInArrow(run, SPAN)
 
 
+def _equal_windows(unit: Unit, parts, flagged: np.ndarray) -> np.ndarray:
+    """flagged windows, and all of the same document that equal one of them."""
+    hashes = gram_hashes(unit.symbols(parts), unit.width)
+    known = {h: i for h, i in zip(hashes[flagged].tolist(), np.flatnonzero(flagged).tolist(), strict=True)}
+    more = np.flatnonzero(np.isin(hashes, hashes[flagged]) & ~flagged)
+    w = unit.width
+    out = flagged.copy()
+    for i, h in zip(more.tolist(), hashes[more].tolist(), strict=True):
+        out[i] = parts[i : i + w] == parts[known[h] : known[h] + w]
+    return out
+
+
 def apply_spans(rows: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
     """Per document row: doc, units long, spans array of (start, end) in units (maximal), kept binary."""
     lists = spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "n")).alias("found"))
@@ -268,6 +292,11 @@ def apply_spans(rows: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
                     continue
                 start, n = (found.values.field(i).to_numpy() for i in range(2))
                 step = np.zeros(len(parts) + 1, np.int32)
+                if unit.strict:
+                    np.add.at(step, start, 1)
+                    np.add.at(step, start + n, -1)
+                    start = np.flatnonzero(_equal_windows(unit, parts, np.cumsum(step[: len(parts) - unit.width + 1]) > 0))
+                    step[:], n = 0, 1
                 np.add.at(step, start, 1)
                 np.add.at(step, start + n + unit.width - 1, -1)
                 gone = np.cumsum(step[:-1]) > 0
@@ -283,20 +312,22 @@ def apply_spans(rows: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
     return joined.mapInArrow(run, "doc long, units long, spans array<struct<start: long, end: long>>, kept binary")
 
 
-def remove_repeats(docs: DataFrame, unit: Unit, compare, bin_symbols: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, unit: Unit, compare: Compare, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The four steps; see the module's text.  The result's columns are those of apply_spans."""
     rows = numbered(docs, id_col, text_col)
-    found = materialize(settle(rows.mapInArrow(cutter(unit), OCCURRENCE), unit.strict), "settled")
-    firsts = found.filter("not repeated")
-    hot = firsts.filter(F.col("variant") == HOT).select("anchor").distinct()
-    spans = [found.filter("repeated").select("doc", "copy", "start", "n")]
+    found = materialize(shared(rows.mapInArrow(cutter(unit, compare), OCCURRENCE), unit.strict), "shared")
+    open_, written = found.filter("not settled"), [found]
+    hot = materialize(open_.filter(F.col("place") == HOT).select("anchor").distinct(), "hot")
+    total = found.filter("settled").select("doc", "copy", "start", "n")
+    written.append(hot)
     if hot.isEmpty():
-        spans.append(by_anchor(fetched(rows, firsts, unit), compare, bin_symbols))
+        total = total.unionByName(by_anchor(fetched(rows, open_, unit), compare))
     else:
-        spans.append(by_anchor(fetched(rows, firsts.join(hot, "anchor", "left_anti"), unit), compare, bin_symbols))
-        windows = windows_of(fetched(rows, firsts.join(hot, "anchor", "left_semi"), unit), unit)
-        spans.append(settle(windows, unit.strict).filter("repeated").select("doc", "copy", "start", "n"))
-    total = spans[0]
-    for more in spans[1:]:
-        total = total.unionByName(more)
-    return apply_spans(rows, materialize(total, "spans"), unit)
+        few = small(hot)
+        total = total.unionByName(by_anchor(fetched(rows, open_.join(few, "anchor", "left_anti"), unit), compare))
+        windows = materialize(windows_of(fetched(rows, open_.join(few, "anchor", "left_semi"), unit), unit), "windows")
+        written.append(windows)
+        total = total.unionByName(repeated_windows(windows, unit.strict))
+    spans = materialize(total, "spans")
+    discard(*written)
+    return apply_spans(rows, spans, unit)

@@ -32,9 +32,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, a fresh one."""
+    """The folder all executors share (spark.checkpoint.dir); where it is unset, a fresh one, on one machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spreadworks-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -47,7 +49,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     schema = df.schema
     gc.collect()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize returned and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def small(written: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast a written table if it is counted to be small; else joins shuffle."""
+    return F.broadcast(written) if written.count() <= most else written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

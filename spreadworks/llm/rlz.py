@@ -6,7 +6,8 @@ at least 13 words is a duplicate span; at a factor's end the parse steps back to
 first window that straddles the boundary, because another reference block may hold
 that window.  Content-defined anchors (``blocks.py``) bring each document block together
 with all reference blocks that can match it, so the index of a task is bounded and the
-parse still runs against every reference block of the corpus.
+parse still runs against every reference block of the corpus.  Within a task's piece of
+text the same parse settles what repeats as a whole there, before anything is shuffled.
 
 Defined results: a null text has no words; a null id counts as the smallest; rows that
 share an id are one document to the rule (they never remove each other's words); a text
@@ -15,7 +16,9 @@ of fewer than 13 words is kept; equal rows get equal results; extra columns are
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +28,6 @@ from .common import prepare, public_id, table
 
 WIDTH = 13
 UNIT = Unit(words=True, width=WIDTH, gram=5, strict=True)
-#: Bytes of blocks that a task holds at once (whole anchors: at most this plus one anchor).
-BIN = 1 << 20
 
 
 def factor_spans(words: list[bytes], index: dict, width: int) -> list[tuple[int, int]]:
@@ -49,28 +50,33 @@ def factor_spans(words: list[bytes], index: dict, width: int) -> list[tuple[int,
     return found
 
 
-def parse_blocks(rows: list[tuple]) -> list[tuple]:
-    """SPAN rows of whole anchors sorted by anchor and document: each document against the blocks of smaller ones."""
-    out = []
-    for _, group in groupby(rows, key=lambda r: r[0]):
+def parse_blocks(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(key, first window, windows) of the factors: each block against the blocks of documents with smaller ids.
+
+    rows: (anchor, doc, start, key, windows, content), sorted.  They stream by; the index holds the distinct
+    reference windows of one anchor.
+    """
+    for _, group in groupby(rows, key=itemgetter(0)):
         index: dict = {}
-        for _, blocks in groupby(group, key=lambda r: r[1]):
-            texts: dict[bytes, tuple] = {}  # a document may repeat a block; it is parsed once
-            for _, doc, copy, start, n, content in blocks:
-                if content not in texts:
+        for _, blocks in groupby(group, key=itemgetter(1)):
+            parsed: dict[bytes, tuple] = {}  # a document may repeat a block; it is parsed once
+            for _, _, _, key, _, content in blocks:
+                if content not in parsed:
                     words = content.split(b" ")
-                    texts[content] = words, factor_spans(words, index, WIDTH) if index else []
-                out += [(doc, copy, start + a, m) for a, m in texts[content][1]]
-            for words, _ in texts.values():
-                for i in range(len(words) - WIDTH + 1):
-                    index.setdefault(b" ".join(words[i : i + WIDTH]), (words, i))
-    return out
+                    parsed[content] = words, factor_spans(words, index, WIDTH) if index else []
+                for first, windows in parsed[content][1]:
+                    yield key, first, windows
+            for words, found in parsed.values():
+                n = len(words) - WIDTH + 1
+                if sum(k for _, k in found) < n:  # else the index has them all
+                    for i in range(n):
+                        index.setdefault(b" ".join(words[i : i + WIDTH]), (words, i))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc, units (words), spans array of word ranges removed, kept (binary, words joined by a space)."""
     prepare(docs.sparkSession)
-    return remove_repeats(docs, UNIT, parse_blocks, BIN, id_col, text_col)
+    return remove_repeats(docs, UNIT, parse_blocks, id_col, text_col)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

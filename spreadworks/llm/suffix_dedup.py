@@ -2,11 +2,13 @@
 
 Content-defined anchors (``blocks.py``) bring together the byte blocks that can share a
 100-byte string; a task lays the blocks of whole anchors end to end and sorts their
-suffixes.  Stage one sorts only the suffixes that are smaller than their successors
-(by packed words of the text); stage two induces all others by one scan over the
-buckets of the first symbol.  Neighbours in the order whose common prefix reaches 100
+suffixes.  Stage one directly sorts only suffixes that are smaller than their
+successors; stage two induces all others by one scan over the buckets of the first
+symbol.  Of suffixes that start no 100-byte string of their block, only those take part
+that an induced one rests on.  Neighbours in the order whose common prefix reaches 100
 bytes hold the same string; all but the earliest (document, start) of such a run are
-repeats.
+repeats.  Within a task's piece of text the same sort settles what repeats as a whole
+there, before anything is shuffled.
 
 Defined results: a null text is empty; a null id counts as the smallest; rows that
 share an id count as one document, places compared by start; equal rows get equal
@@ -15,6 +17,8 @@ results; texts under 100 bytes are kept whole; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,98 +28,50 @@ from .common import prepare, public_id, table
 
 WIDTH = 100
 UNIT = Unit(words=False, width=WIDTH, gram=20, strict=False)
-#: Bytes of blocks that a task sorts at once (whole anchors: at most this plus one anchor).
-BIN = 300_000
-#: Symbols packed into one word of 63 bits, and words ranked together in the second step.
-PACK, JOIN = 7, 3
-
-
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1."""
-    order = np.argsort(keys)
-    new = np.ones(len(keys), np.int64)
-    ordered = keys[order]
-    new[1:] = ordered[1:] != ordered[:-1]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+#: Bytes of blocks that are sorted at once (whole anchors: at most this plus one anchor).
+BIN = 1_000_000
 
 
 class Packed:
-    """Ranks of the 7 and of the 21 symbols from each place; 0 beyond the end."""
+    """The symbols (under 256) as one string, whose slices compare as the suffixes do."""
 
     def __init__(self, symbols: np.ndarray):
-        n = len(symbols)
-        word = np.zeros(n, np.uint64)
-        padded = np.concatenate([symbols.astype(np.uint64), np.zeros(PACK, np.uint64)])
-        for i in range(PACK):
-            word = (word << np.uint64(9)) | padded[i : i + n]
-        self.n = n
-        self.bits = np.int64(int(n).bit_length() + 1)
-        short = np.append(_ranks(word), 0)
-        at = np.arange(n)
-        self.long = np.append(_ranks(self._joined(short, at, PACK, JOIN)), 0)
-        self.step = PACK * JOIN
-
-    def _joined(self, ranks: np.ndarray, at: np.ndarray, step: int, count: int) -> np.ndarray:
-        """count ranks, step places apart, as one integer."""
-        key = np.zeros(len(at), np.int64)
-        for i in range(count):
-            key = (key << self.bits) | ranks[np.minimum(at + i * step, self.n)]
-        return key
+        self.text = symbols.astype(np.uint8).tobytes().decode("latin-1")
 
     def order(self, at: np.ndarray, depth: int) -> np.ndarray:
-        """The places of at, sorted by the depth symbols (at least) from each; equal ones in any order."""
-        count = int(62 // self.bits)
-        keys = self._joined(self.long, at, self.step, count)
-        by = np.argsort(keys)
-        at, keys, done = at[by], keys[by], count * self.step
-        while done < depth:
-            new = np.ones(len(at), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            tied = ~new
-            tied[:-1] |= tied[1:]
-            which = np.flatnonzero(tied)
-            if not len(which):
-                break
-            group = np.cumsum(new)
-            count = int((62 - self.bits) // self.bits)
-            sub = (group[which] << (self.bits * count)) | self._joined(self.long, np.minimum(at[which] + done, self.n), self.step, count)
-            by = np.argsort(sub)
-            at[which] = at[which][by]
-            fresh = np.zeros(len(at), bool)
-            ordered = sub[by]
-            fresh[which[1:]] = ordered[1:] != ordered[:-1]
-            keys = np.cumsum(new | fresh)
-            done += count * self.step
-        return at
-
-    def equal(self, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-        """Whether the common prefix of the suffixes a[i] and b[i] reaches width."""
-        same = np.ones(len(a), bool)
-        for off in [*range(0, width - self.step, self.step), width - self.step]:
-            same &= self.long[np.minimum(a + off, self.n)] == self.long[np.minimum(b + off, self.n)]
-        return same
-
-
-def suffix_order(symbols: np.ndarray, packed: Packed, depth: int) -> np.ndarray:
-    """All suffixes, sorted by their first depth symbols, in two stages."""
+        """The places of at, sorted by the depth symbols from each; equal ones by place."""
+        text = self.text
+        return np.array(sorted(at.tolist(), key=lambda i: text[i : i + depth]), np.int64)
+
+
+def suffix_order(symbols: np.ndarray, packed: Packed, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The wanted suffixes (a mask; None: all), sorted by their first depth symbols, in two stages."""
     n = len(symbols)
     # a suffix is smaller than its successor if the first unequal symbol to its right is larger
     sign = np.append(np.sign(symbols[1:].astype(np.int16) - symbols[:-1].astype(np.int16)), -1)
     known = np.where(sign != 0, np.arange(n), n)
     known = np.minimum.accumulate(known[::-1])[::-1]
     smaller = sign[known] > 0
-    direct = packed.order(np.flatnonzero(smaller), depth)
+    needed = np.ones(n, bool)
+    if wanted is not None:  # an induced suffix rests on all that follow it, up to the next directly sorted one
+        rests = np.flatnonzero(wanted & ~smaller)
+        until = np.minimum.accumulate(np.where(smaller, np.arange(n), n - 1)[::-1])[::-1]
+        reach = np.zeros(n + 1, np.int32)
+        np.add.at(reach, rests, 1)
+        np.add.at(reach, until[rests] + 1, -1)
+        needed = wanted | (np.cumsum(reach[:-1]) > 0)
+    direct = packed.order(np.flatnonzero(smaller & needed), depth)
+    takes = needed & ~smaller
     first = symbols[direct]
     alphabet = np.flatnonzero(np.bincount(symbols, minlength=1))
     cuts = np.searchsorted(first, alphabet), np.searchsorted(first, alphabet, side="right")
     induced: dict[int, list[np.ndarray]] = {int(c): [] for c in alphabet}
-    induced[int(symbols[-1])].append(np.array([n - 1]))
+    if takes[n - 1]:
+        induced[int(symbols[-1])].append(np.array([n - 1]))
 
     def scan(places: np.ndarray) -> None:
         before = places[places > 0] - 1
-        before = before[~smaller[before]]
+        before = before[takes[before]]
         if len(before):
             c = symbols[before]
             by = np.argsort(c, kind="stable")
@@ -133,41 +89,71 @@ def suffix_order(symbols: np.ndarray, packed: Packed, depth: int) -> np.ndarray:
         out += induced[c]
         scan(direct[lo:hi])
         out.append(direct[lo:hi])
-    return np.concatenate(out)
-
-
-def repeated_windows(rows: list[tuple]) -> list[tuple]:
-    """SPAN rows of whole anchors: windows whose string starts earlier in another of the blocks."""
+    order = np.concatenate(out)
+    return order if wanted is None else order[wanted[order]]
+
+
+def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix of each suffix with the one before it in the order, counted up to most."""
+    padded = np.concatenate([symbols.astype(np.uint8), np.zeros(most + 8, np.uint8)])
+    words = np.ndarray(len(padded) - 7, np.dtype("<u8"), padded, 0, (1,))
+    out = np.zeros(len(order), np.int64)
+    a, b, alive = order[:-1], order[1:], np.arange(1, len(order))
+    for at in range(0, most, 8):
+        unequal = words[a + at] ^ words[b + at]
+        same = unequal == 0
+        bits = unequal[~same]
+        out[alive[~same]] = at + (np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)) >> 3)
+        a, b, alive = a[same], b[same], alive[same]
+    out[alive] = most
+    return np.minimum(out, most)
+
+
+def repeats(rows: list[tuple]) -> Iterator[tuple]:
+    """(key, offset, windows): the runs of windows of whole anchors whose string starts earlier in one of the blocks."""
     texts = [r[5] for r in rows]
     length = np.array([len(t) for t in texts])
-    doc, copy, start, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4))
+    doc, start, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 4))
     begin = np.cumsum(length + 1) - length - 1
-    # symbols 1 to 256; each block ends with a 0
-    symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 1
-    symbols[begin + length] = 0
+    symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     block = np.repeat(np.arange(len(rows)), length + 1)
     offset = np.arange(len(symbols)) - begin[block]
-    valid = offset < n[block]
-    packed = Packed(symbols)
-    order = suffix_order(symbols, packed, WIDTH)
-    order = order[valid[order]]
-    new = np.ones(len(order), bool)
-    new[1:] = ~packed.equal(order[1:], order[:-1], WIDTH)
+    order = suffix_order(symbols, Packed(symbols), WIDTH, offset < n[block])
+    new = common_prefixes(symbols, order, WIDTH) < WIDTH
+    heads = np.flatnonzero(new)
     run = np.cumsum(new) - 1
     d, s = doc[block[order]], start[block[order]] + offset[order]
-    least_d = np.minimum.reduceat(d, np.flatnonzero(new))[run]
-    least_s = np.minimum.reduceat(np.where(d == least_d, s, np.iinfo(np.int64).max), np.flatnonzero(new))[run]
+    least_d = np.minimum.reduceat(d, heads)[run]
+    least_s = np.minimum.reduceat(np.where(d == least_d, s, np.iinfo(np.int64).max), heads)[run]
     later = np.zeros(len(symbols), bool)
     later[order] = (d > least_d) | (s > least_s)
     edge = np.flatnonzero(np.diff(later.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-    b = block[edge[:, 0]]
-    return list(zip(doc[b].tolist(), copy[b].tolist(), (start[b] + offset[edge[:, 0]]).tolist(), (edge[:, 1] - edge[:, 0]).tolist(), strict=True))
+    for b, at, k in zip(block[edge[:, 0]].tolist(), offset[edge[:, 0]].tolist(), (edge[:, 1] - edge[:, 0]).tolist(), strict=True):
+        yield rows[b][3], at, k
+
+
+def sorted_blocks(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """The same for rows that stream by, in bins of whole anchors; an anchor with one block has nothing to compare."""
+    held: list[tuple] = []
+    size = alone = 0
+    for row in rows:
+        if held and row[0] != held[-1][0]:
+            if alone == len(held) - 1:
+                size -= len(held.pop()[5]) + 1
+            alone = len(held)
+            if size >= BIN:
+                yield from repeats(held)
+                held, size, alone = [], 0, 0
+        held.append(row)
+        size += len(row[5]) + 1
+    if held:
+        yield from repeats(held)
 
 
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc, units (bytes), spans array of byte ranges removed, kept (binary)."""
     prepare(docs.sparkSession)
-    return remove_repeats(docs, UNIT, repeated_windows, BIN, id_col, text_col)
+    return remove_repeats(docs, UNIT, sorted_blocks, id_col, text_col)
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -126,3 +126,55 @@ def test_links_lose_no_pair(spark, monkeypatch, wide):
 @pytest.mark.parametrize("name", ["op4_substring_dedup", "op7_suffix_array_dedup", "op10_simhash_near_dedup"])
 def test_empty_tables(spark, tmp_path, name):
     assert QUERIES[name](spark, write(tmp_path / "t", empty=True)).count() == 0
+
+
+def largest_route(spark, module, rows):
+    docs = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")
+    found = blocks.numbered(docs).mapInArrow(blocks.cutter(module.UNIT, module.parse_blocks if module is rlz else module.sorted_blocks), blocks.OCCURRENCE)
+    return found.groupBy("route").count().agg({"count": "max"}).first()[0] or 0
+
+
+@pytest.mark.parametrize("module", [rlz, suffix_dedup])
+def test_one_repetitive_text_loads_no_route(spark, module):
+    """A text of 200,000 equal words and one whose line comes 20,000 times send few blocks to any one anchor."""
+    line = "one line that comes again and again in this text of many lines without end or change. "
+    assert largest_route(spark, module, [(1, "same " * 200_000)]) <= 8
+    assert largest_route(spark, module, [(2, line * 20_000)]) <= 8
+
+
+def test_repeats_of_a_repetitive_document_are_found(spark, tmp_path):
+    line = "one line that comes again and again in this text of many lines without end or change "
+    rows = [(1, "x " + line * 3), (2, line * 200 + "unlike " + line), (3, "same " * 500), (4, "other " + "same " * 40 + "end " + line), (5, "same " * 13), (6, "same " * 12)]
+    path = write(tmp_path / "t", [(d, t, "a") for d, t in rows])
+    assert got(rlz.op4_substring_dedup(spark, path), "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute_words(rows))
+    assert got(suffix_dedup.op7_suffix_array_dedup(spark, path), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute_bytes(rows))
+
+
+def test_whole_blocks_are_found_by_the_method(spark, tmp_path, monkeypatch):
+    """Copies of whole texts: without the operator's comparison nothing is found."""
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+    none = blocks.remove_repeats(docs, rlz.UNIT, lambda rows: (x for x in list(rows)[:0]))
+    assert none.filter("size(spans) > 0").isEmpty()
+    assert rlz.substring_dedup(docs).filter("size(spans) = 1").count() == 39
+
+
+def test_common_prefixes_are_lengths():
+    g = np.random.default_rng(4)
+    symbols = g.integers(0, 2, 400).astype(np.uint8)
+    order = suffix_dedup.suffix_order(symbols, suffix_dedup.Packed(symbols), 400)
+    got_lengths = suffix_dedup.common_prefixes(symbols, order, 20)
+    text = symbols.tobytes()
+    for k in range(1, len(order)):
+        a, b = text[order[k - 1] :], text[order[k] :]
+        want = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert min(want, 20) == got_lengths[k] or min(len(a), len(b)) < 20
+
+
+def test_suffix_order_of_wanted_suffixes():
+    g = np.random.default_rng(6)
+    for n, k in ((50, 2), (600, 3)):
+        symbols = np.append(g.integers(1, k + 1, n), 0).astype(np.uint16)
+        wanted = g.random(n + 1) < 0.3
+        order = suffix_dedup.suffix_order(symbols, suffix_dedup.Packed(symbols), n + 1, wanted)
+        assert order.tolist() == [i for i in sorted(range(n + 1), key=lambda i: symbols[i:].tolist()) if wanted[i]]
