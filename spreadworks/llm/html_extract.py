@@ -4,9 +4,13 @@ The standard library's streaming parser gives one line per block of text (what l
 between two block-level tags).  A line's ratio is its text length over the tags that
 opened in it; lines under elements that are marked up as something else than content
 (navigation, header, footer, aside, form, script, adverts, notices, comments and the
-like) have ratio 0.  A class or id does not mark what holds an article, main or most of
-the page's text, nor does one that tells a layout or state (with-sidebar, comments-open).  The ratios are smoothed by a Gaussian over neighbouring lines and
-split into two clusters by a threshold (two means in one dimension).  The lines of the
+like) have ratio 0.  A class or id marks only if it says nothing else: beside words of
+place or form (post-footer, share-buttons) it does, beside words of content it does not
+(side-effects, social-history); nor does it mark what holds an article, main or most of
+the page's text, or one that tells a layout or state (with-sidebar, comments-open).  A
+header inside an article or main is its own title and stays.  The ratios are smoothed by
+a Gaussian over neighbouring lines and split into two clusters by a threshold (two means
+in one dimension).  The lines of the
 upper cluster select the content region: the innermost element that holds at least
 80 % of their text, widened to the article or main element around it.  All content
 lines of the region are the text, short ones included.  Without an article or main
@@ -56,6 +60,14 @@ KEEP = frozenset("html body main".split())
 #: A class like with-sidebar or comments-open says how something else is laid out.
 PREFIXES = frozenset("with without has have no not non is hide show".split())
 SUFFIXES = frozenset("open closed enabled disabled".split())
+#: Words of place or form: beside them (and beside numbers) a mark still marks.
+NEUTRAL = frozenset(
+    "site page post posts entry entries article articles blog story stories main primary secondary global top bottom left right center inner outer "
+    "first last before after below above in inline box block container wrapper wrap inside area region section zone slot unit bar panel strip row col column "
+    "grid list lists item items link links button buttons icon icons group holder content body text title heading tools toolbar tags meta "
+    "author user users reader readers customer view count counts form field input area sticky fixed floating mobile desktop big small large wide "
+    "google dfp leaderboard skyscraper rectangle label placeholder native header footer email mail sign up us on more latest popular recent your our new js".split()
+)
 #: Marks that beside one of these words (or on a section, if None) name a part of a text.
 PARTS = {"related": frozenset("work works research literature".split()), **dict.fromkeys(("response", "responses", "reply", "replies"), frozenset("body text content".split())), "discussion": None}
 #: An element with a mark is content all the same if it holds this share of the page's text (if it is nothing but marks: SHARE).
@@ -114,7 +126,9 @@ class Lines(HTMLParser):
                 words = [w.lower() for w in _WORDS.findall(token)]
                 if len(words) > 1 and (words[0] in PREFIXES or words[-1] in SUFFIXES):
                     continue
-                others = set(words) - MARKS
+                others = {w for w in set(words) - MARKS if not w.isdigit()}
+                if others - NEUTRAL:  # it names something else: side-effects, social-history
+                    continue
                 for w in MARKS.intersection(words):
                     part = PARTS.get(w, frozenset())
                     if not (tag == "section" if part is None else part & set(words)):
@@ -133,7 +147,9 @@ class Lines(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        outside = (bool(self.open) and self.open[-1][2]) or self.outside(tag, attrs)
+        outside = bool(self.open) and self.open[-1][2]
+        if not outside and not (tag == "header" and any(t in REGION for t, _, _ in self.open)):
+            outside = self.outside(tag, attrs)
         mark = 0 if outside else self.marked(tag, attrs)
         if tag in BLOCK or outside or mark:
             if mark:
@@ -169,6 +185,12 @@ class Lines(HTMLParser):
             self.linked += len(data)
 
 
+def text_to_tags(line: tuple) -> float:
+    """Text length over the tags that opened in the line; 0 outside of content."""
+    text, tags, _, outside, _ = line
+    return 0.0 if outside else len(text) / max(1, tags)
+
+
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian average over neighbouring lines."""
     reach = int(3 * sigma)
@@ -232,7 +254,7 @@ def main_text(html: str | None) -> str:
     if not content:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
-    ratio = np.array([0.0 if x[3] else len(x[0]) / max(1, x[1]) for x in lines])
+    ratio = np.array([text_to_tags(x) for x in lines])
     even = smoothed(ratio)
     cut = threshold(even)
     chosen = [i for i in content if even[i] >= cut] or content

@@ -121,3 +121,56 @@ def test_nulls_extra_columns_and_empty_tables(spark):
     assert sorted((r["page_id"] or 0, r["text"]) for r in rows) == [(0, "hello"), (1, ""), (2, ""), (2, "")]
     assert html_extract.extract(pages.limit(0)).count() == 0
     assert sorted(r["text"] for r in html_extract.extract(pages).collect()) == ["", "", "", "hello"]
+
+
+@pytest.mark.parametrize("name", ["side-effects", "social-history", "related-work", "navigation-systems-of-ships", "banner-making", "comment-culture"])
+def test_class_words_do_not_delete_parts_of_an_article(name):
+    part = f"<section class='{name}' id='{name}'><h2>Part</h2><p>{LONG}</p></section>"
+    body = f"<header><h1>Title</h1><p>A. Writer</p><nav>Share this</nav></header><p>{LONG}</p>{part}<div class='share-buttons'>Share</div><footer>Tags: a, b</footer>"
+    for around in ("<article>{}</article>", "<main>{}</main>"):
+        assert main_text(div_page("<header>Site</header>" + around.format(body))) == f"Title A. Writer {TEXT} Part {TEXT}"
+    assert main_text(div_page(f"<div class='{name}'><h1>Title</h1><p>{LONG}</p></div>")) == f"Title {TEXT}"
+
+
+def link_list(n, k):
+    return "<div>" + " ".join(f"<span><a href='/{i}'>Item {i} of list {k}</a></span>" for i in range(n)) + "</div>"
+
+
+#: Pages without article or main, and the text that a reader would call theirs.
+KINDS = {
+    "div": (f"<div><h1>Title</h1><div>{''.join(f'<p>{p}</p>' for p in PARAGRAPHS)}</div></div>", ["Title", *PARAGRAPHS]),
+    "table": (f"<table><tr><td>{''.join(f'<p>{p}</p>' for p in PARAGRAPHS[:4])}</td></tr></table>", PARAGRAPHS[:4]),
+    "list": (f"<section><h2>Steps</h2><ol>{''.join(f'<li>{p}</li>' for p in PARAGRAPHS[:5])}</ol></section>", ["Steps", *PARAGRAPHS[:5]]),
+    "bare": ("".join(f"<p>{p}</p>" for p in PARAGRAPHS), PARAGRAPHS),
+    "sections": ("".join(f"<section><h2>Part {i}</h2><p>{p}</p></section>" for i, p in enumerate(PARAGRAPHS[:3])), [x for i, p in enumerate(PARAGRAPHS[:3]) for x in (f"Part {i}", p)]),
+}
+
+
+def plain_page(kind):
+    """Menus and lists of links without any mark stand around the text."""
+    body = KINDS[kind][0]
+    return f"<html><body>{link_list(9, 1)}{link_list(7, 2)}<div>{body}</div>{link_list(8, 3)}<div>Imprint</div>{link_list(6, 4)}</body></html>"
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_clusters_choose_the_text_where_no_tag_names_it(kind):
+    assert main_text(plain_page(kind)) == " ".join(KINDS[kind][1])
+
+
+@pytest.mark.parametrize(("kind", "part"), [*((k, p) for k in KINDS for p in ("ratio", "threshold")), ("div", "smoothing")])
+def test_ratio_smoothing_and_threshold_decide(monkeypatch, kind, part):
+    """Ablation: without one of them the same pages give other texts (smoothing: a line of links amid the text)."""
+    want = " ".join(KINDS[kind][1])
+    page = plain_page(kind)
+    if part == "threshold":
+        monkeypatch.setattr(html_extract, "threshold", lambda values: 0.0)
+    elif part == "ratio":
+        monkeypatch.setattr(html_extract, "text_to_tags", lambda line: 0.0)
+    else:
+        linked = "<a href=/ships>Read all about the ships of old and of new</a>"
+        menus = "".join(link_list(6, k) for k in range(5))
+        page = f"<html><body>{menus}<div>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS[:3]) + f"<p>{linked}</p>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS[3:6]) + f"</div>{menus}</body></html>"
+        want = " ".join([*PARAGRAPHS[:3], "Read all about the ships of old and of new", *PARAGRAPHS[3:6]])
+        assert main_text(page) == want
+        monkeypatch.setattr(html_extract, "smoothed", lambda ratio: ratio)
+    assert main_text(page) != want
