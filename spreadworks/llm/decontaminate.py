@@ -7,7 +7,8 @@ smallest of its shingle hashes, K being fixed per partition.  At containment t a
 of n shingles may miss floor((1 - t) n) of them, so K is chosen above that number for
 the largest n of the partition, and a document that contains the item shows at least
 K - floor((1 - t) n) sketch hashes: the search loses nothing.  Candidates are verified by
-exact shingle containment on the shingles themselves.
+exact shingle containment on the shingles themselves: candidate documents' shingles meet
+candidate items' by hash and text, and each pair's distinct ones are counted.
 
 Words are the lower-cased text split at ASCII white space.  Defined results: a null or
 empty text or item has no shingles and matches nothing; an item of fewer than five words
@@ -27,6 +28,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 SPACES = "\t\n\x0b\x0c\r"
 #: Sketch rows that are broadcast (24 bytes each); beyond it the search is a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Residues of hashes by which rows are filtered before such a shuffle (8 bytes each, broadcast).
+RESIDUES = 1 << 20
 
 
 def words(text):
@@ -59,6 +62,23 @@ def text_digest(column: str):
     return F.md5(F.coalesce(F.col(f"`{column}`"), F.lit("")).cast("binary"))
 
 
+def test_hash(column: str):
+    """Hash of a shingle's text."""
+    return F.xxhash64(F.col(column))
+
+
+def with_hashes(rows: DataFrame, table_: DataFrame) -> DataFrame:
+    """rows joined on hash with a written table: broadcast if it is counted to be small, else shuffled.
+
+    Before a shuffle, rows whose hash falls on no residue of the table's hashes go; the residues are at most RESIDUES rows.
+    """
+    if table_.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table_), "hash")
+    residues = table_.select(F.pmod("hash", F.lit(RESIDUES)).alias("residue")).distinct()
+    near = rows.join(F.broadcast(residues), F.pmod(rows["hash"], F.lit(RESIDUES)) == F.col("residue"), "left_semi")
+    return near.join(table_, "hash")
+
+
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(item, hash, need): the K smallest hashes of each item, K by size partition; need: how many a match shows at least."""
     rows = items.select("item", F.array_distinct(F.transform(places(F.col("w")), lambda i: shingle_hash(F.col("w"), i))).alias("hashes"))
@@ -78,19 +98,24 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
     tests = materialize(tests.withColumn("test_row", F.xxhash64("item", F.array_join("w", " "))).dropDuplicates(["item", "w"]).select("item", F.col("test_row"), "w"), "items")
     sketch = sketches(tests.select(F.struct("item", "test_row").alias("item"), "w"), threshold)
     sketch = materialize(sketch.select("item.item", "item.test_row", "need", "hash"), "sketches")
-    if sketch.count() <= BROADCAST_ROWS:
-        sketch = F.broadcast(sketch)
     # one span of generated code from the split to the join: places are exploded, shingles never are an array
     split = rows.select("doc", "copy", words(F.col("text")).alias("w"))
     hashed = split.select("doc", "copy", "w", F.explode(places(F.col("w"))).alias("i")).select("doc", "copy", shingle_hash(F.col("w"), F.col("i")).alias("hash"))
-    hits = hashed.join(sketch, "hash").distinct().groupBy("doc", "copy", "item", "test_row").agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need"))
-    candidates = hits.filter("hits >= need").groupBy("doc", "copy").agg(F.collect_list(F.struct("item", "test_row")).alias("c"))
-    candidates = materialize(candidates, "candidates")
-    # the texts of candidate documents only meet the shingles of their own candidates
-    full = tests.select("item", "test_row", shingle_texts(F.col("w")).alias("test"))
-    texts = rows.join(candidates, ["doc", "copy"]).select("doc", text_digest("text").alias("digest"), "c", words(F.col("text")).alias("w")).select("doc", "digest", "c", shingle_texts(F.col("w")).alias("has"))
-    pairs = texts.select("doc", "digest", "has", F.explode("c").alias("c")).select("doc", "digest", "has", F.col("c.item").alias("item"), F.col("c.test_row").alias("test_row"))
-    exact = pairs.join(full, [pairs["item"].eqNullSafe(full["item"]), pairs["test_row"] == full["test_row"]]).select("doc", "digest", pairs["item"].alias("item"), F.size("test").cast("long").alias("n_shingles"), F.size(F.array_intersect("test", "has")).cast("long").alias("n_shared"))
+    hits = with_hashes(hashed, sketch).distinct().groupBy("doc", "copy", "item", "test_row").agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need"))
+    candidates = materialize(hits.filter("hits >= need").select("doc", "copy", F.col("item").alias("c_item"), F.col("test_row").alias("c_row")), "candidates")
+    # exact: the shingles of candidate documents meet those of candidate items, as texts; a pair is a key, never a copy of a text
+    chosen = tests.join(candidates.select("c_item", "c_row").distinct(), F.col("item").eqNullSafe(F.col("c_item")) & (F.col("test_row") == F.col("c_row")), "left_semi")
+    full = chosen.select("item", "test_row", shingle_texts(F.col("w")).alias("tests")).select("item", "test_row", F.size("tests").cast("long").alias("n_shingles"), F.explode("tests").alias("test"))
+    full = materialize(full.withColumn("hash", test_hash("test")), "tests")
+    texts = rows.join(candidates.select("doc", "copy").distinct(), ["doc", "copy"], "left_semi")
+    split = texts.select("doc", "copy", text_digest("text").alias("digest"), words(F.col("text")).alias("w"))
+    shown = split.select("doc", "copy", "digest", "w", F.explode(places(F.col("w"))).alias("i")).select("doc", "copy", "digest", F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.lit(SHINGLE))).alias("shown"))
+    met = with_hashes(shown.withColumn("hash", test_hash("shown")), full).filter("shown = test")
+    pairs = met.groupBy("doc", "copy", "digest", "item", "test_row", "n_shingles", "test").agg(F.lit(1).alias("one"))
+    shared = pairs.groupBy("doc", "copy", "digest", "item", "test_row", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared"))
+    names = candidates.select(F.col("doc").alias("c_doc"), F.col("copy").alias("c_copy"), "c_item", "c_row")
+    on = (F.col("doc") == F.col("c_doc")) & (F.col("copy") == F.col("c_copy")) & F.col("item").eqNullSafe(F.col("c_item")) & (F.col("test_row") == F.col("c_row"))
+    exact = shared.join(names, on, "left_semi").select("doc", "digest", "item", "n_shingles", "n_shared")
     return exact.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= threshold)
 
 

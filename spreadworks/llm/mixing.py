@@ -3,14 +3,16 @@
 Words are summed by source and hash bucket.  Per source, the running sum over the
 buckets tells in which bucket the budget ends; only that boundary bucket is refined by
 the next bits of the hash, until one hash value is left.  The filter is then a
-comparison of each document's hash with its source's threshold: no document is sorted.
+comparison of each document's hash (of its id and text) with its source's threshold: no
+document is sorted.
 
 Targets: all sources together are to give `total` (150 %) of all words, by weights 3, 1,
 2, repeating over the sources in code point order, null last.  No target exceeds twice
 its source; the excess is shared again by weight until none is above (water filling).
 
 Defined results: a null text has 0 words; a null source is a source of its own; a null
-id hashes as an empty string; rows that share an id are taken alike; an empty source
+id hashes as an empty string; rows equal in id and text are taken alike, so a source
+misses its target by at most the words of such rows at the threshold; an empty source
 has target 0 (its cap) and takes nothing; extra columns are ignored.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, table
+from .common import discard, materialize, prepare, small, table
 
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
 #: Bits of a bucket, and levels of buckets: 4 x 12 of 48 bits.
@@ -27,9 +29,11 @@ BITS, LEVELS = 12, 4
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def hash48(column: str):
-    """48 bits of an id's MD5, the same in any SQL engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+def hash48(id_col: str, text_col: str):
+    """48 bits of the MD5 of a row's id and text, the same in any SQL engine: rows without an id, or that share one, differ by text."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), text)
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
@@ -54,7 +58,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int =
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
     """(words, hash, source) columns of docs."""
     words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORDS)), F.lit(0)).cast("long")
-    return words, hash48(f"`{id_col}`"), F.col(f"`{source_col}`")
+    return words, hash48(f"`{id_col}`", f"`{text_col}`"), F.col(f"`{source_col}`")
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -79,17 +83,16 @@ def plan(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int = MOS
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
         run = run.withColumn("upto", F.col("under") + upto).filter("upto > budget")
         ends = run.groupBy("source").agg(F.min(F.struct("bucket", "upto", "words", "budget")).alias("e"))
-        state = materialize(ends.select("source", F.col("e.budget").alias("budget"), (F.col("e.upto") - F.col("e.words")).alias("under"), F.col("e.bucket").alias("prefix"), F.col("e.words").alias("words")), "boundary")
+        before, state = state, materialize(ends.select("source", F.col("e.budget").alias("budget"), (F.col("e.upto") - F.col("e.words")).alias("under"), F.col("e.bucket").alias("prefix"), F.col("e.words").alias("words")), "boundary")
+        if level:
+            discard(before)
     # one hash value is left: it is in if that comes nearer to the budget; no boundary: the budget takes every document
     nearer = F.col("under") + F.col("words") - F.col("budget") < F.col("budget") - F.col("under")
     limit = state.select(F.col("source").alias("s"), F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("limit"))
     out = budget.join(limit, F.col("source").eqNullSafe(F.col("s")), "left")
-    return materialize(out.select("source", "source_size", "target", "whole", F.coalesce("limit", F.lit(1 << (BITS * LEVELS))).alias("limit")), "plan")
-
-
-def small(per_source: DataFrame) -> DataFrame:
-    """Broadcast a table of one row per source if it is small (counted: it is a written table); else joins shuffle."""
-    return F.broadcast(per_source) if per_source.count() <= 100_000 else per_source
+    done = materialize(out.select("source", "source_size", "target", "whole", F.coalesce("limit", F.lit(1 << (BITS * LEVELS))).alias("limit")), "plan")
+    discard(rows, first, budget, state)
+    return done
 
 
 def take(docs: DataFrame, mix_plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefix: str = "mix_") -> DataFrame:
@@ -124,7 +127,7 @@ def op9_mixing_sources(spark, sf_dir: str) -> DataFrame:
 #: The mix of a table d as SQL; hash buckets give the same documents as a running sum in hash order.
 MIX_SQL = r"""
 r AS (SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h FROM d),
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS h FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              [3, 1, 2][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS w FROM r GROUP BY source),
 o AS (SELECT *, 2 * source_size AS cap,

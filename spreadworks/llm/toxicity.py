@@ -11,15 +11,19 @@ highest window logit, their log-sum-exp and the number of windows, fitted on lab
 network was not trained on.
 
 Training rows: labelled documents chosen by the caller's filter, at most MAX_TOXIC
-toxic and MAX_CLEAN others (smallest hash of the id first), at most MAX_WINDOWS evenly
-spaced windows of each.  These three bounds are the only limits, and hold for training
-alone.  Given the same tables the model is the same (fixed seed).  Scoring runs in the
-partitions of the documents; the trained weights (some MB, fixed size) are broadcast.
-
-Defined results: a null or empty text is scored as one window without words; without
-labels of both kinds every score is the share of toxic labels (0 without labels); ids
-that are null are not held out unless their hash says so; repeated rows score alike;
-extra columns are ignored.
+toxic and MAX_CLEAN others (smallest hash of the id first), of each kind as many as
+MAX_BYTES hold: a document that does not fit into what is left of them is passed over.
+These bounds on rows are the only limits, and hold for training alone: a document of the
+sample is learned from whole, and what reaches the driver is bounded in bytes.  Given the
+same tables the model is the same (fixed seed).  Scoring runs in the partitions of the
+documents; the trained weights (some MB, fixed size) are broadcast.
+
+Defined results: a null or empty text is scored as one window without words; very long
+texts are scored to their end and, in training, count as any other row; without labels
+of both kinds every score is the share of toxic labels (0 without labels); of rows that
+share a labelled id the first text in byte order is learned from; ids that are null are
+not held out unless their hash says so; repeated rows score alike; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import texts_of
-from .common import prepare, table
+from .common import discard, materialize, prepare, table
 
-MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS = 1000, 1600, 8
+#: Bounds of the labelled rows learned from: toxic ones, others, and the bytes of the texts of each kind.
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1000, 1600, 6 << 20
 WINDOW, STRIDE = 64, 32
 BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 15, 8, 16, 16, 16
 EPOCHS, STEPS, BATCH, RATE, SEED = 5, 500, 256, 5e-3, 7
@@ -239,8 +244,6 @@ def train_net(docs: list[list[bytes]], toxic: np.ndarray, least_epochs: int = EP
     for i, words in enumerate(docs):
         rows = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
         starts = window_starts(len(words))
-        if len(starts) > MAX_WINDOWS:
-            starts = [starts[j] for j in np.linspace(0, len(starts) - 1, MAX_WINDOWS).astype(int)]
         windows.append(padded(rows, starts))
         owner += [i] * len(starts)
     windows, owner = np.concatenate(windows), np.array(owner)
@@ -433,24 +436,31 @@ class Model:
         return sigmoid(np.clip(x @ self.combine[:-1] + self.combine[-1], -30, 30))
 
 
-def train(docs: DataFrame, labels: DataFrame, chosen, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    """Fit on a bounded sample of the labelled rows for which the Column `chosen` (of doc_id) holds."""
+def sample(docs: DataFrame, labels: DataFrame, chosen, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> tuple[list, int, int]:
+    """(rows of doc_id, toxic, text in order of id, toxic labels, all labels): the bounded sample of labelled rows."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & chosen).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {bool(r["t"]): r["n"] for r in marks.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    every = sum(total.values())
     if len(total) < 2:
-        return Model(None, None, total.get(True, 0) / every if every else 0.0)
+        return [], total.get(True, 0), sum(total.values())
     order = F.xxhash64("doc_id")
     picked = marks.filter("toxic > 0").orderBy(order).limit(max_toxic).unionByName(marks.filter("toxic <= 0").orderBy(order).limit(max_clean))
-    # at most max_toxic + max_clean rows: the bound of what is broadcast and collected
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-    got = sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"]))
-    same: dict[bytes, bytes] = {}  # a word is held once
-    words = [[same.setdefault(w, w) for w in tokens(r["text"].encode())] for r in got]
-    toxic = np.array([r["toxic"] > 0 for r in got])
-    if not toxic.any() or toxic.all():
-        return Model(None, None, total.get(True, 0) / every)
-    aside = np.array([zlib.crc32(b"aside%d" % r["doc_id"]) % 5 == 0 for r in got])
+    # at most max_toxic + max_clean rows: the bound of what is broadcast, and of the rows written and counted here
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = materialize(rows, "labelled")
+    left, fits = {True: max_bytes, False: max_bytes}, []
+    for r in rows.select("doc_id", (F.col("toxic") > 0).alias("t"), F.octet_length("text").alias("size")).orderBy(order, "doc_id").collect():
+        if r["size"] <= left[r["t"]]:
+            left[r["t"]] -= r["size"]
+            fits.append(r["doc_id"])
+    kept = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fits], "doc_id long")), "doc_id") if fits else rows.limit(0)
+    got = sorted(kept.toLocalIterator(), key=lambda r: r["doc_id"])
+    discard(rows)
+    return got, total[True], sum(total.values())
+
+
+def fitted(ids: list[int], words: list[list[bytes]], toxic: np.ndarray, odds: float) -> Model:
+    """The network, and the logistic function fitted on a fifth of the rows that it did not see; odds: other labels for each toxic one."""
+    aside = np.array([zlib.crc32(b"aside%d" % i) % 5 == 0 for i in ids])
     if min(toxic[aside].sum(), (~toxic[aside]).sum(), toxic[~aside].sum()) < 1:
         aside[:] = False
     net = train_net([w for w, a in zip(words, aside, strict=True) if not a], toxic[~aside])
@@ -459,9 +469,20 @@ def train(docs: DataFrame, labels: DataFrame, chosen, max_toxic: int = MAX_TOXIC
     x = np.concatenate([scorer.features([b" ".join(words[i])]) for i in np.flatnonzero(fit)])
     y = toxic[fit].astype(float)
     # the sample holds more toxic rows than the labels do; half of that (in log odds) is undone, which favours recall
-    odds = (total[False] / total[True]) / max((1 - y.mean()) / max(y.mean(), 1e-9), 1e-9)
+    odds /= max((1 - y.mean()) / max(y.mean(), 1e-9), 1e-9)
     weight = np.where(y > 0, 1.0, np.sqrt(odds))
-    return Model(net, fit_logistic(x, y, weight), total[True] / every)
+    return Model(net, fit_logistic(x, y, weight), 0.0)
+
+
+def train(docs: DataFrame, labels: DataFrame, chosen, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> Model:
+    """Fit on a bounded sample of the labelled rows for which the Column `chosen` (of doc_id) holds."""
+    got, n_toxic, every = sample(docs, labels, chosen, max_toxic, max_clean, max_bytes)
+    toxic = np.array([r["toxic"] > 0 for r in got], bool)
+    if not toxic.any() or toxic.all():
+        return Model(None, None, n_toxic / every if every else 0.0)
+    same: dict[bytes, bytes] = {}  # a word is held once
+    words = [[same.setdefault(w, w) for w in tokens(r["text"].encode())] for r in got]
+    return fitted([r["doc_id"] for r in got], words, toxic, (every - n_toxic) / n_toxic)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
