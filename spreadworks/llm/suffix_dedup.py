@@ -29,7 +29,7 @@ from .common import prepare, public_id, table
 WIDTH = 100
 UNIT = Unit(words=False, width=WIDTH, gram=20, strict=False)
 #: Bytes of blocks that are sorted at once (whole anchors: at most this plus one anchor).
-BIN = 1_000_000
+BIN = 700_000
 
 
 class Packed:
@@ -41,25 +41,22 @@ class Packed:
     def order(self, at: np.ndarray, depth: int) -> np.ndarray:
         """The places of at, sorted by the depth symbols from each; equal ones by place."""
         text = self.text
-        return np.array(sorted(at.tolist(), key=lambda i: text[i : i + depth]), np.int64)
+        keys = [text[i : i + depth] for i in at.tolist()]
+        return at[sorted(range(len(keys)), key=keys.__getitem__)]
 
 
 def suffix_order(symbols: np.ndarray, packed: Packed, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The wanted suffixes (a mask; None: all), sorted by their first depth symbols, in two stages."""
     n = len(symbols)
-    # a suffix is smaller than its successor if the first unequal symbol to its right is larger
-    sign = np.append(np.sign(symbols[1:].astype(np.int16) - symbols[:-1].astype(np.int16)), -1)
-    known = np.where(sign != 0, np.arange(n), n)
-    known = np.minimum.accumulate(known[::-1])[::-1]
-    smaller = sign[known] > 0
+    places = np.arange(n, dtype=np.int32)
+    # a suffix is smaller than its successor if the first unequal symbol to its right is larger; the last one is not
+    unequal = np.append(symbols[1:] != symbols[:-1], True)
+    known = np.minimum.accumulate(np.where(unequal, places, n)[::-1])[::-1]
+    smaller = np.append(symbols[1:] > symbols[:-1], False)[known]
     needed = np.ones(n, bool)
     if wanted is not None:  # an induced suffix rests on all that follow it, up to the next directly sorted one
-        rests = np.flatnonzero(wanted & ~smaller)
-        until = np.minimum.accumulate(np.where(smaller, np.arange(n), n - 1)[::-1])[::-1]
-        reach = np.zeros(n + 1, np.int32)
-        np.add.at(reach, rests, 1)
-        np.add.at(reach, until[rests] + 1, -1)
-        needed = wanted | (np.cumsum(reach[:-1]) > 0)
+        until = np.minimum.accumulate(np.where(smaller, places, n)[::-1])[::-1]
+        needed = wanted | (np.maximum.accumulate(np.where(wanted & ~smaller, until, -1)) >= places)
     direct = packed.order(np.flatnonzero(smaller & needed), depth)
     takes = needed & ~smaller
     first = symbols[direct]
@@ -74,10 +71,11 @@ def suffix_order(symbols: np.ndarray, packed: Packed, depth: int, wanted: np.nda
         before = before[takes[before]]
         if len(before):
             c = symbols[before]
-            by = np.argsort(c, kind="stable")
-            before, c = before[by], c[by]
-            edge = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(c)], strict=True):
+            if len(before) > 1:
+                by = np.argsort(c, kind="stable")
+                before, c = before[by], c[by]
+            edge = (np.flatnonzero(c[1:] != c[:-1]) + 1).tolist()
+            for x, y in zip([0, *edge], [*edge, len(c)], strict=True):
                 induced[int(c[x])].append(before[x:y])
 
     out = []
@@ -95,17 +93,16 @@ def suffix_order(symbols: np.ndarray, packed: Packed, depth: int, wanted: np.nda
 
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it in the order, counted up to most."""
-    padded = np.concatenate([symbols.astype(np.uint8), np.zeros(most + 8, np.uint8)])
-    words = np.ndarray(len(padded) - 7, np.dtype("<u8"), padded, 0, (1,))
+    step = -(-most // 8)
+    padded = np.concatenate([symbols.astype(np.uint8), np.zeros(8 * step, np.uint8)])
+    words = np.ndarray((len(symbols), step), np.dtype("<u8"), padded, 0, (1, 8))  # the words from each place
     out = np.zeros(len(order), np.int64)
-    a, b, alive = order[:-1], order[1:], np.arange(1, len(order))
-    for at in range(0, most, 8):
-        unequal = words[a + at] ^ words[b + at]
-        same = unequal == 0
-        bits = unequal[~same]
-        out[alive[~same]] = at + (np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)) >> 3)
-        a, b, alive = a[same], b[same], alive[same]
-    out[alive] = most
+    for at in range(1, len(order), 50_000):
+        stop = min(len(order), at + 50_000)
+        unequal = words[order[at - 1 : stop - 1]] ^ words[order[at:stop]]
+        word = (unequal != 0).argmax(axis=1)
+        bits = unequal[np.arange(stop - at), word]
+        out[at:stop] = np.where(bits == 0, most, 8 * word + (np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)) >> 3))
     return np.minimum(out, most)
 
 
@@ -116,8 +113,8 @@ def repeats(rows: list[tuple]) -> Iterator[tuple]:
     doc, start, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 4))
     begin = np.cumsum(length + 1) - length - 1
     symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    block = np.repeat(np.arange(len(rows)), length + 1)
-    offset = np.arange(len(symbols)) - begin[block]
+    block = np.repeat(np.arange(len(rows), dtype=np.int32), length + 1)
+    offset = np.arange(len(symbols), dtype=np.int32) - begin[block].astype(np.int32)
     order = suffix_order(symbols, Packed(symbols), WIDTH, offset < n[block])
     new = common_prefixes(symbols, order, WIDTH) < WIDTH
     heads = np.flatnonzero(new)
