@@ -30,7 +30,7 @@ from .anchors import cut, gram_hashes, mix64
 from .common import discard, materialize, numbered, small
 
 #: Blocks of one anchor that are compared together; others are split into windows.
-HOT = 2048
+HOT = 4096
 #: Symbols cut at once (bytes; words: a quarter of it).
 PIECE = 1_000_000
 

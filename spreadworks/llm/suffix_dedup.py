@@ -36,11 +36,15 @@ class Packed:
     """The symbols (under 256) as one string, whose slices compare as the suffixes do."""
 
     def __init__(self, symbols: np.ndarray):
-        self.text = symbols.astype(np.uint8).tobytes().decode("latin-1")
+        plain = symbols.astype(np.uint8)
+        self.text = plain.tobytes().decode("latin-1")
+        #: The first eight symbols from each place, as numbers.
+        self.heads = np.ndarray(len(plain), np.dtype(">u8"), np.append(plain, np.zeros(7, np.uint8)), 0, (1,))
 
     def order(self, at: np.ndarray, depth: int) -> np.ndarray:
-        """The places of at, sorted by the depth symbols from each; equal ones by place."""
+        """The places of at, sorted by the depth symbols from each: by eight of them first, which leaves little to compare."""
         text = self.text
+        at = at[np.argsort(self.heads[at].astype(np.uint64), kind="stable")]
         keys = [text[i : i + depth] for i in at.tolist()]
         return at[sorted(range(len(keys)), key=keys.__getitem__)]
 

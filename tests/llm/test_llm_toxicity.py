@@ -128,3 +128,29 @@ def test_a_toxic_phrase_at_the_end_of_a_long_token_counts(sign):
     clean = [text(False, sign) for _ in range(10)]
     logit = toxicity.Scorer(net).features([t.encode() for c in clean for t in (c, c + sign + bad)])[:, 0].reshape(-1, 2)
     assert (logit[:, 1] > logit[:, 0] + 1).all()
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * (2000 if i == 3 else 20)) for i in range(40)] + [(5, "another text"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(99, 1)], "doc_id long, toxic int")
+    got, toxic, every = toxicity.sample(docs, labels, F.lit(True), 10, 6, 1000)
+    assert (toxic, every) == (21, 41) and len({r["doc_id"] for r in got}) == len(got) <= 16
+    for kind, most in ((1, 10), (0, 6)):
+        texts = [r["text"] for r in got if r["toxic"] == kind]
+        assert 0 < len(texts) <= most and sum(map(len, texts)) <= 1000
+    whole, _, _ = toxicity.sample(docs, labels, F.lit(True))
+    assert len(whole) == 40 and {r["doc_id"]: r["text"] for r in whole}[5] == "another text" and max(len(r["text"]) for r in whole) == 10_000
+
+
+def test_recall_of_toxic_texts_on_rows_not_learned_from(spark):
+    """Folds of the learnable rows, never the held-out ones: settings may be compared here."""
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{DENSE}/labels.parquet").to_pylist() if r["toxic"] is not None}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in pq.read_table(f"{DENSE}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    rows = [d for d in sorted(labels) if d in texts and zlib.crc32(str(d).encode()) % 5]
+    test = [d for d in rows if zlib.crc32(b"fold%d" % d) % 4 == 0]
+    learn = [d for d in rows if zlib.crc32(b"fold%d" % d) % 4]
+    toxic = np.array([labels[d] > 0 for d in learn])
+    model = toxicity.fitted(learn, [toxicity.tokens(texts[d]) for d in learn], toxic, (~toxic).sum() / toxic.sum())
+    score = model.scores(toxicity.Scorer(model.net), [texts[d] for d in test])
+    mark = np.array([labels[d] > 0 for d in test])
+    assert (score[mark] >= 0.5).mean() >= 0.9 and (score[~mark] >= 0.5).mean() <= 0.03
