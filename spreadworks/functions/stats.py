@@ -147,24 +147,23 @@ def kalman(y: np.ndarray, x: np.ndarray, delta: float = 1e-5, noise: float | Non
 
 
 def capped_weights(base: list[float], cap: float, total: float = 1.0) -> list[float]:
-    """Weights in proportion to base, none above cap; what capped ones cannot take goes to the others (equally, if their base is 0); a rest stays cash."""
-    n = len(base)
-    if not n:
+    """Shares of total in proportion to base, none above cap (plans/folded.py has the same as windows).
+
+    In falling order of base, those above the cap at the common rate of the rest come first; running sums tell how many.
+    What they leave goes to the others (in equal parts, if those have no base); a rest stays cash.
+    """
+    p = np.maximum(np.asarray(base, float), 0)
+    if not len(p):
         return []
-    pos = [max(b, 0.0) for b in base]
-    if sum(pos) <= 0:
-        pos = [1.0] * n
-    out, free, left = [0.0] * n, set(range(n)), total
-    while free and left > 1e-15:
-        mass = sum(pos[i] for i in free)
-        share = {i: left * (pos[i] / mass if mass > 0 else 1 / len(free)) for i in free}
-        over = {i for i in free if share[i] >= cap - 1e-15}
-        if not over:
-            for i in free:
-                out[i] = share[i]
-            break
-        for i in over:
-            out[i] = cap
-        left -= cap * len(over)
-        free -= over
-    return out
+    p = p if p.sum() > 0 else np.ones(len(p))
+    order = np.argsort(-p, kind="stable")
+    q = p[order]
+    left, rest = np.maximum(total - cap * np.arange(len(q)), 0), q[::-1].cumsum()[::-1]
+    over = (q > 0) & (left * q >= (cap - 1e-15) * rest)
+    first = len(q) if over.all() else int(np.argmin(over))
+    sorted_weights = np.minimum(cap, left)
+    if first < len(q):
+        sorted_weights[first:] = left[first] * q[first:] / rest[first] if q[first] > 0 else min(cap, left[first] / (len(q) - first))
+    out = np.empty(len(q))
+    out[order] = sorted_weights
+    return out.tolist()

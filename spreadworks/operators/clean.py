@@ -14,7 +14,7 @@ def calendar(panel: DataFrame) -> DataFrame:
 def dense(panel: DataFrame) -> DataFrame:
     """A row for every ticker and date."""
     tickers = panel.select("ticker", "grp").distinct()
-    grid = tickers.crossJoin(F.broadcast(panel.select("date").distinct()))  # the distinct dates: bounded by the calendar
+    grid = tickers.crossJoin(F.broadcast(panel.select("date").distinct()))  # bounded by the calendar: a century of days has 36,525 rows
     return grid.join(panel.drop("grp"), ["ticker", "date"], "left")
 
 
@@ -47,9 +47,23 @@ def repair_open(rows: DataFrame) -> DataFrame:
 
 def clean(panel: DataFrame, most_missing: float = 0.05, limit: int = 3) -> DataFrame:
     """(ticker, grp, date, t, close, volume): sparse tickers out, gaps filled up to limit, dates with a gap out."""
-    out = complete_dates(drop_nonpositive(forward_fill(drop_sparse(dense(panel), most_missing), "close", limit)))
-    out = out.withColumn("volume", F.coalesce("volume", F.lit(0.0)))
-    return out.join(F.broadcast(calendar(out)), "date").select("ticker", "grp", "date", "t", "close", "volume")
+    filled = drop_nonpositive(forward_fill(drop_sparse(dense(panel), most_missing), "close", limit))
+    # a row per date, grouped before any shuffle; its join with the rows is broadcast if it turns out small
+    full = filled.groupBy("date").agg((F.count("close") == F.count(F.lit(1))).alias("full")).filter("full")
+    out = filled.join(full.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("t")), "date")
+    return out.select("ticker", "grp", "date", "t", "close", F.coalesce("volume", F.lit(0.0)).alias("volume"))
+
+
+def keep_one(rows: DataFrame, by: list[str], order: str, last: bool = True) -> DataFrame:
+    """One row per key: the last (or first) by order; never an arbitrary one."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).desc() if last else F.col(order)))
+    return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
+
+
+def start_position(dates: DataFrame, day: str) -> DataFrame:
+    """(start, before): the position of the first date not before day, and how many dates are not after it."""
+    d = F.lit(day).cast("date")
+    return dates.agg(F.min(F.when(F.col("date") >= d, F.col("t"))).alias("start"), F.count_if(F.col("date") <= d).alias("before"))
 
 
 def sig_adv(panel: DataFrame, window: int = 20) -> DataFrame:

@@ -7,30 +7,33 @@ from pyspark.sql import functions as F
 
 
 def average_rank(column: str, by: list[str]):
-    """Ranks from 1, ties sharing their mean rank."""
-    order = Window.partitionBy(*by).orderBy(column)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*by, column)) - 1) / F.lit(2.0)
+    """Ranks from 1, ties sharing their mean rank; null for a null, which takes no rank."""
+    order = Window.partitionBy(*by).orderBy(F.col(column).asc_nulls_last())
+    rank = F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*by, column)) - 1) / F.lit(2.0)
+    return F.when(F.col(column).isNotNull(), rank)
 
 
 def percent_rank_of(column: str, by: list[str], descending: bool = False):
-    """Average rank over the count, as a share."""
+    """Average rank over the count of values, as a share; null for a null."""
     n = F.count(column).over(Window.partitionBy(*by))
     r = average_rank(column, by)
     return (n + 1 - r) / n if descending else r / n
 
 
-def rank_ic(rows: DataFrame, by: list[str], metric: str, outcome: str, least: int = 3) -> DataFrame:
-    """Spearman correlation per group; null under `least` rows or without variation."""
+def rank_ic(rows: DataFrame, by: list[str], metric: str, outcome: str, least: int = 8) -> DataFrame:
+    """Spearman correlation per group of the rows that have both; null under `least` of them or without variation."""
     good = rows.filter(F.col(metric).isNotNull() & F.col(outcome).isNotNull())
     good = good.withColumn("_a", average_rank(metric, by)).withColumn("_b", average_rank(outcome, by))
     out = good.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_samp("_a", "_b").alias("c"), F.stddev_samp("_a").alias("sa"), F.stddev_samp("_b").alias("sb"))
     return out.select(*by, "n", F.when((F.col("n") >= least) & (F.col("sa") > 0) & (F.col("sb") > 0), F.col("c") / (F.col("sa") * F.col("sb"))).alias("ic"))
 
 
-def quintile(column: str, by: list[str], n: int = 5):
-    """1 to n by floor((average rank - 1) n / count): ties share a bucket."""
-    count = F.count(column).over(Window.partitionBy(*by))
-    return F.least(F.floor((average_rank(column, by) - 1) * n / count), F.lit(n - 1)).cast("int") + 1
+def quintile(column: str, by: list[str], n: int = 5, least: int = 1):
+    """1 to n by floor((average rank - 1) n / count): ties share a bucket; null for a null, and under `least` values or without variation (least > 1)."""
+    w = Window.partitionBy(*by)
+    count = F.count(column).over(w)
+    bucket = F.least(F.floor((average_rank(column, by) - 1) * n / count), F.lit(n - 1)).cast("int") + 1
+    return bucket if least <= 1 else F.when((count >= least) & (F.min(column).over(w) < F.max(column).over(w)), bucket)
 
 
 def quantile_cut(column: str, by: list[str], tie: list[str], n: int = 5):

@@ -5,50 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import t_two_sided
+from ..functions.native import normal_two_sided, t_two_sided
 from .ranking import random_subsets
 
 
+def complete(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows that have all of the columns: to be taken before any of them is demeaned or summed."""
+    for c in columns:
+        rows = rows.filter(F.col(c).isNotNull())
+    return rows
+
+
 def demeaned(rows: DataFrame, by: list[str], *columns: str) -> DataFrame:
+    """columns less their group means, over the rows that have all of them."""
     w = Window.partitionBy(*by)
+    rows = complete(rows, *columns)
     for c in columns:
         rows = rows.withColumn(c, F.col(c) - F.avg(c).over(w))
     return rows
 
 
 def slope(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """coef = sum xy / sum xx (no intercept)."""
-    out = rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"))
+    """coef = sum xy / sum xx (no intercept), over the rows that have both."""
+    out = complete(rows, x, y).groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"))
     return out.select(*(by or []), "n", (F.col("xy") / F.nullif("xx", F.lit(0.0))).alias("coef"))
 
 
-def clustered_slope(rows: DataFrame, x: str, y: str, one: list[str], two: list[str]) -> DataFrame:
-    """coef, se, t, p with errors clustered two ways: three grouped sums of scores, then one row of arithmetic.
+def clustered_slope(rows: DataFrame, x: str, y: str, one: list[str], two: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, n, n_one, coef, se, t, p): slopes without intercept whose errors cluster two ways, all groups of `by` at once.
 
-    The variance is V(one) + V(two) - V(both); where that is negative, se, t and p are null.
+    The variance is V(one) + V(two) - V(both); where that is not positive, se, t and p are null.  The three cluster
+    sums are grouping sets of one pass over the scores; p is two-sided, of the normal distribution.
     """
-    fit = slope(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y)
-    scored = rows.join(F.broadcast(fit), F.lit(True)).withColumn("_u", F.col(x) * (F.col(y) - F.col("coef") * F.col(x)))  # one row
-
-    def meat(by, name):
-        sums = scored.groupBy(*by).agg(F.sum("_u").alias("u"))
-        return sums.agg(F.sum(F.col("u") * F.col("u")).alias(name), F.count(F.lit(1)).alias("g_" + name))
-
-    total = rows.agg(F.sum(F.col(x) * F.col(x)).alias("xx"))
-    out = fit.crossJoin(total).crossJoin(meat(one, "m1")).crossJoin(meat(two, "m2")).crossJoin(meat(sorted({*one, *two}), "m12"))
-    def scaled(m):
-        return F.col(m) * F.col(f"g_{m}") / (F.col(f"g_{m}") - 1)
-
-    variance = (scaled("m1") + scaled("m2") - scaled("m12")) / (F.col("xx") * F.col("xx"))
-    out = out.withColumn("se", F.when(variance > 0, F.sqrt(variance))).withColumn("t", F.col("coef") / F.col("se")).withColumn("df", F.least("g_m1", "g_m2") - 1)
-    p = F.udf(lambda t, df: None if t is None or df is None or df < 1 else t_two_sided(t, df), "double")  # one row
-    return out.select("n", "coef", "se", "t", p("t", F.col("df").cast("int")).alias("p"))
+    by = by or []
+    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    rows = complete(rows, x, y)
+    fits = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"))
+    fits = fits.withColumn("coef", F.col("xy") / F.nullif("xx", F.lit(0.0)))
+    on = [F.col(f"_r_{c}").eqNullSafe(F.col(f"_f_{c}")) for c in by]
+    scored = rows.select(*[F.col(c).alias(f"_r_{c}") for c in by], *one, *two, x, y).join(
+        fits.select(*[F.col(c).alias(f"_f_{c}") for c in by], "coef", "n", "xx"), on or F.lit(True)
+    )  # fits: a row for each group of by
+    u = (F.col(x) * (F.col(y) - F.col("coef") * F.col(x))).alias("u")
+    keys = [F.col(f"_r_{c}").alias(c) for c in by]
+    sums = scored.select(*keys, *one, *two, u).groupingSets([[*by, *one], [*by, *two], [*by, *one, *two]], *by, *one, *two).agg(F.sum("u").alias("u"), F.grouping_id().alias("_g"))
+    meat = sums.groupBy(*by, "_g").agg((F.sum(F.col("u") * F.col("u")) * F.count(F.lit(1)) / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("v"), F.count(F.lit(1)).alias("g"))
+    first = (1 << len(two)) - 1  # grouping id: bits of the columns that are summed over
+    second = ((1 << len(one)) - 1) << len(two)
+    total = meat.groupBy(*by).agg(F.sum(F.when(F.col("_g") == 0, -F.col("v")).otherwise(F.col("v"))).alias("v"), F.max(F.when(F.col("_g") == first, F.col("g"))).alias("n_one"), F.max(F.when(F.col("_g") == second, F.col("g"))).alias("n_two"))
+    both = fits.join(total.select(*[F.col(c).alias(f"_t_{c}") for c in by], "v", "n_one", "n_two"), [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by] or F.lit(True))
+    out = both.withColumn("se", F.when(F.col("v") > 0, F.sqrt("v") / F.col("xx"))).withColumn("t", F.col("coef") / F.col("se"))
+    return out.select(*by, "n", "n_one", "coef", "se", "t", normal_two_sided(F.col("t")).alias("p"))
 
 
 def t_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean over periods with t (null under 3 or without variation)."""
+    """Mean over periods with t and the two-sided p of Student's t (null under 3 or without variation)."""
     out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    return out.select(*by, "n", "mean", F.when((F.col("n") >= 3) & (F.col("sd") > 0), F.col("mean") / (F.col("sd") / F.sqrt(F.col("n").cast("double")))).alias("t"))
+    out = out.withColumn("t", F.when((F.col("n") >= 3) & (F.col("sd") > 0), F.col("mean") / (F.col("sd") / F.sqrt(F.col("n").cast("double")))))
+    return out.select(*by, "n", "mean", "t", t_two_sided(F.col("t"), F.col("n") - 1).alias("p"))
 
 
 def permutation(totals: DataFrame, actual: DataFrame, by: list[str], key: list[str], value: str, draws: int, k: int, seed: int = 0) -> DataFrame:
@@ -57,9 +71,15 @@ def permutation(totals: DataFrame, actual: DataFrame, by: list[str], key: list[s
     Sums are drawn per (period, pair), never per day.
     """
     picks = random_subsets(totals, by, key, draws, k, seed)
-    sums = picks.groupBy("draw").agg(F.sum(value).alias("v"))
-    out = sums.crossJoin(F.broadcast(actual))  # one row
-    return out.agg(
+    return against(picks.groupBy("draw").agg(F.sum(value).alias("v")), actual)
+
+
+def against(drawn: DataFrame, actual: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Where actual (by, actual) stands among the draws (by, v); missing values of v do not count."""
+    by = by or []
+    rows = drawn.filter("v IS NOT NULL")
+    out = rows.join(F.broadcast(actual), by) if by else rows.crossJoin(F.broadcast(actual))  # one row, or one a measure
+    return out.groupBy(*by).agg(
         F.count(F.lit(1)).alias("draws"), F.first("actual").alias("actual"), F.avg("v").alias("random_mean"), F.stddev_pop("v").alias("random_std"),
         F.percentile("v", F.lit(0.05)).alias("p5"), F.percentile("v", F.lit(0.5)).alias("p50"), F.percentile("v", F.lit(0.95)).alias("p95"),
         (F.avg(F.when(F.col("v") < F.col("actual"), 1.0).otherwise(0.0)) * 100).alias("percentile"),
@@ -67,14 +87,54 @@ def permutation(totals: DataFrame, actual: DataFrame, by: list[str], key: list[s
     )
 
 
-def bootstrap_sharpe(daily: DataFrame, by: list[str], value: str, draws: int = 200, seed: int = 42) -> DataFrame:
-    """2.5 and 97.5 % of resampled Sharpe ratios: row numbers are drawn by hash and joined, group by group."""
-    w = Window.partitionBy(*by).orderBy("t")
-    rows = daily.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).filter("_n >= 20")
-    drawn = rows.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    drawn = drawn.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), *by, "draw", "_i"), F.col("_n")).cast("int")).drop("_n")
-    each = drawn.join(rows.select(*by, "_i", value), [*by, "_i"]).groupBy(*by, "draw").agg((F.avg(value) / F.nullif(F.stddev_samp(value), F.lit(0.0)) * F.sqrt(F.lit(252.0))).alias("s"))
-    return each.groupBy(*by).agg(F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"))
+def measures(daily: DataFrame, by: list[str], value: str, capital: float) -> DataFrame:
+    """(by, measure, v): net profit, yearly Sharpe and largest drawdown % of daily profits on fixed capital, as rows."""
+    w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0) if by else Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = daily.withColumn("_eq", F.lit(capital) + F.sum(value).over(w))
+    rows = rows.withColumn("_dd", F.col("_eq") / F.max("_eq").over(w) - 1)
+    out = rows.groupBy(*by).agg(F.sum(value).alias("net"), F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"), (F.min("_dd") * 100).alias("dd"))
+    sharpe = F.when(F.col("sd") > 1e-12, F.col("m") / F.col("sd") * F.sqrt(F.lit(252.0)))
+    named = F.array(*[F.struct(F.lit(n).alias("measure"), c.alias("v")) for n, c in (("net", F.col("net")), ("sharpe", sharpe), ("max_drawdown_pct", F.col("dd")))])
+    return out.select(*by, F.explode(named).alias("m")).select(*by, "m.measure", "m.v")
+
+
+def permutation_daily(pool: DataFrame, chosen: DataFrame, daily: DataFrame, by: list[str], key: list[str], value: str, draws: int = 5000, capital: float = 100_000.0, seed: int = 0) -> DataFrame:
+    """Net profit, Sharpe and drawdown of random picks against the ones made: pool (by, key, k), chosen (by, key), daily (by, key, t, value).
+
+    k pairs are drawn for each period; a draw's daily profit is the sum over its pairs.  The draws of a period that hold a pair are
+    a list beside the pair, so daily rows are exploded by draws only once, and summed by draw and day before anything is sorted.
+    """
+    out = pool.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), *[F.col(c).cast("string") for c in [*by, *key]])
+    place = F.row_number().over(Window.partitionBy(*by, "draw").orderBy(F.md5(text.cast("binary")), *key))
+    picks = out.withColumn("pick", place).filter(F.col("pick") <= F.col("k")).select(*by, *key, "draw")
+    drawn = picks.join(daily, [*by, *key]).groupBy("draw", "t").agg(F.sum(value).alias("v"))
+    real = chosen.join(daily, [*by, *key]).groupBy("t").agg(F.sum(value).alias("v"))
+    return against(measures(drawn, ["draw"], "v", capital), measures(real, [], "v", capital).withColumnRenamed("v", "actual"), ["measure"])
+
+
+def bootstrap_sharpe(daily: DataFrame, by: list[str], value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """2.5 and 97.5 % of resampled Sharpe ratios (independent rows, with replacement), for groups of 20 rows or more.
+
+    A group is one series (thousands of rows), in one array; every group draws with the same seed, so reruns agree.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in daily.schema.fields if f.name in by) + ", low double, high double"
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        v = table.sort_by("t")[value].to_numpy()
+        v, low, high = v[~np.isnan(v)], None, None
+        if len(v) >= 20:
+            spot = np.random.default_rng(seed).integers(0, len(v), (draws, len(v)))
+            m, sd = v[spot].mean(axis=1), v[spot].std(axis=1, ddof=1)
+            s = (m / np.where(sd > 0, sd, np.nan) * np.sqrt(252))[sd > 0]
+            if len(s):
+                low, high = np.percentile(s, [2.5, 97.5]).tolist()
+        return pa.Table.from_arrays([pa.array([k.as_py()], k.type) for k in key] + [pa.array([x], pa.float64()) for x in (low, high)], names=[*by, "low", "high"])
+
+    return daily.groupBy(*by).applyInArrow(run, schema).filter("low IS NOT NULL")
 
 
 def exit_table(trades: DataFrame, reason: str = "why") -> DataFrame:

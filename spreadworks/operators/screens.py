@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -45,27 +45,22 @@ def screen(rows: DataFrame, by: list[str], y: str = "ly", x: str = "lx", least:
     return rows.groupBy(*by).applyInArrow(run, schema)
 
 
-def pass_rate(rows: DataFrame, window: int, count: int, alpha: float = 0.05) -> DataFrame:
-    """Share of `count` evenly placed windows of a pair in which Engle-Granger rejects."""
-    ends = rows.agg(F.max("t").alias("n"))
-    step = (F.col("n") + 1 - window) / F.lit(max(count - 1, 1))
-    windows = ends.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(i.alias("w"), F.floor(i * step).alias("lo")))).alias("s")).select("s.*")
-    part = rows.join(F.broadcast(windows), (F.col("t") >= F.col("lo")) & (F.col("t") < F.col("lo") + window))  # count rows: fixed
+def pass_rate(rows: DataFrame, count: int = 4, alpha: float = 0.05, least: int = 100) -> DataFrame:
+    """Share of `count` evenly placed windows of a pair in which Engle-Granger rejects; null if a window covers the whole history.
+
+    A window has max(least, n div count) of the pair's n rows, so that together they cover its history.
+    """
+    w = Window.partitionBy("y", "x")
+    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(w), "_i": F.row_number().over(w.orderBy("t")) - 1})
+    rows = rows.withColumn("_w", F.greatest(F.lit(least), F.floor(F.col("_n") / count)).cast("int"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * (F.col("_n") - F.col("_w")) / max(count - 1, 1)).cast("int"))
+    starts = F.array_distinct(at)  # positions that fall together count once
+    part = rows.withColumn("w", F.explode(F.when(F.col("_w") < F.col("_n"), starts))).filter((F.col("_i") >= F.col("w")) & (F.col("_i") < F.col("w") + F.col("_w"))).drop("_n", "_i", "_w")
     tested = screen(part, ["y", "x", "w"])
-    return tested.groupBy("y", "x").agg(F.count("eg_p").alias("n_windows"), F.avg(F.when(F.col("eg_p") <= alpha, 1.0).otherwise(0.0)).alias("pass_rate"), F.avg("eg_p").alias("mean_p"))
+    return tested.groupBy("y", "x").agg(F.count("eg_p").alias("n_windows"), F.avg(F.when(F.col("eg_p").isNotNull(), F.when(F.col("eg_p") <= alpha, 1.0).otherwise(0.0))).alias("pass_rate"), F.avg("eg_p").alias("mean_p"))
 
 
 def kalman_hedge(rows: DataFrame, by: list[str], delta: float = 1e-5, noise: float | None = None) -> DataFrame:
     from .simulate import fold
 
     return fold(rows, by, lambda y, x: stats.kalman(y, x, delta, noise), ["py", "px"], {"alpha": "double", "beta": "double"})
-
-
-def capped_weights(rows: DataFrame, by: list[str], base: str, cap: float, total: float = 1.0) -> DataFrame:
-    """Adds weight: proportional to base and capped; a group is one portfolio."""
-    schema = rows.select("*", F.lit(0.0).alias("weight")).schema
-
-    def run(table: pa.Table) -> pa.Table:
-        return table.append_column("weight", pa.array(stats.capped_weights([v or 0.0 for v in table[base].to_pylist()], cap, total), pa.float64()))
-
-    return rows.groupBy(*by).applyInArrow(run, schema)

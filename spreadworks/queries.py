@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import clean, pairs, performance, portfolio, ranking, research, rolling, screens, simulate
-from .plans import folds, walkforward
+from .plans import folded, folds, walkforward
 from .sources import panel as sources
 from .streaming.bars import bars
 
@@ -28,19 +28,18 @@ def R(expression: str) -> str:
 
 # ---------------------------------------------------------------- shared plans
 
-# The panels are far smaller than the line items and many branches of a plan read them: they are kept
-# (memory, then disk; lost parts are computed again).  Equal plans share what is kept.
+# Nothing is kept in a session: equal branches of one plan share their exchanges.
 
 def _panel(spark, d):
-    return sources.sales_panel(spark, d).persist()
+    return sources.sales_panel(spark, d)
 
 
 def _clean(spark, d):
-    return clean.clean(_panel(spark, d)).persist()
+    return clean.clean(_panel(spark, d))
 
 
 def _pairs(spark, d):
-    return pairs.pair_panel(_clean(spark, d)).persist()
+    return pairs.pair_panel(_clean(spark, d))
 
 
 def _spread(spark, d):
@@ -60,7 +59,7 @@ def _block(spark, d):
 
 
 def _screened(spark, d):
-    return simulate.screener_pnl(simulate.screener_positions(_block(spark, d), PAIR, 1.5, 0.5, 4.0), PAIR).persist()
+    return simulate.screener_pnl(simulate.screener_positions(_block(spark, d), PAIR, 1.5, 0.5, 4.0), PAIR)
 
 
 def _engine(spark, d):
@@ -236,7 +235,8 @@ def half_life_v2(spark, d):
     return out.withColumn("half_life", F.when(F.col("half_life") == float("inf"), F.col("half_life")).otherwise(F.round("half_life", 6)))
 
 
-@query(f"""WITH {SP}, g AS (SELECT a.y, a.x, k.lag, stddev_pop(b.spread - a.spread) AS tau FROM sp a JOIN range(2, 20) k(lag) ON true JOIN sp b ON b.y = a.y AND b.x = a.x AND b.t = a.t + k.lag GROUP BY ALL)
+@query(f"""WITH {SP}, m AS (SELECT y, x, count(*) AS n FROM sp GROUP BY y, x), g AS (SELECT a.y, a.x, k.lag, stddev_pop(b.spread - a.spread) AS tau FROM sp a JOIN m ON m.y = a.y AND m.x = a.x
+ JOIN range(2, 50) k(lag) ON k.lag < greatest(3, least(50, m.n // 4)) JOIN sp b ON b.y = a.y AND b.x = a.x AND b.t = a.t + k.lag GROUP BY ALL)
 SELECT y, x, {R('regr_slope(ln(tau), ln(lag::DOUBLE))')} AS hurst FROM g WHERE tau > 0 GROUP BY y, x""")
 def hurst(spark, d):
     return r6(rolling.hurst(_spread(spark, d)), "hurst")
@@ -306,15 +306,15 @@ rk AS (SELECT *, rank() OVER (PARTITION BY block ORDER BY mean_z) + (count(*) OV
  rank() OVER (PARTITION BY block ORDER BY pnl) + (count(*) OVER (PARTITION BY block, pnl) - 1) / 2.0::DOUBLE AS b, count(*) OVER (PARTITION BY block) AS n FROM bp)"""
 
 
-@query(f"WITH {_RANKS} SELECT CAST(block AS INT) AS block, count(*) AS n, CASE WHEN stddev_samp(a) > 0 AND stddev_samp(b) > 0 THEN {R('covar_samp(a, b) / (stddev_samp(a) * stddev_samp(b))')} END AS ic FROM rk GROUP BY block")
+@query(f"WITH {_RANKS} SELECT CAST(block AS INT) AS block, count(*) AS n, CASE WHEN count(*) >= 8 AND stddev_samp(a) > 0 AND stddev_samp(b) > 0 THEN {R('covar_samp(a, b) / (stddev_samp(a) * stddev_samp(b))')} END AS ic FROM rk GROUP BY block")
 def rank_ic(spark, d):
     return r6(ranking.rank_ic(_blocks_pnl(spark, d), ["block"], "mean_z", "pnl"), "ic").withColumn("block", F.col("block").cast("int"))
 
 
-@query(f"""WITH {_RANKS}, i AS (SELECT block, CASE WHEN stddev_samp(a) > 0 AND stddev_samp(b) > 0 THEN covar_samp(a, b) / (stddev_samp(a) * stddev_samp(b)) END AS ic FROM rk GROUP BY block)
+@query(f"""WITH {_RANKS}, i AS (SELECT block, CASE WHEN count(*) >= 8 AND stddev_samp(a) > 0 AND stddev_samp(b) > 0 THEN covar_samp(a, b) / (stddev_samp(a) * stddev_samp(b)) END AS ic FROM rk GROUP BY block)
 SELECT count(ic) AS n, {R('avg(ic)')} AS mean, {R('avg(ic) / (stddev_samp(ic) / sqrt(count(ic)))')} AS t FROM i""")
 def ic_t_summary(spark, d):
-    return r6(research.t_summary(ranking.rank_ic(_blocks_pnl(spark, d), ["block"], "mean_z", "pnl"), [], "ic"), "mean", "t")
+    return r6(research.t_summary(ranking.rank_ic(_blocks_pnl(spark, d), ["block"], "mean_z", "pnl"), [], "ic").drop("p"), "mean", "t")
 
 
 @query(f"""WITH {_RANKS}, q AS (SELECT *, CAST(least(floor((a - 1) * 5 / n), 4) AS INT) + 1 AS q FROM rk)
@@ -475,32 +475,39 @@ def random_baseline(spark, d):
     return r6(out, "actual", "random_mean", "random_std", "p5", "p50", "p95", "percentile", "p_value")
 
 
-_CELL = "PARTITION BY {0}y, {0}x, {0}entry, {0}leave ORDER BY t"
-_GRID = ZZ + f""",
-en AS (SELECT zt.*, entry, leave, row_number() OVER (PARTITION BY y, x, entry, leave ORDER BY t) AS i
- FROM zt, (VALUES (1.25::DOUBLE, 0.25::DOUBLE), (1.25, 0.5), (1.5, 0.25), (1.5, 0.5), (2.0, 0.25), (2.0, 0.5)) c(entry, leave)),
-eg AS (WITH RECURSIVE go(y, x, entry, leave, i, p, blocked, wait) AS (
-  SELECT y, x, entry, leave, i, CASE WHEN z > entry THEN -1 WHEN z < -entry THEN 1 ELSE 0 END, false, 0 FROM en WHERE i = 1
-  UNION ALL SELECT e.y, e.x, e.entry, e.leave, e.i,
+def machine_sql(p: str, source: str, key: list[str]) -> str:
+    """Positions and money of the re-arming machine as CTEs over source (key, entry, leave, t, z, beta, py, px); {p}2 has the daily rows, {p}c the totals of each key."""
+    k, w = ", ".join(key), f"PARTITION BY {', '.join(key)} ORDER BY t"
+    return f"""{p}n AS (SELECT *, row_number() OVER ({w}) AS i FROM {source}),
+{p}g AS (WITH RECURSIVE go({k}, i, p, blocked, wait) AS (
+  SELECT {k}, i, CASE WHEN z > entry THEN -1 WHEN z < -entry THEN 1 ELSE 0 END, false, 0 FROM {p}n WHERE i = 1
+  UNION ALL SELECT {', '.join('e.' + c for c in key)}, e.i,
     CASE WHEN g.blocked THEN 0 WHEN g.p = 0 THEN CASE WHEN e.z > e.entry THEN -1 WHEN e.z < -e.entry THEN 1 ELSE 0 END WHEN abs(e.z) < e.leave OR abs(e.z) > 4 THEN 0 ELSE g.p END,
     CASE WHEN g.blocked THEN NOT (greatest(g.wait - 1, 0) = 0 AND abs(e.z) <= 1) ELSE g.p <> 0 AND abs(e.z) > 4 END,
     CASE WHEN g.blocked THEN greatest(g.wait - 1, 0) WHEN g.p <> 0 AND abs(e.z) > 4 THEN 5 ELSE 0 END
-  FROM go g JOIN en e ON e.y = g.y AND e.x = g.x AND e.entry = g.entry AND e.leave = g.leave AND e.i = g.i + 1) SELECT * FROM go),
-e0 AS (SELECT en.*, coalesce(lag(eg.p) OVER w, 0) AS executed, coalesce(lag(beta) OVER w, beta, 0) AS hedge FROM en JOIN eg USING (y, x, entry, leave, i) WINDOW w AS ({_CELL.format("en.")})),
-e1 AS (SELECT *, executed * 10.0::DOUBLE AS la, -executed * hedge * 10.0::DOUBLE AS lb FROM e0),
-e2 AS (SELECT *, coalesce(la * (lead(py) OVER w - py) + lb * (lead(px) OVER w - px), 0) - (abs(la - coalesce(lag(la) OVER w, 0)) * py + abs(lb - coalesce(lag(lb) OVER w, 0)) * px) * (6.0::DOUBLE / 1e4) AS net,
- CASE WHEN executed <> 0 AND coalesce(lag(executed) OVER w, 0) = 0 THEN 1 ELSE 0 END AS st FROM e1 WINDOW w AS ({_CELL.format("")})),
-ce AS (SELECT y, x, entry, leave, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252.0::DOUBLE) AS sharpe, sum(st)::BIGINT AS n_trades, sum(net) AS net FROM e2 GROUP BY ALL),
-be AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY sharpe DESC NULLS LAST, n_trades DESC, entry, leave) AS place FROM ce WHERE n_trades >= 1)"""
+  FROM go g JOIN {p}n e ON {' AND '.join(f'e.{c} = g.{c}' for c in key)} AND e.i = g.i + 1) SELECT * FROM go),
+{p}0 AS (SELECT n.*, coalesce(lag(g.p) OVER w, 0) AS executed, coalesce(lag(beta) OVER w, beta, 0) AS hedge FROM {p}n n JOIN {p}g g USING ({k}, i) WINDOW w AS (PARTITION BY {', '.join('n.' + c for c in key)} ORDER BY t)),
+{p}1 AS (SELECT *, executed * 10.0::DOUBLE AS la, -executed * hedge * 10.0::DOUBLE AS lb FROM {p}0),
+{p}2 AS (SELECT *, coalesce(la * (lead(py) OVER w - py) + lb * (lead(px) OVER w - px), 0) AS gross, (abs(la - coalesce(lag(la) OVER w, 0)) * py + abs(lb - coalesce(lag(lb) OVER w, 0)) * px) * (6.0::DOUBLE / 1e4) AS cost,
+ CASE WHEN executed <> 0 AND coalesce(lag(executed) OVER w, 0) = 0 THEN 1 ELSE 0 END AS st, max(t) OVER (PARTITION BY {k}) AS t_last FROM {p}1 WINDOW w AS ({w})),
+{p}c AS (SELECT {k}, CASE WHEN stddev_samp(gross - cost) > 1e-12 AND count(*) >= 2 THEN avg(gross - cost) / stddev_samp(gross - cost) * sqrt(252.0::DOUBLE) END AS sharpe,
+ (sum(st) - max(CASE WHEN t = t_last AND executed <> 0 THEN 1 ELSE 0 END))::BIGINT AS n_trades, sum(gross - cost) AS net, CASE WHEN abs(sum(gross)) > 1e-12 THEN sum(cost) / abs(sum(gross)) END AS cost_share FROM {p}2 GROUP BY {k})"""
+
+
+CELLS = "(VALUES (1.25::DOUBLE, 0.25::DOUBLE), (1.25, 0.5), (1.5, 0.25), (1.5, 0.5), (2.0, 0.25), (2.0, 0.5)) c(entry, leave)"
+_GRID = ZZ + f""",
+src AS (SELECT zt.*, entry, leave FROM zt, {CELLS}),
+{machine_sql('m', 'src', ['y', 'x', 'entry', 'leave'])},
+be AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY round(sharpe, 9) DESC, round(cost_share, 9) ASC NULLS LAST, n_trades DESC, entry, leave) AS place FROM mc WHERE n_trades >= 1 AND sharpe IS NOT NULL)"""
 
 
-@query(f"WITH {_GRID} SELECT y, x, entry, leave AS exit, {R('sharpe')} AS sharpe, n_trades, {R('net')} AS net FROM be WHERE place = 1")
+@query(f"WITH {_GRID} SELECT y, x, entry, leave AS exit, {R('sharpe')} AS sharpe, n_trades, {R('net')} AS net, {R('cost_share')} AS cost_share FROM be WHERE place = 1")
 def grid_tuning(spark, d):
     cells = pairs.grid(spark, (1.25, 1.5, 2.0), (0.25, 0.5))
     rows = simulate.grid_positions(_z(spark, d).crossJoin(F.broadcast(cells)), PAIR)
     pnl = simulate.engine_pnl(rows.withColumn("units", F.lit(10.0)), [*PAIR, "entry", "exit"])
     pnl = simulate.with_runs(pnl, [*PAIR, "entry", "exit"], "executed")
-    return r6(walkforward.tuned(pnl), "sharpe", "net").select(*PAIR, "entry", "exit", "sharpe", "n_trades", "net")
+    return r6(walkforward.tuned(pnl), "sharpe", "net", "cost_share").select(*PAIR, "entry", "exit", "sharpe", "n_trades", "net", "cost_share")
 
 
 @query(f"""WITH {EN}, c AS (SELECT * FROM (VALUES (2.0::DOUBLE), (5.0), (10.0), (20.0)) v(bps))
@@ -511,17 +518,6 @@ def cost_sensitivity(spark, d):
     return r6(out, "net")
 
 
-@query(f"""WITH {BZ}, tr AS (SELECT y, x, count(DISTINCT run) AS n FROM sc WHERE held <> 0 GROUP BY ALL), sh AS (SELECT y, x, avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252.0::DOUBLE) AS s FROM sc GROUP BY ALL),
-g AS (SELECT y, x, avg(CASE WHEN p > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS share FROM (SELECT y, x, block, sum(pnl) AS p FROM sc GROUP BY ALL) GROUP BY ALL)
-SELECT y, x, n AS n_trades, {R('s')} AS sharpe, {R('share')} AS good_share, CASE WHEN n >= 5 AND s >= 0.5 AND share >= 0.6 THEN 'robust' WHEN n >= 3 AND s > 0 THEN 'watchlist' ELSE 'insufficient' END AS evidence FROM sh JOIN tr USING (y, x) JOIN g USING (y, x)""")
-def evidence_class(spark, d):
-    s = _screened(spark, d)
-    trades = s.filter("held <> 0").groupBy(*PAIR).agg(F.countDistinct("run").alias("n_trades"))
-    sharpe = s.groupBy(*PAIR).agg((F.avg("pnl") / F.nullif(F.stddev_samp("pnl"), F.lit(0.0)) * F.sqrt(F.lit(252.0))).alias("sharpe"))
-    good = s.groupBy(*PAIR, "block").agg(F.sum("pnl").alias("p")).groupBy(*PAIR).agg(F.avg(F.when(F.col("p") > 0, 1.0).otherwise(0.0)).alias("good_share"))
-    return r6(walkforward.evidence(sharpe.join(trades, PAIR).join(good, PAIR)), "sharpe", "good_share").select(*PAIR, "n_trades", "sharpe", "good_share", "evidence")
-
-
 @query()
 def frozen_trades(spark, d):
     rows = simulate.frozen_positions(_block(spark, d), PAIR, 1.5, 3.5, 30)
@@ -575,21 +571,18 @@ def cointegration_screen(spark, d):
 
 @query()
 def rolling_pass_rate(spark, d):
-    return screens.pass_rate(_pairs(spark, d), 126, 4)
+    return screens.pass_rate(_pairs(spark, d), 4)
 
 
 @query()
 def bootstrap_sharpe(spark, d):
-    return research.bootstrap_sharpe(_screened(spark, d).select(*PAIR, "t", "pnl"), PAIR, "pnl", 50)
+    return research.bootstrap_sharpe(_screened(spark, d).select(*PAIR, "t", "pnl"), PAIR, "pnl")
 
 
 @query()
 def capped_weights(spark, d):
     base = _screened(spark, d).groupBy("grp", *PAIR).agg(F.sum("pnl").alias("base"))
-    return screens.capped_weights(base, ["grp"], "base", 0.3)
-
-
-_FOLDS = "(VALUES " + ", ".join(str(t) for t in folds.gapped(2942)) + ") v(fold, train_lo, train_hi, val_lo, val_hi, test_lo, test_hi)"
+    return folded.capped(base, ["grp"], "base", 0.3)
 
 
 @query("""WITH e AS (SELECT i AS fold, 1471 + 1471 * (i - 1) // 5 AS a, 1471 + 1471 * i // 5 AS b FROM range(1, 6) t(i))
