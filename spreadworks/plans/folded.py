@@ -71,6 +71,11 @@ def sharpe(n, total, squares):
     return F.when((n >= 2) & (var > 1e-24), total / some / F.sqrt(var) * F.sqrt(F.lit(252.0)))
 
 
+def growth_of(column: str):
+    """log(1 + r); a day that loses all capital or more leaves next to nothing."""
+    return F.log1p(F.greatest(F.col(column), F.lit(-1 + 1e-12)))
+
+
 def fold_summary(results: DataFrame, folds: DataFrame) -> DataFrame:
     """(fold, selected_pairs, sufficient_trade_pairs, positive_test_sharpes, median_test_sharpe, mean_test_return), folds without pairs included."""
     good = F.col("sufficient")
@@ -89,7 +94,7 @@ def stitched(test: DataFrame, folds: DataFrame, dates: DataFrame) -> DataFrame:
     w = Window.partitionBy(*PAIR).orderBy("t")
     one = test.withColumn("_place", F.row_number().over(Window.partitionBy(*PAIR, "t").orderBy("fold"))).filter("_place = 1")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    eq = one.withColumn("log", F.sum(F.log1p("r")).over(upto)).withColumn("top", F.greatest(F.max("log").over(upto), F.lit(0.0)))
+    eq = one.withColumn("log", F.sum(growth_of("r")).over(upto)).withColumn("top", F.greatest(F.max("log").over(upto), F.lit(0.0)))
     days = folds.select(F.explode(F.sequence("test_lo", F.col("test_hi") - 1)).alias("t")).distinct().join(dates.select("t", "date").distinct(), "t")
     clock = days.agg(F.count(F.lit(1)).alias("days"), F.datediff(F.max("date"), F.min("date")).alias("span"), F.min("t").alias("t_first"))
     out = eq.groupBy(*PAIR).agg(F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"), F.sum(F.when(F.col("r") < 0, F.col("r") * F.col("r"))).alias("dq"), F.count_if(F.col("r") < 0).alias("dn"), F.max_by("log", "t").alias("growth"), F.min(F.expm1(F.col("log") - F.col("top"))).alias("dd"), F.min_by("log", "t").alias("g0"), F.min("t").alias("t0"))
@@ -188,7 +193,7 @@ def portfolio_daily(test: DataFrame, weights: DataFrame, folds: DataFrame, reall
 def portfolio_summary(daily: DataFrame, by: list[str]) -> DataFrame:
     """(by, days, sharpe, total_return, max_drawdown, avg_active_weight, avg_active_pairs) of daily returns, compounded."""
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = daily.withColumn("log", F.sum(F.log1p("r")).over(w))
+    rows = daily.withColumn("log", F.sum(growth_of("r")).over(w))
     rows = rows.withColumn("dd", F.expm1(F.col("log") - F.max("log").over(w)))
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("days"), sharpe(F.count(F.lit(1)), F.sum("r"), F.sum(F.col("r") * F.col("r"))).alias("sharpe"), F.expm1(F.max_by("log", "t")).alias("total_return"),

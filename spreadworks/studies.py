@@ -416,7 +416,7 @@ def _by_block():
 
 # ---------------------------------------------------------------- folds
 
-CAPITAL, LEAST = 10_000.0, 1
+CAPITAL, LEAST = 100_000.0, 1
 FOLDS = """nn AS (SELECT max(t) + 1 AS n, CAST(floor((max(t) + 1) * 0.5) AS INT) AS st FROM panel), f0 AS (SELECT k, n, st + k * ((n - st) // 5) AS a, CASE WHEN k = 4 THEN n ELSE st + (k + 1) * ((n - st) // 5) END AS b FROM nn, range(0, 5) t(k)),
 fd AS (SELECT CAST(k + 1 AS INT) AS fold, a, a + CAST(floor((b - a) * 0.5) AS INT) AS m, b FROM f0), fs AS (SELECT fold, 'val' AS segment, a AS lo, m AS hi FROM fd UNION ALL SELECT fold, 'test', m, b FROM fd)"""
 _CAND = f"(SELECT fold, y, x, count(*) AS n_obs, {TAU} AS tau, regr_slope(ds, s0) AS slope, any_value(b) AS beta, stddev_samp(s) AS sd, stddev_samp(ds) AS sd_change, avg(py) AS my, avg(px) AS mx FROM cs GROUP BY fold, y, x)"
@@ -477,7 +477,7 @@ SUMMARY = EVALUATED + """, sm AS (SELECT y, x, 5 AS available_folds, count(*) AS
  count(*) FILTER (WHERE sufficient AND test_sharpe > 0) AS positive_sufficient_folds, avg(test_sharpe) AS mean_test_sharpe, median(test_sharpe) AS median_test_sharpe, min(test_sharpe) AS worst_test_sharpe, avg(test_return) FILTER (WHERE test_sharpe IS NOT NULL) AS mean_test_return,
  min(test_drawdown) FILTER (WHERE test_sharpe IS NOT NULL) AS worst_test_drawdown, avg(test_cost_share) FILTER (WHERE test_sharpe IS NOT NULL) AS mean_cost_pct, coalesce(sum(test_trades) FILTER (WHERE test_sharpe IS NOT NULL), 0)::BIGINT AS total_completed_trades FROM ev GROUP BY y, x),
 days AS (SELECT DISTINCT t, date FROM panel JOIN fs ON fs.segment = 'test' AND t >= lo AND t < hi), ck AS (SELECT count(*) AS n, CAST(max(date) - min(date) AS INT) AS span, min(t) AS t1 FROM days),
-le AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY y, x ORDER BY t) AS lg FROM te), lt AS (SELECT *, greatest(max(lg) OVER (PARTITION BY y, x ORDER BY t), 0) AS top FROM le),
+le AS (SELECT *, sum(ln(greatest(1 + r, 1e-12::DOUBLE))) OVER (PARTITION BY y, x ORDER BY t) AS lg FROM te), lt AS (SELECT *, greatest(max(lg) OVER (PARTITION BY y, x ORDER BY t), 0) AS top FROM le),
 wf AS (SELECT y, x, sum(r) AS s, sum(r * r) AS q, sum(r * r) FILTER (WHERE r < 0) AS dq, count(*) FILTER (WHERE r < 0) AS dn, arg_max(lg, t) AS g, min(exp(lg - top) - 1) AS dd, arg_min(lg, t) AS g0, min(t) AS t0 FROM lt GROUP BY y, x),
 ww AS (SELECT y, x, CASE WHEN (q - s * s / n) / (n - 1) > 1e-24 THEN s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(252.0::DOUBLE) END AS walk_forward_sharpe, CASE WHEN dn > 0 THEN s / n / sqrt(dq / dn) * sqrt(252.0::DOUBLE) WHEN s > 0 THEN 'inf'::DOUBLE END AS walk_forward_sortino,
  exp(g) - 1 AS walk_forward_return, CASE WHEN span > 0 THEN exp((g - CASE WHEN t0 = t1 THEN g0 ELSE 0 END) * 365.25::DOUBLE / span) - 1 END AS walk_forward_cagr, greatest(dd, -1) AS walk_forward_max_drawdown FROM wf, ck),
@@ -541,7 +541,7 @@ def _weights(spark, d):
 
 @query(f"""WITH {WEIGHTS}, pd AS (SELECT w5.mode, te.fold, te.t, sum(te.r * weight) AS r, sum(CASE WHEN executed <> 0 THEN weight ELSE 0 END) AS aw, count(*) FILTER (WHERE executed <> 0 AND weight > 0) AS ap FROM te JOIN w5 USING (fold, y, x) GROUP BY ALL),
 td1 AS (SELECT m.mode, fd.fold, unnest(range(fd.m, fd.b)) AS t FROM fd, (SELECT unnest({MODES}) AS mode) m), pj AS (SELECT mode, fold, t, coalesce(r, 0) AS r, coalesce(aw, 0) AS aw, coalesce(ap, 0) AS ap FROM td1 LEFT JOIN pd USING (mode, fold, t)),
-pl AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY mode ORDER BY t) AS lg FROM pj), pm AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY mode ORDER BY t)) - 1 AS dd FROM pl)
+pl AS (SELECT *, sum(ln(greatest(1 + r, 1e-12::DOUBLE))) OVER (PARTITION BY mode ORDER BY t) AS lg FROM pj), pm AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY mode ORDER BY t)) - 1 AS dd FROM pl)
 SELECT mode, count(*) AS days, {R('CASE WHEN var_samp(r) > 1e-24 THEN avg(r) / stddev_samp(r) * sqrt(252.0::DOUBLE) END')} AS sharpe, {R('exp(arg_max(lg, t)) - 1')} AS total_return, {R('greatest(min(dd), -1)')} AS max_drawdown, {R('avg(aw)')} AS avg_active_weight, {R('avg(ap)')} AS avg_active_pairs FROM pm GROUP BY mode""")
 def portfolio_by_allocation(spark, d):
     weights, money, table, results = _weights(spark, d)
