@@ -32,7 +32,7 @@ def quintile(column: str, by: list[str], n: int = 5, least: int = 1):
     """1 to n by floor((average rank - 1) n / count): ties share a bucket; null for a null, and under `least` values or without variation (least > 1)."""
     w = Window.partitionBy(*by)
     count = F.count(column).over(w)
-    bucket = F.least(F.floor((average_rank(column, by) - 1) * n / count), F.lit(n - 1)).cast("int") + 1
+    bucket = F.when(F.col(column).isNotNull(), F.least(F.floor((average_rank(column, by) - 1) * n / count), F.lit(n - 1)).cast("int") + 1)
     return bucket if least <= 1 else F.when((count >= least) & (F.min(column).over(w) < F.max(column).over(w)), bucket)
 
 

@@ -456,7 +456,8 @@ def period_summary(spark, d):
 
 @query()
 def topk_with_ticker_cap(spark, d):
-    return walkforward.rolling_selection(_screened(spark, d), START, STEP, 8, per_ticker=2)
+    out = walkforward.rolling_selection(_screened(spark, d), START, STEP, 8, per_ticker=2)
+    return r6(out, "f_pnl", "next_pnl").select("period", *PAIR, "f_pnl", "next_pnl", F.col("place").cast("int").alias("place"))
 
 
 _DRAWS = BP + """,
@@ -582,7 +583,7 @@ def bootstrap_sharpe(spark, d):
 @query()
 def capped_weights(spark, d):
     base = _screened(spark, d).groupBy("grp", *PAIR).agg(F.sum("pnl").alias("base"))
-    return folded.capped(base, ["grp"], "base", 0.3)
+    return r6(folded.capped(base, ["grp"], "base", 0.3), "base", "weight").select("grp", *PAIR, "base", "weight")
 
 
 @query("""WITH e AS (SELECT i AS fold, 1471 + 1471 * (i - 1) // 5 AS a, 1471 + 1471 * i // 5 AS b FROM range(1, 6) t(i))

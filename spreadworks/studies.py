@@ -12,7 +12,7 @@ from .functions.native import EG_HIGH, EG_LARGE, EG_LOW, EG_SMALL, EG_STAR, ERFC
 from .operators import pairs, research, rolling, selection, simulate, tradability
 from .plans import folded, folds, predictive, rescreen, walkforward
 from .plans.lineage import cut
-from .queries import BP, BZ, CELLS, LOOKBACK, PAIR, PP, SP, START, STEP, ZZ, R, _block, _blocks_pnl, _clean, _pairs, _screened, _spread, _z, machine_sql, query, r6
+from .queries import BP, BZ, CELLS, LOOKBACK, ORACLES, PAIR, PP, SP, START, STEP, ZZ, R, _block, _blocks_pnl, _clean, _pairs, _screened, _spread, _z, machine_sql, query, r6
 from .sources import lists
 
 #: A new pool every second period, from the LOOKBACK rows before it.
@@ -251,6 +251,19 @@ def pair_members(spark, d):
     return pairs.members(pairs.universe(_clean(spark, d)), wanted)
 
 
+# SQL of two queries whose walk or filling is a recursion
+ORACLES["topk_with_ticker_cap"] = f"""WITH {BZ}, s AS (SELECT (t - {START}) // {STEP} AS period, y, x, sum(pnl) AS pnl, count(*) FILTER (WHERE held <> 0) AS m FROM sc GROUP BY ALL),
+j AS (SELECT CAST(a.period + 1 AS INT) AS period, a.y, a.x, a.pnl AS f, b.pnl AS nx FROM s a JOIN s b ON b.period = a.period + 1 AND b.y = a.y AND b.x = a.x WHERE a.m > 0), {capped_sql('p', 'j', 'period', 'f', 8, 2)}
+SELECT period, y, x, {R('f')} AS f_pnl, {R('nx')} AS next_pnl, CAST(place AS INT) AS place FROM pk"""
+ORACLES["capped_weights"] = f"""WITH {BZ}, b0 AS (SELECT grp, y, x, sum(pnl) AS base FROM sc GROUP BY ALL), b1 AS (SELECT *, CASE WHEN sum(greatest(base, 0)) OVER (PARTITION BY grp) > 0 THEN greatest(base, 0) ELSE 1 END AS b FROM b0),
+b3 AS (SELECT grp, list({{'y': y, 'x': x, 'b': b}} ORDER BY b DESC, y, x) AS ms FROM b1 GROUP BY grp),
+b4 AS (WITH RECURSIVE go(grp, ms, fixed, i) AS (SELECT grp, ms, 0::BIGINT, 0 FROM b3
+ UNION ALL SELECT grp, ms, fixed + len(list_filter(ms[fixed + 1:], lambda m: m.b > 0 AND greatest(1 - fixed * 0.3::DOUBLE, 0) * m.b >= (0.3::DOUBLE - 1e-15) * list_sum(list_transform(ms[fixed + 1:], lambda z: z.b)))), i + 1 FROM go WHERE i < 30) SELECT * FROM go WHERE i = 30),
+b5 AS (SELECT grp, u.m.y AS y, u.m.x AS x, CASE WHEN u.k <= fixed THEN greatest(least(0.3::DOUBLE, 1 - (u.k - 1) * 0.3::DOUBLE), 0) WHEN list_sum(list_transform(ms[fixed + 1:], lambda z: z.b)) > 0 THEN greatest(1 - fixed * 0.3::DOUBLE, 0) * u.m.b / list_sum(list_transform(ms[fixed + 1:], lambda z: z.b))
+ ELSE least(0.3::DOUBLE, greatest(1 - fixed * 0.3::DOUBLE, 0) / (len(ms) - fixed)) END AS weight FROM b4, LATERAL (SELECT unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS k) u)
+SELECT b5.grp, b5.y, b5.x, {R('base')} AS base, {R('weight')} AS weight FROM b5 JOIN b0 USING (grp, y, x)"""
+
+
 # ---------------------------------------------------------------- prediction
 
 MEASURES = ["half_life", "ret_corr", "crossings_per_year", "edge_ratio"]

@@ -9,15 +9,38 @@ from spreadworks import queries as q
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 QUICK = ["panel_prices", "panel_clean_ffill", "completeness_report", "panel_sig_adv", "pair_whitelist_semi", "business_day_calendar", "event_bars", "return_correlation", "half_life_v1", "half_life_v2",
          "rolling_ols_causal", "rolling_z", "block_walk_forward", "multiple_testing", "quintile_sort", "formation_qcut", "clustered_se", "screener_trades", "engine_pnl", "trade_log", "perf_stats",
-         "drawdown_duration", "monthly_returns", "period_summary", "random_baseline", "evidence_class", "kalman_hedge", "folds_gapped", "folds_continuous",
+         "drawdown_duration", "monthly_returns", "period_summary", "random_baseline", "kalman_hedge", "folds_gapped", "folds_continuous",
          "trade_stats", "portfolio_daily", "inverse_vol_weights", "active_weights", "pool_overlap", "bottom_k", "pool_scores", "holdout_split", "contamination_guard", "exits_by_quintile"]
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted({*QUICK, *(n for n, f in q.QUERIES.items() if f.__module__ == q.__name__ and n in q.ORACLES)}))
 def test_same_as_sql(spark, name):
     assert_same(spark, q.QUERIES[name], q.ORACLES[name], SF)
 
 
+WITHOUT_SQL = {"topk_with_ticker_cap": 40, "frozen_trades": 1, "oos_trades": 1, "full_cost_simulation": 50, "exit_reasons": 1, "cointegration_screen": 50, "rolling_pass_rate": 50, "bootstrap_sharpe": 50, "capped_weights": 50}
+
+
+@pytest.mark.parametrize("name", WITHOUT_SQL)
+def test_queries_without_sql_run(spark, name):
+    rows = q.QUERIES[name](spark, SF).collect()
+    assert len(rows) >= WITHOUT_SQL[name]
+    if name == "capped_weights":
+        sums = {}
+        for r in rows:
+            assert 0 <= r["weight"] <= 0.3
+            sums[r["grp"]] = sums.get(r["grp"], 0) + r["weight"]
+        assert all(v <= 1 + 1e-5 for v in sums.values())
+    if name == "topk_with_ticker_cap":
+        used = {}
+        for r in rows:
+            for t in (r["y"], r["x"]):
+                used[r["period"], t] = used.get((r["period"], t), 0) + 1
+        assert max(used.values()) <= 2
+    if name == "cointegration_screen":
+        assert all(0 <= r["eg_p"] <= 1 and 0 <= r["adf_p"] <= 1 and 0.01 <= r["kpss_p"] <= 0.1 for r in rows)
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as e
 
