@@ -145,6 +145,18 @@ class Index:
         return [(d, t, share, -first) for (d, t), (share, first) in sorted(best.items())]
 
 
+def templates_of(table_: DataFrame, name_col: str = "license", text_col: str = "text", most_bytes: int = 16 << 20) -> list[tuple[str, str]]:
+    """Templates from a table, such as one of full license texts; more than most_bytes of them are refused.
+
+    Null texts and texts under five words are passed over; the order is that of names and texts.
+    """
+    rows = table_.select(F.col(f"`{name_col}`").alias("name"), F.col(f"`{text_col}`").alias("text")).filter("text IS NOT NULL").distinct()
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of templates: more than {most_bytes}")
+    return [(r["name"], r["text"]) for r in rows.orderBy("name", "text").collect() if len(words_of(r["text"].encode())) >= SHINGLE]
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, template int, license, containment, start): start is the first word of the best window."""
     prepare(docs.sparkSession)

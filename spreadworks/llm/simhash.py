@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import texts_of
-from .common import LOWEST, materialize, prepare, public_id, table
+from .common import LOWEST, discard, materialize, prepare, public_id, table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Rows of an anchor beyond which its comparisons are split by bytes of the other half (exact all the same).
@@ -216,11 +216,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "large-star")
+        large, old = materialize(large, "large-star"), edges
+        discard(old)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = materialize(small, "small-star")
+        discard(large)
         before, now = now, state(edges)
         if before == now:
             break

@@ -75,6 +75,21 @@ def test_licenses_on_the_smallest_tables(spark):
     assert {tuple(r[c] for c in ("doc_id", "template", "license", "containment", "start_word")) for r in found.collect()} == brute_licenses([(r["doc_id"], r["text"]) for r in t])
 
 
+def test_full_texts_from_a_table(spark):
+    """A license of several hundred words, from a table, amid other text; also with every tenth word changed at its end."""
+    g = random.Random(3)
+    text = " ".join(g.choice("the software is provided as it stands without any kind of warranty to whoever uses copies or changes it".split()) + str(g.randrange(9)) for _ in range(400))
+    table = spark.createDataFrame([("long", text), ("long", text), ("none", None), ("short", "too short")], "license string, text string")
+    templates = license_scan.templates_of(table)
+    assert templates == [("long", text)]
+    words = text.split()
+    docs = [(1, "before " * 300 + text + " after" * 200), (2, " ".join(words[:390])), (3, " ".join(words[:200])), (4, "before " * 77 + text.upper())]
+    found = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect()
+    assert {r["doc"] for r in found} == {1, 2, 4} and all(r["containment"] >= 0.8 for r in found)
+    with pytest.raises(ValueError, match="more than"):
+        license_scan.templates_of(table, most_bytes=10)
+
+
 def test_short_templates_are_refused():
     with pytest.raises(ValueError, match="5 words"):
         license_scan.Index([("x", "too short")])
