@@ -6,6 +6,14 @@ weights (a document may be taken twice, or not at all); what is left is dealt in
 shards.  Each stage is one operator of spreadworks.llm, works on all its predecessor
 kept, and is written as Parquet before the next one reads it.  All stages but the last
 return the columns of `documents`.
+
+Defined results: a null or empty text is a document like any other (fingerprint zero,
+no shingles, no words); null ids count as one id to the SimHash stage, of which, as of
+any id that several rows share, one row stays (the first text in byte order); the other
+filtering stages judge each row on its own.  Ties go to the smaller id.  A null source is a source of
+its own.  Repeated rows stay repeated until the SimHash stage.  Columns whose names the
+operators use themselves pass through unchanged.  Empty tables give an empty result;
+without labels of both kinds every score is the share of toxic labels.
 """
 
 from __future__ import annotations
