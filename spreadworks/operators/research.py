@@ -38,7 +38,6 @@ def clustered_slope(rows: DataFrame, x: str, y: str, one: list[str], two: list[s
     sums are grouping sets of one pass over the scores; p is two-sided, of the normal distribution.
     """
     by = by or []
-    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     rows = complete(rows, x, y)
     fits = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"))
     fits = fits.withColumn("coef", F.col("xy") / F.nullif("xx", F.lit(0.0)))

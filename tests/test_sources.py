@@ -44,6 +44,40 @@ def test_undated_rows_become_week_days(spark, write):
         panel.read_undated(spark, write("v.csv", "AAA,BBB\nOpen,Open\n1,2\n"), "2024-01-01")
 
 
+def test_files_without_dates_get_week_days(spark, write):
+    three = write("t.csv", HEAD + ",1,1,3,1\n,2,1,x,1\n")
+    assert closes(panel.read_prices(spark, three, "2024-01-01")) == WANT
+    assert closes(panel.read_three_header(spark, three, ("close",), "2023-12-30", cutoff="2024-01-01")) == {k: v for k, v in WANT.items() if k[0] == "2024-01-01"}
+    assert panel.read_three_header(spark, three, ("close",)).count() == 0
+    plain = write("q.csv", "AAA,BBB\n1,3\n2,\n")
+    assert closes(panel.read_prices(spark, plain, "2024-01-01")) == WANT
+    adjusted = write("k.csv", "Price,Adj Close,Adj Close,Close\nTicker,AAA,BBB,CCC\n0,1,3,9\n1,2,,9\n")
+    assert closes(panel.read_prices(spark, adjusted, "2024-01-01")) == WANT
+
+
+def test_single_headers_want_dates_in_nine_of_ten_rows_and_keep_the_last_of_a_date(spark, write):
+    days = [f"2024-01-{i:02d},{i}" for i in range(1, 10)]
+    good = write("m.csv", "Date,AAA\n" + "\n".join(["2024-01-01,77", *days, "oops,5"]) + "\n")
+    assert closes(panel.read_prices(spark, good)) == {(f"2024-01-{i:02d}", "AAA"): float(i) for i in range(1, 10)}
+    with pytest.raises(ValueError):
+        panel.read_prices(spark, write("n.csv", "Date,AAA\n2024-01-01,1\noops,2\n"))
+
+
+def test_rows_are_numbered_through_the_partitions(spark, write):
+    path = write("w.csv", "AAA\nClose\n" + "\n".join(str(i) for i in range(2000)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.csv(path).rdd.getNumPartitions() > 5
+        got = panel.read_undated(spark, path, "2024-01-06").orderBy("date").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert [r["close"] for r in got] == [float(i) for i in range(2000)]
+    assert str(got[0]["date"]) == "2024-01-08" and all(r["date"].weekday() < 5 for r in got) and len({r["date"] for r in got}) == 2000
+
+
 def test_groups_refuse_duplicates(spark, write):
     assert panel.read_groups(spark, write("g.csv", "ticker,group\nA,x\nB,y\n")).count() == 2
     with pytest.raises(ValueError):
