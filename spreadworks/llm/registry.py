@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, html_extract, license_scan, mixing, rlz, sharding, simhash, suffix_dedup, topk, toxicity
+from . import collocations, decontaminate, html_extract, license_scan, line_dedup, mixing, rlz, sharding, simhash, suffix_dedup, token_align, topk, toxicity
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -17,9 +17,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing_sources": mixing.op9_mixing_sources,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_cross_tokenizer_alignment": token_align.op12_cross_tokenizer_alignment,
+    "op13_phrase_collocations": collocations.op13_phrase_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {k: v for m in (decontaminate, mixing, rlz, sharding, topk) for k, v in m.ORACLES.items()}
+ORACLES = {k: v for m in (collocations, decontaminate, line_dedup, mixing, rlz, sharding, topk) for k, v in m.ORACLES.items()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
