@@ -2,12 +2,15 @@
 
 The standard library's streaming parser gives one line per block of text (what lies
 between two block-level tags).  A line's ratio is its text length over the tags that
-opened in it; lines under elements that are marked up as something else than content
+opened in it; text under elements that are marked up as something else than content
 (navigation, header, footer, aside, form, script, adverts, notices, comments and the
-like) have ratio 0.  A class or id marks only if it says nothing else: beside words of
+like) is a line of its own with ratio 0, also within a paragraph: what stands before and
+after it is one line.  A class or id marks only if it says nothing else: beside words of
 place or form (post-footer, share-buttons) it does, beside words of content it does not
 (side-effects, social-history); nor does it mark what holds an article, main or most of
-the page's text, or one that tells a layout or state (with-sidebar, comments-open).  A
+the page's text, or one that tells a layout or state (with-sidebar, comments-open).  A form around the page marks nothing
+then, nor does a lone word like "comment" on a paragraph or "social" on a section of
+prose.  A
 header inside an article or main is its own title and stays.  The ratios are smoothed by
 a Gaussian over neighbouring lines and split into two clusters by a threshold (two means
 in one dimension).  The lines of the
@@ -29,6 +32,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +50,11 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol option p pre script search section select "
     "style summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
+#: Of these, those that show nothing: a line of text goes on after them.
+SILENT = frozenset("noscript script style template title".split())
+BREAKS = BLOCK - SILENT
 #: Elements whose text is no content, wherever they stand.
-OUTSIDE = frozenset("head title script style noscript template nav header footer aside form menu button select textarea iframe svg dialog search canvas object audio video".split())
+OUTSIDE = frozenset("head title script style noscript template nav header footer aside menu button select textarea iframe svg dialog search canvas object audio video".split())
 #: Roles, and words of a class or id, that mark an element as something else than content.
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar toolbar tooltip status".split())
 MARKS = frozenset(
@@ -56,6 +64,10 @@ MARKS = frozenset(
     "footer header masthead topbar comment comments commentlist reply replies respond responses disqus discussion "
     "share sharing social related recommended login search skip".split()
 )
+#: Marks that an author may give to a paragraph or section of the text: they do not count on a paragraph, nor on an element of prose.
+WEAK = frozenset("comment notice notices promotion side social related recommended share sharing discussion response responses reply replies search".split())
+#: Characters outside of links that make an element prose.
+PROSE = 200
 KEEP = frozenset("html body main".split())
 #: A class like with-sidebar or comments-open says how something else is laid out.
 PREFIXES = frozenset("with without has have no not non is hide show".split())
@@ -65,7 +77,7 @@ NEUTRAL = frozenset(
     "site page post posts entry entries article articles blog story stories main primary secondary global top bottom left right center inner outer "
     "first last before after below above in inline box block container wrapper wrap inside area region section zone slot unit bar panel strip row col column "
     "grid list lists item items link links button buttons icon icons group holder content body text title heading tools toolbar tags meta "
-    "author user users reader readers customer view count counts form field input area sticky fixed floating mobile desktop big small large wide "
+    "author user users reader readers customer thread threads feed stream view count counts form field input area sticky fixed floating mobile desktop big small large wide "
     "google dfp leaderboard skyscraper rectangle label placeholder native header footer email mail sign up us on more latest popular recent your our new js".split()
 )
 #: Marks that beside one of these words (or on a section, if None) name a part of a text.
@@ -79,24 +91,32 @@ ENDS_P = BLOCK - {"button", "caption", "head", "html", "body", "legend", "noscri
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, linked characters, outside, path) per line; path: numbers of the open elements."""
+    """Collects the chunks of text: (line, text, tags, linked characters, outside, path); path: numbers of the open elements.
+
+    A line is what lies between two breaks.  Its chunks are kept apart where an element outside or marked opens or closes within it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple]] = []
+        self.chunks: list[tuple[int, str, int, int, bool, tuple]] = []
         self.open: list[tuple[str, int, bool]] = []
-        self.marks: dict[int, float] = {}  # elements that a class or id marks: share of the text beyond which it does not count
+        self.marks: dict[int, tuple[float, bool]] = {}  # elements that a class, an id or being a form marks; see decided
         self.names: list[str] = []
         self.data: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.line = self.tags = self.linked = self.links = 0
 
-    def end_line(self) -> None:
+    def end_chunk(self) -> None:
         if self.data:
-            text = " ".join("".join(self.data).split())
-            if text:
-                self.lines.append((text, self.tags, self.linked, bool(self.open) and self.open[-1][2], tuple(n for _, n, _ in self.open)))
+            outside = bool(self.open) and self.open[-1][2]
+            self.chunks.append((self.line, "".join(self.data), self.tags, self.linked, outside, tuple(n for _, n, _ in self.open)))
             self.data = []
-        self.tags = self.linked = 0
+            self.tags = self.linked = 0
+
+    def end_line(self) -> None:
+        self.end_chunk()
+        if not (self.open and self.open[-1][2]):  # blocks within what is outside break no line around it
+            self.line += 1
+            self.tags = self.linked = 0
 
     @staticmethod
     def outside(tag: str, attrs: list) -> bool:
@@ -116,11 +136,11 @@ class Lines(HTMLParser):
         return False
 
     @staticmethod
-    def marked(tag: str, attrs: list) -> float:
-        """0 if no class or id marks the element; else the share of the page's text beyond which the mark does not count."""
-        found = 0.0
+    def marked(tag: str, attrs: list) -> tuple[float, bool]:
+        """(0, ..) if nothing marks the element; else the share of the page's text beyond which the mark does not count, and whether all its marks are weak."""
+        found, weak = (MOST, False) if tag == "form" else (0.0, True)
         if tag in KEEP:
-            return found
+            return 0.0, True
         for name, value in attrs:
             for token in value.split() if value and name in ("class", "id") else ():
                 words = [w.lower() for w in _WORDS.findall(token)]
@@ -131,15 +151,17 @@ class Lines(HTMLParser):
                     continue
                 for w in MARKS.intersection(words):
                     part = PARTS.get(w, frozenset())
-                    if not (tag == "section" if part is None else part & set(words)):
+                    alone = w in WEAK and not others and len(words) == 1
+                    if not (tag == "section" if part is None else part & set(words)) and not (alone and tag == "p"):
                         found = max(found, MOST if others else SHARE)
-        return found
+                        weak = weak and alone and tag == "section"
+        return found, weak
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCK:
+        if tag in BREAKS:
             self.end_line()
-            if tag in ENDS_P and self.open and any(t == "p" for t, _, _ in self.open):
-                self.close_to("p", stop=BLOCK - {"p"})
+            if tag in ENDS_P:
+                self.end_p()
         self.tags += 1
         if tag == "br":
             self.data.append(" ")
@@ -150,17 +172,28 @@ class Lines(HTMLParser):
         outside = bool(self.open) and self.open[-1][2]
         if not outside and not (tag == "header" and any(t in REGION for t, _, _ in self.open)):
             outside = self.outside(tag, attrs)
-        mark = 0 if outside else self.marked(tag, attrs)
-        if tag in BLOCK or outside or mark:
-            if mark:
+        mark = (0.0, True) if outside else self.marked(tag, attrs)
+        if tag in BLOCK or outside or mark[0]:
+            self.end_chunk()
+            if mark[0]:
                 self.marks[len(self.names)] = mark
             self.open.append((tag, len(self.names), outside))
             self.names.append(tag)
 
+    def end_p(self) -> None:
+        """A block ends an open paragraph, but not from within an inline element that is outside or marked."""
+        for name, n, outside in reversed(self.open):
+            if name == "p":
+                self.close_to("p")
+                return
+            if name in BLOCK or outside or n in self.marks:
+                return
+
     def close_to(self, tag: str, stop=frozenset()) -> None:
         """Close the innermost open element of this name and all inside it, if one is open (before any of stop)."""
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
+                self.end_chunk()
                 del self.open[i:]
                 return
             if self.open[i][0] in stop:
@@ -172,7 +205,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in BLOCK:
+        if tag in BREAKS:
             self.end_line()
         if tag == "a":
             self.links = max(0, self.links - 1)
@@ -212,33 +245,46 @@ def threshold(values: np.ndarray) -> float:
 
 
 def decided(parser: Lines) -> list[tuple[str, int, int, bool, tuple]]:
-    """The parser's lines, those under elements outside by class or id set outside.
+    """(text, tags, linked characters, outside, path) of the parser's lines: a line's content is joined without what lies outside.
 
     A mark does not count on an article, on what holds an article (without marks of its own)
     or main, or, if no such element has text elsewhere, on what holds most of the page's text.
+    A weak mark does not count on a section of prose either.
     """
     marks, names = parser.marks, parser.names
-    if not marks:
-        return parser.lines
-    size = dict.fromkeys(marks, 0)
+    size, prose = dict.fromkeys(marks, 0), dict.fromkeys(marks, 0)
     regions = dict.fromkeys(marks, 0)  # text in articles or main
     total = total_regions = 0
     holds = set()
-    for text, _, _, outside, path in parser.lines:
+    for _, text, _, linked, outside, path in parser.chunks if marks else ():
         if outside:
             continue
-        total += len(text)
+        n_text = len(text.strip())
+        total += n_text
         region = [n for n in path if names[n] in REGION and n not in marks]
-        total_regions += len(text) if region else 0
+        total_regions += n_text if region else 0
         for n in path:
             if n in marks:
-                size[n] += len(text)
+                size[n] += n_text
+                prose[n] += max(0, n_text - linked)
                 if region:
-                    regions[n] += len(text)
+                    regions[n] += n_text
                     if n < region[-1]:
                         holds.add(n)
-    gone = {n for n, most in marks.items() if names[n] != "article" and n not in holds and (regions[n] < total_regions or size[n] <= most * total)}
-    return [(*x[:3], x[3] or not gone.isdisjoint(x[4]), x[4]) for x in parser.lines]
+    gone = {
+        n
+        for n, (most, weak) in marks.items()
+        if names[n] != "article" and n not in holds and (regions[n] < total_regions or size[n] <= most * total) and not (weak and prose[n] >= PROSE)
+    }
+    lines = []
+    for _, group in groupby(parser.chunks, key=itemgetter(0)):
+        parts = [(*x[1:4], x[4] or not gone.isdisjoint(x[5]), x[5]) for x in group]
+        for outside in (True, False):  # what lies outside is a line of its own
+            mine = [x for x in parts if x[3] == outside]
+            text = " ".join("".join(x[0] for x in mine).split())
+            if text:
+                lines.append((text, sum(x[1] for x in mine), sum(x[2] for x in mine), outside, min((x[4] for x in mine if x[0].strip()), key=len)))
+    return lines
 
 
 def main_text(html: str | None) -> str:
