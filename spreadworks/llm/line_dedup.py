@@ -12,7 +12,7 @@ of the largest document id that holds it.
    that it knows are suspected and written; a line of one document is almost never.
 3. Suspects are counted by the whole key (combined before the shuffle), which confirms
    them exactly and chooses the largest document; only confirmed keys meet the suspects
-   again, and only places to drop go back to the documents.
+   again (by SHA-256), and only places to drop go back to the documents.
 
 A filter never misses a repeat, so its size decides how much is shuffled and nothing
 else: past some 10^8 lines of distinct text it fills and more lines become suspects.
@@ -42,8 +42,6 @@ LEAST, DOCUMENTS = 40, 5
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 29
 #: Bits set by a key; bits of a slice; hashes a task holds before it turns them into bits.
 PROBES, SLICE, HELD = 3, 1 << 22, 1 << 20
-#: Confirmed keys that are broadcast: rows and bytes; beyond, their join shuffles.
-FEW_ROWS, FEW_BYTES = 200_000, 16 << 20
 
 
 def key_of(line: bytes) -> bytes | None:
@@ -177,8 +175,8 @@ def line_dedup(docs: DataFrame, documents: int = DOCUMENTS, max_bits: int = MAX_
     bits = min(max_bits, max(MIN_BITS, 1 << (size // 8).bit_length()))
     found = materialize(suspects(rows, bits, twice_seen(rows, bits)), "suspects")
     keys = materialize(confirmed(found, documents), "confirmed")
-    few = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
-    both = found.join(F.broadcast(keys) if few[0] <= FEW_ROWS and few[1] <= FEW_BYTES else keys, "key").filter("doc != top")
+    digest = F.unhex(F.sha2("key", 256)).alias("digest")
+    both = found.select("doc", "copy", "line", digest).join(keys.select(digest, "top").hint("merge"), "digest").filter("doc != top")
     drops = materialize(both.groupBy("doc", "copy").agg(F.collect_list("line").alias("first")), "drops")
     discard(found, keys)
 
@@ -198,7 +196,7 @@ def line_dedup(docs: DataFrame, documents: int = DOCUMENTS, max_bits: int = MAX_
                 kept.append(text)
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(counts, pa.int64()), pa.array(dropped, pa.list_(pa.int32())), pa.array(kept, pa.string())], names=["doc", "lines", "dropped", "kept"])
 
-    return rows.join(drops, ["doc", "copy"], "left").select("doc", "text", "first").mapInArrow(run, RESULT)
+    return rows.join(drops.hint("merge"), ["doc", "copy"], "left").select("doc", "text", "first").mapInArrow(run, RESULT)
 
 
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
