@@ -6,8 +6,10 @@ choice depends on the window's content alone, so equal windows, wherever they oc
 have equal anchors at equal offsets.  Consecutive windows with one anchor form a
 *block*: ``n_windows`` window starts and ``n_windows + width - 1`` symbols.  Every
 window lies in exactly one block, and a repeated window can only be found between
-blocks of one anchor gram.  This is plain numpy; Spark partitions and shuffles the
-blocks (see ``blocks.py``).
+blocks of one anchor gram.  Frequent grams (slots of a table that is the same for all
+texts) are anchors of windows that have no other gram: else one passage of many
+documents would be the anchor of what stands before and after it in each of them.  This
+is plain numpy; Spark partitions and shuffles the blocks (see ``blocks.py``).
 """
 
 from __future__ import annotations
@@ -27,12 +29,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Hash of each byte, as of any other symbol.
+BYTES = mix64(np.arange(256, dtype=np.uint64) + GOLD)
+#: Slots of a table of frequent grams: the leading bits of a hash.
+SLOT_BITS = 22
+
+
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k symbols from each position (length n - k + 1), built by doubling."""
     n = len(symbols)
     if n < k:
         return np.zeros(0, np.uint64)
-    power, have = mix64(symbols.astype(np.uint64) + GOLD), 1
+    power, have = BYTES[symbols] if symbols.dtype == np.uint8 else mix64(symbols.astype(np.uint64) + GOLD), 1
     out, covered, done = None, 0, 0
     base = np.uint64(0xD6E8FEB86659FD93)
     with np.errstate(over="ignore"):
@@ -66,11 +78,11 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def cut(symbols: np.ndarray, ends: np.ndarray, width: int, k: int):
+def cut(symbols: np.ndarray, ends: np.ndarray, width: int, k: int, frequent: np.ndarray | None = None):
     """Blocks of several documents laid end to end.
 
     symbols: one integer per symbol; ends[i]: the end of the document that symbol i
-    is in.  Returns (start, n_windows, anchor hash) per block, starts ascending.
+    is in; frequent: a mask over the slots.  Returns (start, n_windows, anchor hash) per block, starts ascending.
     The text of one call must stay under 2**24 symbols: the low bits of a key hold
     the position, which makes the leftmost of equal grams the smallest.
     """
@@ -80,7 +92,8 @@ def cut(symbols: np.ndarray, ends: np.ndarray, width: int, k: int):
         return none, none, np.zeros(0, np.uint64)
     bits = np.uint64((1 << 24) - 1)
     h = gram_hashes(symbols, k)
-    keys = (h & ~bits) | np.arange(len(h), dtype=np.uint64)
+    keys = h if frequent is None else (h >> np.uint64(1)) | (frequent[slots(h)].astype(np.uint64) << np.uint64(63))
+    keys = (keys & ~bits) | np.arange(len(h), dtype=np.uint64)
     at = (sliding_min(keys, width - k + 1) & bits).astype(np.int64)  # anchor of each window
     inside = ends[: len(at)] - np.arange(len(at)) >= width
     new = np.empty(len(at), bool)

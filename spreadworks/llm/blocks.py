@@ -2,7 +2,10 @@
 
 Shared by the substring operators (13-word windows, 100-byte windows):
 
-1. ``occurrences``: cut every whole text into blocks (see ``anchors.py``).  Blocks of a
+0. ``frequent_grams``: which grams a share of the documents (one of 16, by hash of id) has
+   very often.  Any answer gives the same result; it keeps anchors from being shared by
+   too many blocks.
+1. ``cutter``: cut every whole text into blocks (see ``anchors.py``).  Blocks of a
    task's piece of text that share an anchor are compared there by the operator's own
    method (the parse, or the suffix sort).  A block that is a repeat as a whole is
    settled; all others go on, so that a key holds at most one copy for each piece.
@@ -26,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import cut, gram_hashes, mix64
+from .anchors import SLOT_BITS, cut, gram_hashes, mix64, slots
 from .common import discard, materialize, numbered, small
 
 #: Blocks of one anchor that are compared together; others are split into windows.
 HOT = 4096
+#: One document of so many is looked at for frequent grams, and how often a gram is frequent there.
+DRAWN, FREQUENT = 16, HOT // 64
 #: Symbols cut at once (bytes; words: a quarter of it).
 PIECE = 1_000_000
 
@@ -77,10 +82,31 @@ def _rows(ddl: str, arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, type=t) for a, t in zip(arrays, schema.types, strict=True)], schema=schema)
 
 
-def cutter(unit: Unit, compare: Compare) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def frequent_grams(rows: DataFrame, unit: Unit, drawn: int = DRAWN, frequent: int = FREQUENT) -> np.ndarray:
+    """Mask over the slots of grams found so often in the drawn documents (counted where a piece of text repeats them)."""
+
+    def run(batches):
+        for _, _, parts in grouped_texts(batches, unit):
+            hashes = [gram_hashes(unit.symbols(p), unit.gram) for p in parts if len(p) >= unit.width]
+            if hashes:
+                gram, n = np.unique(np.concatenate(hashes), return_counts=True)
+                yield _rows("gram long, n long", [gram[n > 1].view(np.int64), n[n > 1]])
+
+    few = rows.filter(F.pmod(F.xxhash64("doc", "copy"), F.lit(drawn)) == 0)
+    counts = few.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent)
+    mask = np.zeros(1 << SLOT_BITS, bool)
+    for r in counts.select(F.shiftrightunsigned("gram", 64 - SLOT_BITS).alias("slot")).distinct().toLocalIterator():  # at most the table's slots
+        mask[r["slot"]] = True
+    return mask
+
+
+def cutter(unit: Unit, compare: Compare, frequent: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow function: (doc, copy, text) to OCCURRENCE rows; whole texts, in pieces that overlap by a window."""
 
+    packed = None if frequent is None or not frequent.any() else np.packbits(frequent).tobytes()
+
     def run(batches):
+        mask = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         for docs, copies, parts in grouped_texts(batches, unit):
             length = np.array([len(p) for p in parts])
             end = np.cumsum(length)
@@ -90,7 +116,7 @@ def cutter(unit: Unit, compare: Compare) -> Callable[[Iterator[pa.RecordBatch]],
             ids, numbers = np.array(docs, np.int64), np.array(copies, np.int32)
             for at in range(0, max(1, len(symbols)), PIECE):
                 stop = min(len(symbols), at + PIECE + unit.width - 1)
-                start, n, anchor = cut(symbols[at:stop], ends[at:stop] - at, unit.width, unit.gram)
+                start, n, anchor = cut(symbols[at:stop], ends[at:stop] - at, unit.width, unit.gram, mask)
                 if len(start):
                     row = np.searchsorted(end, start + at, side="right")
                     yield _local(unit, compare, parts, row, ids[row], numbers[row], start + at - begin[row], n, anchor.view(np.int64))
@@ -315,7 +341,8 @@ def apply_spans(rows: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
 def remove_repeats(docs: DataFrame, unit: Unit, compare: Compare, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The four steps; see the module's text.  The result's columns are those of apply_spans."""
     rows = numbered(docs, id_col, text_col)
-    found = materialize(shared(rows.mapInArrow(cutter(unit, compare), OCCURRENCE), unit.strict), "shared")
+    cut_up = cutter(unit, compare, frequent_grams(rows, unit))
+    found = materialize(shared(rows.mapInArrow(cut_up, OCCURRENCE), unit.strict), "shared")
     open_, written = found.filter("not settled"), [found]
     hot = materialize(open_.filter(F.col("place") == HOT).select("anchor").distinct(), "hot")
     total = found.filter("settled").select("doc", "copy", "start", "n")

@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from llmcases import brute_bytes, brute_simhash, brute_words, documents, write
 from oracle import assert_same
+from pyspark.sql import functions as F
 
 from spreadworks.llm import blocks, rlz, simhash, suffix_dedup
 from spreadworks.llm.anchors import cut
@@ -134,6 +135,37 @@ def largest_route(spark, module, rows):
     return found.groupBy("route").count().agg({"count": "max"}).first()[0] or 0
 
 
+def fullest(spark, module, docs, frequent):
+    method = module.parse_blocks if module is rlz else module.sorted_blocks
+    found = docs.mapInArrow(blocks.cutter(module.UNIT, method, frequent), blocks.OCCURRENCE)
+    return found.groupBy("route").count().agg({"count": "max"}).first()[0]
+
+
+@pytest.mark.parametrize("module", [rlz, suffix_dedup])
+def test_one_passage_of_many_documents_loads_no_route(spark, module):
+    """20,000 documents of random words share 60 words: what stands around these is not dealt out by them."""
+    passage = F.lit(" ".join(f"shared{i}" for i in range(60)))
+    random_words = lambda k: F.expr(f"array_join(transform(sequence(1, 30), i -> conv(pmod(xxhash64(id, i, {k}), 5000), 10, 36)), ' ')")
+    docs = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc"), F.lit(0).alias("copy"), F.concat_ws(" ", random_words(1), passage, random_words(2)).alias("text"))
+    frequent = blocks.frequent_grams(docs, module.UNIT)
+    assert frequent.any() and fullest(spark, module, docs, frequent) < blocks.HOT // 4 < 10_000 < fullest(spark, module, docs, None)
+
+
+@pytest.mark.parametrize("module", [rlz, suffix_dedup])
+def test_frequent_grams_change_nothing(spark, monkeypatch, module):
+    """Whatever is taken for frequent, up to everything, the same repeats are found."""
+    g = random.Random(4)
+    passage = " ".join(f"shared{i}" for i in range(20))
+    rows = [(i, " ".join([*(g.choice("abcdefgh") for _ in range(20)), passage, *(g.choice("ab") for _ in range(30))])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    operator = rlz.substring_dedup if module is rlz else suffix_dedup.suffix_array_dedup
+    want = sorted(map(str, operator(docs).collect()))
+    for every in (1, 2, 3):
+        mask = np.arange(1 << blocks.SLOT_BITS) % every == 0
+        monkeypatch.setattr(blocks, "frequent_grams", lambda rows, unit, mask=mask: mask)
+        assert sorted(map(str, operator(docs).collect())) == want
+
+
 @pytest.mark.parametrize("module", [rlz, suffix_dedup])
 def test_one_repetitive_text_loads_no_route(spark, module):
     """A text of 200,000 equal words and one whose line comes 20,000 times send few blocks to any one anchor."""
