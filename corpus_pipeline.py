@@ -8,9 +8,10 @@ kept, and is written as Parquet before the next one reads it.  All stages but th
 return the columns of `documents`.
 
 Defined results: a null or empty text is a document like any other (fingerprint zero,
-no shingles, no words); null ids count as one id to the SimHash stage, of which, as of
-any id that several rows share, one row stays (the first text in byte order); the other
-filtering stages judge each row on its own.  Ties go to the smaller id.  A null source is a source of
+no shingles, no words); a row without an id is a document of its own, which the SimHash
+stage tells from others by its text (of equal texts without an id one stays); of rows
+that share an id, one stays there (the first text in byte order); the other filtering
+stages judge each row on its own.  Ties go to the smaller id.  A null source is a source of
 its own.  Repeated rows stay repeated until the SimHash stage.  Columns whose names the
 operators use themselves pass through unchanged.  Empty tables give an empty result;
 without labels of both kinds every score is the share of toxic labels.
@@ -44,12 +45,6 @@ def _only(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in names])
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose id is in gone (doc)."""
-    name = _fresh(docs, "_gone")
-    return docs.join(gone.select(F.col("doc").alias(name)).distinct(), _key() == F.col(name), "left_anti")
-
-
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 1: documents that the classifier rejects (score 0.5 or more) go."""
     prepare(spark)
@@ -59,15 +54,22 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2: of each component of linked fingerprints the smallest id stays; of rows that share it, the first text."""
-    groups = simhash.simhash_groups(docs)
-    kept = _without(docs, groups.filter("doc != component"))
-    ids = docs.select(_key().alias("k"))
-    if ids.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        return kept
-    name = _fresh(docs, "_place")
-    place = F.row_number().over(Window.partitionBy(_key()).orderBy("text"))
-    return _only(kept.withColumn(name, place).filter(F.col(name) == 1), docs.columns)
+    """Stage 2: of each component of linked fingerprints the smallest id stays; of rows that share it, the first text.
+
+    A row without an id takes one from its text, below all others.  Should two texts without
+    an id take the same, both stay with the component whose smallest id it is.
+    """
+    key, place, gone = (_fresh(docs, n) for n in ("_key", "_place", "_gone"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = F.lit(LOWEST) + 1 + F.shiftrightunsigned(F.xxhash64(text), 3)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), own))
+    groups = simhash.simhash_groups(keyed, id_col=key)
+    out = groups.filter("doc != component").select(F.col("doc").alias(gone)).distinct()
+    kept = keyed.join(out, F.col(key) == F.col(gone), "left_anti")
+    if keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return _only(kept, docs.columns)
+    by = Window.partitionBy(key, F.when(F.col("doc_id").isNull(), text)).orderBy("text")
+    return _only(kept.withColumn(place, F.row_number().over(by)).filter(F.col(place) == 1), docs.columns)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
