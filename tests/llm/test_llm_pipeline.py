@@ -39,13 +39,18 @@ def check_stages(spark, path):
             scores = toxicity.score(given.select("doc_id", "text", "source"), model, name="s").collect()
             assert Counter(after) == Counter((r["doc_id"], r["text"], r["source"]) for r in scores if r["s"] < 0.5)
         elif name == "simhash_near_dedup":
-            component = {d: k for d, _, k in brute_simhash([(d, t) for d, t, _ in before])}
-            want = Counter(d for d in {d for d, _, _ in before} if component[d] == d)
-            assert Counter(d for d, _, _ in after) == want and not Counter(after) - Counter(before)
+            # a row without an id is a document of its own: its text stands for an id below all others
+            texts = sorted({t or "" for d, t, _ in before if d is None})
+            own = lambda d, t: LOWEST + 1 + texts.index(t or "") if d is None else d
+            component = {d: k for d, _, k in brute_simhash([(own(d, t), t) for d, t, _ in before])}
+            want = sorted(min(x for x, k in component.items() if k == c) for c in set(component.values()))
+            found = {own(d, t): component[own(d, t)] for d, t, _ in after}
+            assert len(after) == len(found) == len(want) and sorted(found.values()) == want and not Counter(after) - Counter(before)
+            assert all(d == k for d, k in found.items() if d > LOWEST + len(texts))
         elif name == "benchmark_decontamination":
             items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{path}/benchmark.parquet").to_pylist()]
-            gone = {d for d, *_ in brute_contained([(d, t) for d, t, _ in before], items)}
-            assert Counter(after) == Counter(r for r in before if r[0] not in gone)
+            gone = {i for i, *_ in brute_contained([(i, r[1]) for i, r in enumerate(before)], items)}
+            assert Counter(after) == Counter(r for i, r in enumerate(before) if i not in gone)
         elif name == "mixing_sources":
             assert set(after) <= set(before) and max(Counter(after).values(), default=0) <= 2 * max(Counter(before).values(), default=0)
             total = sum(len(words(t)) for _, t, _ in before)
@@ -71,6 +76,14 @@ def test_stages_on_edge_cases(spark, tmp_path):
     assert len(kept["simhash_near_dedup"]) > len(kept["benchmark_decontamination"]) > len(kept["mixing_sources"]) > 0
 
 
+def test_unlike_rows_without_an_id_all_stay(spark, tmp_path):
+    texts = ["one text about ships and the sea", "quite another text on birds and trees", "numbers one two three four five", None, ""]
+    rows = [(None, t, "a") for t in [*texts, texts[0]]] + [(3, texts[1], "b"), (4, "a text of its own with an id", "b"), (4, "a text of its own with an id", "b")]
+    path = write(tmp_path / "t", rows)
+    found = rows_of(c.near_duplicates_out(spark, table(spark, path, "documents"), path))
+    assert Counter((d, t or "") for d, t, _ in found) == Counter([*((None, t) for t in texts[:3]), (None, ""), (4, rows[-1][1])])
+
+
 def test_clean_rows_beside_a_contaminated_one_of_the_same_id_stay(spark, tmp_path):
     dirty = benchmark()[0][1]
     rows = [(None, dirty, "a"), (None, "a clean text without an id", "a"), (None, None, "a"), (5, "x " + dirty, "b"), (5, "another clean text of five", "b"), (5, "another clean text of five", "b"), (6, dirty, "c"), (7, "clean", "c")]
@@ -86,7 +99,7 @@ def test_registered():
     import __spark_entry__ as e
 
     assert e.queries()["pipeline"] is c.run and [n for n, _ in c.STAGES][0] == "toxicity" and LOWEST < 0
-    assert sum(n.startswith("op") and n[2].isdigit() for n in e.queries()) == 10
+    assert sum(n.startswith("op") and n[2].isdigit() for n in e.queries()) == 13
 
 
 @pytest.mark.parametrize("name", [n for n, _ in c.STAGES[:-1]])
