@@ -41,9 +41,9 @@ from .common import discard, materialize, prepare, table
 #: Times a phrase is found at least; share of a longer one's count that drops it (percent); rows of a language; factor of a score.
 LEAST, NEARLY, TOP, SCALE = 30, 80, 2000, 2_000_000
 #: Words of a dictionary that is sent to the tasks; keys that the ranges are fitted on, words they are drawn from; keys in a range, about.
-FEW_WORDS, SAMPLE, SAMPLED_WORDS, RANGE = 1_000_000, 20_000, 4_000_000, 1_000_000
+FEW_WORDS, SAMPLE, SAMPLED_WORDS, RANGE = 1_000_000, 20_000, 4_000_000, 500_000
 #: Words and keys that a task holds before it adds them up.
-HELD_WORDS, HELD_KEYS = 400_000, 2_000_000
+HELD_WORDS, HELD_KEYS = 200_000, 1_000_000
 #: Groups of texts that meet their own part of a large dictionary: about this many bytes each.
 GROUP = 32 << 20
 
@@ -273,7 +273,7 @@ def run_lengths(dealt: DataFrame, parts: int, least: int) -> DataFrame:
                 part = p
                 waiting.append((_unpacked(k), np.frombuffer(t, np.uint32).astype(np.int64)))
                 size += len(waiting[-1][0])
-                if size > 4 * RANGE and size > 2 * len(waiting[0][0]):
+                if size > 2 * RANGE and size > 2 * len(waiting[0][0]):
                     waiting = [merged()]
                     size = len(waiting[0][0])
         if waiting:
