@@ -14,6 +14,10 @@ ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807
 EG_STAR, EG_LOW, EG_HIGH, EG_SMALL, EG_LARGE = -2.62, -18.86, 0.92, (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)
 
 
+#: The same for the statistic of one series with a constant (Dickey-Fuller).
+DF_STAR, DF_LOW, DF_HIGH, DF_SMALL, DF_LARGE = -1.61, -18.83, 2.74, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+
+
 def polynomial(x: Column, coefficients) -> Column:
     out = F.lit(float(coefficients[-1]))
     for c in reversed(coefficients[:-1]):
@@ -54,7 +58,13 @@ def t_two_sided(t: Column, df: Column) -> Column:
     return F.when(t.isNotNull() & (df >= 1), F.greatest(1 - inside, F.lit(0.0)))
 
 
+def unit_root_p(tau: Column, n_series: int) -> Column:
+    """p of a unit-root statistic with a constant: Dickey-Fuller (one series) or Engle-Granger (two)."""
+    star, low, high, small, large = (DF_STAR, DF_LOW, DF_HIGH, DF_SMALL, DF_LARGE) if n_series == 1 else (EG_STAR, EG_LOW, EG_HIGH, EG_SMALL, EG_LARGE)
+    p = normal_cdf(F.when(tau <= star, polynomial(tau, small)).otherwise(polynomial(tau, large)))
+    return F.when(tau.isNotNull(), F.when(tau > high, 1.0).when(tau < low, 0.0).otherwise(p))
+
+
 def eg_p(tau: Column) -> Column:
     """p of an Engle-Granger statistic (two series, constant)."""
-    p = normal_cdf(F.when(tau <= EG_STAR, polynomial(tau, EG_SMALL)).otherwise(polynomial(tau, EG_LARGE)))
-    return F.when(tau.isNotNull(), F.when(tau > EG_HIGH, 1.0).when(tau < EG_LOW, 0.0).otherwise(p))
+    return unit_root_p(tau, 2)

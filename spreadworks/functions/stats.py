@@ -64,7 +64,7 @@ def _fit(design: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float, np.
 def adf_tau(s: np.ndarray, constant: bool, max_lag: int | None = None) -> float:
     """t-value of the level; lags by AIC on a common sample, then all rows for the lag chosen."""
     n, d = len(s), np.diff(s)
-    most = min(math.ceil(12 * (n / 100) ** 0.25), max(0, n // 2 - 2 - constant)) if max_lag is None else max_lag
+    most = min(math.ceil(12 * (n / 100) ** 0.25), max(0, n // 2 - 1 - constant)) if max_lag is None else max_lag
 
     def design(lag: int, skip: int):
         parts = [s[skip:-1], *[d[skip - k : len(d) - k] for k in range(1, lag + 1)]]
