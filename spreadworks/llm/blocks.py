@@ -94,9 +94,11 @@ def frequent_grams(rows: DataFrame, unit: Unit, drawn: int = DRAWN, frequent: in
 
     few = rows.filter(F.pmod(F.xxhash64("doc", "copy"), F.lit(drawn)) == 0)
     counts = few.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent)
+    found = materialize(counts.select(F.shiftrightunsigned("gram", 64 - SLOT_BITS).alias("slot")).distinct(), "frequent")
     mask = np.zeros(1 << SLOT_BITS, bool)
-    for r in counts.select(F.shiftrightunsigned("gram", 64 - SLOT_BITS).alias("slot")).distinct().toLocalIterator():  # at most the table's slots
+    for r in found.toLocalIterator():  # at most the table's slots
         mask[r["slot"]] = True
+    discard(found)
     return mask
 
 
