@@ -1,63 +1,55 @@
-"""Per-pair statistics that need a whole series in one call: unit roots, cointegration, Kalman hedges, capped weights.
+"""Per-pair statistics over a whole series: unit roots, cointegration, Johansen, stationarity, their share over windows, Kalman hedges.
 
-One group is one pair (and window): a few thousand rows, bounded by the window's length.  Cheap filters on
-correlation go before these calls, since Catalyst cannot move a filter through them.
+All but the Kalman filter are column expressions (``unitroot.py``): one shuffle by group, nothing outside the JVM.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-
-SCREEN = (
-    "eg_tau double, eg_p double, adf_p double, kpss_stat double, kpss_p double, johansen_trace double, johansen_eigen double, "
-    "johansen_hedge double, johansen_ok boolean, alpha double, beta double, n int"
-)
-
-
-def screen(rows: DataFrame, by: list[str], y: str = "ly", x: str = "lx", least: int = 30) -> DataFrame:
-    """Cointegration statistics of each group; null statistics under `least` rows or if a regression fails."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", " + SCREEN
-
-    def run(key, table):
-        table = table.sort_by("t")
-        a, b = table[y].to_numpy(), table[x].to_numpy()
-        row: list = [None] * 9 + [None, None, len(a)]
-        if len(a) >= least and a.std() > 0 and b.std() > 0:
-            beta, alpha = np.polyfit(b, a, 1)
-            spread = a - alpha - beta * b
-            try:
-                tau, p = stats.engle_granger(a, b)
-                k, kp = stats.kpss(spread)
-                row = [tau, p, stats.adf(spread)[1], k, kp, *stats.johansen(a, b), alpha, beta, len(a)]
-            except np.linalg.LinAlgError:
-                row[9:11] = [alpha, beta]
-        names = [*by, *[c.split()[0] for c in SCREEN.split(", ")]]
-        kind = {"double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
-        types = [kind[c.split()[1]] for c in SCREEN.split(", ")]
-        return pa.Table.from_arrays([pa.array([k.as_py()], k.type) for k in key] + [pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
-
-    return rows.groupBy(*by).applyInArrow(run, schema)
+from ..functions.native import eg_p
+from . import unitroot
+
+
+def screen(rows: DataFrame, by: list[str], y: str = "ly", x: str = "lx", least: int = 30, autolag: str | None = "aic") -> DataFrame:
+    """Cointegration statistics of each group; null statistics under `least` rows or where a series does not vary."""
+    w = Window.partitionBy(*by).orderBy("t")
+    s = unitroot.johansen_series(unitroot.residuals(rows, by, y, x), w, y, x)
+    enough = F.col("n") >= least
+    out = s.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n"), F.first("alpha").alias("alpha"), F.first("beta").alias("beta"), unitroot.series_of("t", "s").alias("_s"), *unitroot.johansen_moments())
+    out = out.withColumns({"_s": F.when(enough, F.col("_s")), "_j_n": F.when(enough, F.col("_j_n"))})
+    out = unitroot.dickey_fuller(unitroot.dickey_fuller(out, "_s", "eg_tau", rule=autolag), "_s", "adf_tau", constant=True)
+    out = unitroot.johansen(unitroot.kpss(out, "_s", "kpss"))
+    ok = F.when(F.col("johansen_trace").isNotNull(), F.col("johansen_ok"))
+    return out.select(
+        *by, "eg_tau", F.col("eg_tau_lag").alias("eg_lag"), eg_p(F.col("eg_tau")).alias("eg_p"), "adf_tau", unitroot.adf_p(F.col("adf_tau")).alias("adf_p"), F.col("kpss").alias("kpss_stat"), "kpss_p",
+        "johansen_trace", "johansen_eigen", "johansen_trace_ratio", "johansen_hedge", ok.alias("johansen_ok"), "alpha", "beta", "n",
+    )
+
+
+def pass_rates(rows: DataFrame, by: list[str], count: int, alpha: float, least: int | Column, y: str, x: str, autolag: str | None = "aic") -> DataFrame:
+    """(by, n_windows, pass_rate, mean_p): share of `count` evenly placed windows of a group in which Engle-Granger rejects.
+
+    A window has max(least, n div count) of the group's n rows (column _n in least); starts that coincide count once, failed
+    tests not at all.  A group whose window would cover all its rows has no row.
+    """
+    w = Window.partitionBy(*by)
+    rows = rows.select(*by, "t", y, x).withColumns({"_n": F.count(F.lit(1)).over(w), "_i": F.row_number().over(w.orderBy("t")) - 1})
+    rows = rows.withColumn("_w", F.greatest(F.lit(least) if isinstance(least, int) else least, F.floor(F.col("_n") / max(count, 1))).cast("int"))
+    at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(max(count - 1, 0))), lambda i: F.floor(i * (F.col("_n") - F.col("_w")) / max(count - 1, 1)).cast("int")))
+    # a row goes only to the windows that hold it
+    mine = F.filter(at, lambda start: (F.col("_i") >= start) & (F.col("_i") < start + F.col("_w")))
+    part = rows.filter(F.col("_w") < F.col("_n")).select(*by, "t", y, x, F.explode(mine).alias("_start"))
+    key = [*by, "_start"]
+    tested = unitroot.dickey_fuller(unitroot.residuals(part, key, y, x).groupBy(*key).agg(unitroot.series_of("t", "s").alias("_s")), "_s", "tau", rule=autolag).withColumn("p", eg_p(F.col("tau")))
+    return tested.groupBy(*by).agg(F.count("p").alias("n_windows"), F.avg(F.when(F.col("p").isNotNull(), F.when(F.col("p") <= alpha, 1.0).otherwise(0.0))).alias("pass_rate"), F.avg("p").alias("mean_p"))
 
 
 def pass_rate(rows: DataFrame, count: int = 4, alpha: float = 0.05, least: int = 100) -> DataFrame:
-    """Share of `count` evenly placed windows of a pair in which Engle-Granger rejects; null if a window covers the whole history.
-
-    A window has max(least, n div count) of the pair's n rows, so that together they cover its history.
-    """
-    w = Window.partitionBy("y", "x")
-    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(w), "_i": F.row_number().over(w.orderBy("t")) - 1})
-    rows = rows.withColumn("_w", F.greatest(F.lit(least), F.floor(F.col("_n") / count)).cast("int"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * (F.col("_n") - F.col("_w")) / max(count - 1, 1)).cast("int"))
-    starts = F.array_distinct(at)  # positions that fall together count once
-    part = rows.withColumn("w", F.explode(F.when(F.col("_w") < F.col("_n"), starts))).filter((F.col("_i") >= F.col("w")) & (F.col("_i") < F.col("w") + F.col("_w"))).drop("_n", "_i", "_w")
-    tested = screen(part, ["y", "x", "w"])
-    return tested.groupBy("y", "x").agg(F.count("eg_p").alias("n_windows"), F.avg(F.when(F.col("eg_p").isNotNull(), F.when(F.col("eg_p") <= alpha, 1.0).otherwise(0.0))).alias("pass_rate"), F.avg("eg_p").alias("mean_p"))
+    """pass_rates of each pair's log prices."""
+    return pass_rates(rows, ["y", "x"], count, alpha, least, "ly", "lx")
 
 
 def kalman_hedge(rows: DataFrame, by: list[str], delta: float = 1e-5, noise: float | None = None) -> DataFrame:

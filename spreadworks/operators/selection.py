@@ -20,7 +20,7 @@ def pool(metrics: DataFrame, by: list[str], n: int = 50, per_ticker: int = 5, mi
     if gate_johansen:
         d = d.filter(F.coalesce("johansen_ok", F.lit(False)))
     if gate_kpss:
-        d = d.filter(F.col("kpss_p") > 0.05)
+        d = d.filter(F.col("kpss_pvalue") > 0.05)
     if min_stability > 0:
         d = d.filter(F.col("stability") >= min_stability)
     if min_edge_ratio > 0:

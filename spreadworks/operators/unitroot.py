@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.native import unit_root_p
@@ -117,8 +117,14 @@ def dickey_fuller(df: DataFrame, s: str, tau: str, constant: bool = False, rule:
     df = _corners(df, "_u_s", tau + "_lag", constant, "_u_one").withColumn("_u_x", F.element_at("_u_one", -1))
     x, free = F.col("_u_x"), F.col("_u_n") - F.col(tau + "_lag") - (F.col(tau + "_lag") + 1 + int(constant))
     value = x["c"] / F.sqrt(F.greatest(_residual(x) / F.nullif(free, F.lit(0)), F.lit(TINY)) * F.nullif(x["v"], F.lit(0.0)))
-    df = df.withColumn(tau, F.when(usable & (free > 0), value)).withColumn(tau + "_lag", F.when(F.col(tau).isNotNull(), F.col(tau + "_lag")))
-    return df.drop("_u_s", "_u_most", "_u_n", "_u_lag", "_u_one", "_u_x")
+    df = df.withColumn("_u_tau", F.when(usable & (free > 0), value)).withColumnRenamed(tau + "_lag", "_u_used")
+    df = _settled(df, {tau: F.col("_u_tau"), tau + "_lag": F.when(F.col("_u_tau").isNotNull(), F.col("_u_used"))})
+    return df.drop("_u_s", "_u_most", "_u_n", "_u_lag", "_u_one", "_u_x", "_u_tau", "_u_used")
+
+
+def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with the columns as the one row of a generator: a later filter on them stays above it, instead of repeating all they are computed from."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def kpss(df: DataFrame, s: str, out: str) -> DataFrame:
@@ -145,7 +151,10 @@ def kpss(df: DataFrame, s: str, out: str) -> DataFrame:
     for (x0, p0), (x1, p1) in reversed(list(zip(KPSS_TABLE, KPSS_TABLE[1:], strict=False))):
         p = F.when(at < x1, p0 + (at - x0) * ((p1 - p0) / (x1 - x0))).otherwise(p)
     p = F.when(at <= KPSS_TABLE[0][0], KPSS_TABLE[0][1]).otherwise(p)
-    return df.withColumn(out + "_p", F.when(at.isNotNull(), p)).withColumn(out + "_lags", F.when(at.isNotNull(), lags)).drop("_k_s", "_k_mean", "_k_e", "_k_c", "_k_v")
+    df = df.withColumn(out + "_p", F.when(at.isNotNull(), p)).withColumn(out + "_lags", F.when(at.isNotNull(), lags)).drop("_k_s", "_k_mean", "_k_e", "_k_c", "_k_v")
+    names = [out, out + "_lags", out + "_p"]
+    df = df.withColumnsRenamed({n: f"_k_{n}" for n in names})
+    return _settled(df, {n: F.col(f"_k_{n}") for n in names}).drop(*[f"_k_{n}" for n in names])
 
 
 #: The six series whose covariances the Johansen test needs: changes, earlier changes, levels before them.
@@ -202,6 +211,14 @@ def johansen(df: DataFrame, out: str = "johansen") -> DataFrame:
     return df.drop(*[x for x in df.columns if x.startswith("_j_")])
 
 
+def residuals(rows: DataFrame, by: list[str], y: str = "ly", x: str = "lx") -> DataFrame:
+    """alpha, beta and residual s of y on x and a constant within each group, as windows."""
+    every = Window.partitionBy(*by)
+    rows = rows.withColumn("beta", F.covar_pop(y, x).over(every) / F.nullif(F.var_pop(x).over(every), F.lit(0.0)))
+    rows = rows.withColumn("alpha", F.avg(y).over(every) - F.col("beta") * F.avg(x).over(every))
+    return rows.withColumn("s", F.col(y) - F.col("beta") * F.col(x) - F.col("alpha"))
+
+
 def series_of(order: str, value: str) -> Column:
     """Aggregate: a group's values in order, as an array."""
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import ranking, simulate, tradability
+from ..operators.intervals import within
 from . import walkforward
 
 PAIR = ["y", "x"]
@@ -18,13 +19,13 @@ KEY = ["fold", "y", "x"]
 
 def train_rows(rows: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows of each fold's training part; a row serves every fold that trains on it."""
-    return rows.join(F.broadcast(folds.select("fold", "train_lo", "train_hi")), (F.col("t") >= F.col("train_lo")) & (F.col("t") < F.col("train_hi"))).drop("train_lo", "train_hi")
+    return within(rows, folds.select("fold", "train_lo", "train_hi"), "train_lo", "train_hi")
 
 
 def segments(rows: DataFrame, folds: DataFrame) -> DataFrame:
     """Validation and test rows: adds fold and segment ('val', 'test')."""
     parts = folds.select("fold", F.explode(F.array(F.struct(F.lit("val").alias("segment"), F.col("val_lo").alias("lo"), F.col("val_hi").alias("hi")), F.struct(F.lit("test").alias("segment"), F.col("test_lo").alias("lo"), F.col("test_hi").alias("hi")))).alias("s"))
-    return rows.join(F.broadcast(parts.select("fold", "s.*")), (F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi"))).drop("lo", "hi")
+    return within(rows, parts.select("fold", "s.*"))
 
 
 def chosen_pairs(rows: DataFrame, folds: DataFrame, **parameters) -> DataFrame:
@@ -32,6 +33,12 @@ def chosen_pairs(rows: DataFrame, folds: DataFrame, **parameters) -> DataFrame:
     return tradability.candidates(train_rows(rows.select(*PAIR, "t", "py", "px"), folds), ["fold"], **parameters)
 
 
+def diagnosed(rows: DataFrame, folds: DataFrame, given: DataFrame, significance: float = 0.05, stability_windows: int = 4) -> DataFrame:
+    """Train-only diagnostics of given pairs (y, x) in each fold (see tradability.diagnostics)."""
+    kept = rows.select(*PAIR, "t", "py", "px").join(given.select(*PAIR).distinct(), PAIR, "left_semi")
+    return tradability.diagnostics(train_rows(kept, folds), ["fold"], significance, stability_windows)
+
+
 def simulated(z_rows: DataFrame, folds: DataFrame, pairs: DataFrame | None, cells: DataFrame, capital: float, units: float = 10.0, **costs) -> DataFrame:
     """Daily money of every (fold, segment, pair, entry, exit): positions restart in each segment."""
     by = ["fold", "segment", *PAIR, "entry", "exit"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions.native import EG_HIGH, EG_LARGE, EG_LOW, EG_SMALL, EG_STAR, ERFC
+from .functions.native import DF_HIGH, DF_LARGE, DF_LOW, DF_SMALL, DF_STAR, EG_HIGH, EG_LARGE, EG_LOW, EG_SMALL, EG_STAR, ERFC
 from .operators import pairs, research, rolling, selection, simulate, tradability
 from .plans import folded, folds, predictive, rescreen, walkforward
 from .plans.lineage import cut
@@ -33,11 +33,12 @@ def erfc_sql(source: str, z: str, out: str) -> str:
     return f"(SELECT * EXCLUDE (u_), u_ * exp(-{z} * {z} + {poly('u_', ERFC)}) AS {out} FROM (SELECT *, 1 / (1 + {z} * 0.5::DOUBLE) AS u_ FROM {source}))"
 
 
-def eg_p_sql(source: str, tau: str, out: str) -> str:
+def eg_p_sql(source: str, tau: str, out: str, surface=(EG_STAR, EG_LOW, EG_HIGH, EG_SMALL, EG_LARGE)) -> str:
     """source with column out: the p value of the Engle-Granger statistic tau."""
-    x = f"(SELECT *, CASE WHEN {tau} <= {EG_STAR} THEN {poly(tau, EG_SMALL)} ELSE {poly(tau, EG_LARGE)} END AS x_ FROM {source})"
+    star, low, high, small, large = surface
+    x = f"(SELECT *, CASE WHEN {tau} <= {star} THEN {poly(tau, small)} ELSE {poly(tau, large)} END AS x_ FROM {source})"
     e = erfc_sql(f"(SELECT *, abs(x_) / sqrt(2.0::DOUBLE) AS z_ FROM {x})", "z_", "e_")
-    return f"(SELECT * EXCLUDE (x_, z_, e_), CASE WHEN {tau} IS NULL THEN NULL WHEN {tau} > {EG_HIGH} THEN 1.0::DOUBLE WHEN {tau} < {EG_LOW} THEN 0.0::DOUBLE WHEN x_ < 0 THEN e_ / 2 ELSE 1 - e_ / 2 END AS {out} FROM {e})"
+    return f"(SELECT * EXCLUDE (x_, z_, e_), CASE WHEN {tau} IS NULL THEN NULL WHEN {tau} > {high} THEN 1.0::DOUBLE WHEN {tau} < {low} THEN 0.0::DOUBLE WHEN x_ < 0 THEN e_ / 2 ELSE 1 - e_ / 2 END AS {out} FROM {e})"
 
 
 def normal_p_sql(source: str, t: str, out: str) -> str:
@@ -61,7 +62,68 @@ def residual_sql(p: str, source: str, by: str, y: str = "ly", x: str = "lx") ->
 {p}s AS (SELECT *, lag(s) OVER w AS s0, s - lag(s) OVER w AS ds FROM {p}e WINDOW w AS ({w}))"""
 
 
-TAU = "CASE WHEN count(s0) > 2 THEN sum(s0 * ds) / sum(s0 * s0) / sqrt(greatest((sum(ds * ds) - sum(s0 * ds) / sum(s0 * s0) * sum(s0 * ds)) / (count(s0) - 1), 1e-300) / sum(s0 * s0)) END"
+def unit_root_sql(p: str, source: str, by: str, constant: bool = False, s: str = "s") -> str:
+    """CTE {p}tau (by, n, lag, tau): Dickey-Fuller of the groups' values s, lags by AIC over common rows, the statistic over all rows of that lag.
+
+    Every lagged vector is a slice of the group's list, their products a matrix; a recursion eliminates its first row and column
+    again and again, so that the last two rows hold level and change given 0, 1, ... lags.
+    """
+    c = int(constant)
+    vectors = "list_concat(list_transform(range(1, most + 1), lambda i: d[most - i + 1:n - 1 - i]), [s[most + 1:n - 1], d[most + 1:n - 1]])"
+    if constant:
+        vectors = f"list_transform({vectors}, lambda v: list_transform(v, lambda e: e - list_avg(v)))"
+
+    def corners(name: str, table: str) -> str:
+        return f"""{name} AS MATERIALIZED (WITH RECURSIVE go AS (SELECT {by}, n, most, 0 AS k, m FROM (SELECT *, list_transform(v, lambda a: list_transform(v, lambda b: list_dot_product(a, b))) AS m FROM (SELECT *, {vectors} AS v FROM {table}))
+ UNION ALL SELECT {by}, n, most, k + 1, list_transform(m[2:], lambda row: list_transform(range(2, len(row) + 1), lambda j: row[j] - row[1] * m[1][j] / nullif(m[1][1], 0))) FROM go WHERE k < most)
+ SELECT {by}, n, most, k, n - 1 - most AS rows_, m[-2][-2] AS v, m[-2][-1] AS c, greatest(m[-1][-1] - m[-2][-1] * m[-2][-1] / nullif(m[-2][-2], 0), 1e-300) AS rss FROM go)"""
+
+    return f"""{p}u0 AS MATERIALIZED (SELECT *, list_transform(range(2, n + 1), lambda i: s[i] - s[i - 1]) AS d, CAST(greatest(least(ceil(12 * pow(n / 100.0::DOUBLE, 0.25::DOUBLE)), n // 2 - 1 - {c}), 0) AS INT) AS most
+ FROM (SELECT {by}, list({s} ORDER BY t) AS s, count(*) AS n FROM {source} GROUP BY {by} HAVING count({s}) = count(*)) WHERE n > 3 + {c}),
+{corners(f'{p}u1', f'{p}u0')},
+{p}u2 AS (SELECT {by}, k AS lag FROM {p}u1 QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY coalesce(rows_ * ln(rss / rows_) + 2.0::DOUBLE * (k + 1 + {c}), 'inf'::DOUBLE), k) = 1),
+{corners(f'{p}u3', f'(SELECT u.* EXCLUDE (most), lag AS most FROM {p}u0 u JOIN {p}u2 USING ({by}))')},
+{p}tau AS (SELECT {by}, n, k AS lag, c / sqrt(greatest(rss / (rows_ - k - 1 - {c}), 1e-300) * v) AS tau FROM {p}u3 WHERE k = most AND rows_ - k - 1 - {c} > 0 AND v <> 0)"""
+
+
+def df_p_sql(source: str, tau: str, out: str) -> str:
+    """source with column out: the p value of the Dickey-Fuller statistic tau of one series with a constant."""
+    return eg_p_sql(source, tau, out, (DF_STAR, DF_LOW, DF_HIGH, DF_SMALL, DF_LARGE))
+
+
+def kpss_sql(p: str, source: str, by: str, s: str = "s") -> str:
+    """CTE {p}kpss (by, kpss, kpss_p) of the groups' values s."""
+    bw = "least(floor(1.1447::DOUBLE * pow(pow(s1 / s0, 2.0::DOUBLE), 1 / 3.0::DOUBLE) * pow(n::DOUBLE, 1 / 3.0::DOUBLE)), n - 1)"
+    cov = "list_dot_product(e[k + 1:n], e[1:n - k]) / n"
+    table = [(0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01)]
+    steps = " ".join(f"WHEN kpss < {x1} THEN {p0} + (kpss - {x0}) * ({p1} - {p0}) / ({x1} - {x0})::DOUBLE" for (x0, p0), (x1, p1) in zip(table, table[1:], strict=False))
+    return f"""{p}k0 AS (SELECT {by}, n, list_transform(l, lambda x: x - list_avg(l)) AS e FROM (SELECT {by}, list({s} ORDER BY t) AS l, count(*) AS n FROM {source} GROUP BY {by} HAVING count({s}) = count(*))),
+{p}k1 AS (SELECT *, list_dot_product(e, e) / n + 2 * coalesce(list_sum(list_transform(range(1, CAST(floor(pow(n::DOUBLE, 2 / 9.0::DOUBLE)) AS INT) + 1), lambda k: {cov})), 0) AS s0,
+ 2 * coalesce(list_sum(list_transform(range(1, CAST(floor(pow(n::DOUBLE, 2 / 9.0::DOUBLE)) AS INT) + 1), lambda k: k * {cov})), 0) AS s1 FROM {p}k0),
+{p}k2 AS (SELECT *, CAST({bw} AS INT) AS lags FROM {p}k1),
+{p}k3 AS (SELECT {by}, list_dot_product(e, e) / n + coalesce(list_sum(list_transform(range(1, lags + 1), lambda k: 2 * (1 - k / (lags + 1.0::DOUBLE)) * {cov})), 0) AS lr, n FROM {p}k2),
+{p}k4 AS (SELECT {by}, sum(w * w) AS walk FROM (SELECT {by}, sum(x) OVER (PARTITION BY {by} ORDER BY i) AS w FROM (SELECT {by}, unnest(e) AS x, unnest(range(1, n + 1)) AS i FROM {p}k0)) GROUP BY {by}),
+{p}kpss AS (SELECT *, CASE WHEN kpss <= 0.347 THEN 0.10::DOUBLE {steps} WHEN kpss IS NOT NULL THEN 0.01::DOUBLE END AS kpss_p FROM (SELECT {by}, walk / (n::DOUBLE * n * nullif(lr, 0)) AS kpss FROM {p}k3 JOIN {p}k4 USING ({by})))"""
+
+
+def johansen_sql(p: str, source: str, by: str) -> str:
+    """CTE {p}jo (by, trace, eigen, hedge): 2 x 2 eigenvalues of the levels' and changes' covariances given the changes before, by regressions."""
+    names = ["dy", "dx", "py1", "px1", "y1", "x1"]
+    moments = ", ".join(f"covar_pop({a}, {b}) AS {a}_{b}" for i, a in enumerate(names) for b in names[i:])
+    cov = lambda a, b: f"{a}_{b}" if names.index(a) <= names.index(b) else f"{b}_{a}"
+    # coefficients of each series on the earlier changes, then covariances of what is left
+    coef = ", ".join(f"({cov(a, 'py1')} * {cov('px1', 'px1')} - {cov(a, 'px1')} * {cov('py1', 'px1')}) / nullif(det, 0) AS {a}_a, ({cov(a, 'px1')} * {cov('py1', 'py1')} - {cov(a, 'py1')} * {cov('py1', 'px1')}) / nullif(det, 0) AS {a}_b" for a in ("dy", "dx", "y1", "x1"))
+    rest = ", ".join(f"{cov(a, b)} - {a}_a * {cov(b, 'py1')} - {a}_b * {cov(b, 'px1')} AS r_{a}_{b}" for i, a in enumerate(["dy", "dx", "y1", "x1"]) for b in ["dy", "dx", "y1", "x1"][i:])
+    return f"""{p}j0 AS (SELECT *, ly - lag(ly) OVER w AS dy, lx - lag(lx) OVER w AS dx, lag(ly) OVER w - lag(ly, 2) OVER w AS py1, lag(lx) OVER w - lag(lx, 2) OVER w AS px1, lag(ly) OVER w AS y1, lag(lx) OVER w AS x1, lag(ly, 2) OVER w AS whole FROM {source} WINDOW w AS (PARTITION BY {by} ORDER BY t)),
+{p}j1 AS (SELECT {by}, count(*) AS n, {moments} FROM {p}j0 WHERE whole IS NOT NULL GROUP BY {by}),
+{p}j2 AS (SELECT *, {cov('py1', 'py1')} * {cov('px1', 'px1')} - {cov('py1', 'px1')} * {cov('py1', 'px1')} AS det FROM {p}j1), {p}j3 AS (SELECT *, {coef} FROM {p}j2), {p}j4 AS (SELECT {by}, n, {rest} FROM {p}j3),
+{p}j5 AS (SELECT *, r_dy_dy * r_dx_dx - r_dy_dx * r_dy_dx AS d0, r_y1_y1 * r_x1_x1 - r_y1_x1 * r_y1_x1 AS dk FROM {p}j4),
+{p}j6 AS (SELECT *, (r_dx_dx * r_dy_y1 * r_dy_y1 - 2 * r_dy_dx * r_dy_y1 * r_dx_y1 + r_dy_dy * r_dx_y1 * r_dx_y1) / nullif(d0, 0) AS q11, (r_dx_dx * r_dy_x1 * r_dy_x1 - 2 * r_dy_dx * r_dy_x1 * r_dx_x1 + r_dy_dy * r_dx_x1 * r_dx_x1) / nullif(d0, 0) AS q22,
+ (r_dx_dx * r_dy_y1 * r_dy_x1 - r_dy_dx * (r_dy_y1 * r_dx_x1 + r_dx_y1 * r_dy_x1) + r_dy_dy * r_dx_y1 * r_dx_x1) / nullif(d0, 0) AS q12 FROM {p}j5),
+{p}j7 AS (SELECT *, (r_x1_x1 * q11 - r_y1_x1 * q12) / nullif(dk, 0) AS a11, (r_x1_x1 * q12 - r_y1_x1 * q22) / nullif(dk, 0) AS a12, (r_y1_y1 * q12 - r_y1_x1 * q11) / nullif(dk, 0) AS a21, (r_y1_y1 * q22 - r_y1_x1 * q12) / nullif(dk, 0) AS a22 FROM {p}j6),
+{p}j8 AS (SELECT *, (a11 + a22) / 2 + sqrt(greatest((a11 - a22) * (a11 - a22) / 4 + a12 * a21, 0)) AS v1, (a11 + a22) / 2 - sqrt(greatest((a11 - a22) * (a11 - a22) / 4 + a12 * a21, 0)) AS v2 FROM {p}j7),
+{p}jo AS (SELECT {by}, -n * ln(1 - least(greatest(v1, 0), 1 - 1e-12)) AS eigen, -n * (ln(1 - least(greatest(v1, 0), 1 - 1e-12)) + ln(1 - least(greatest(v2, 0), 1 - 1e-12))) AS trace,
+ CASE WHEN abs(a12) >= abs(a21) THEN -(v1 - a11) / nullif(a12, 0) ELSE -a21 / nullif(v1 - a22, 0) END AS hedge FROM {p}j8)"""
 
 
 def life(k: str) -> str:
@@ -96,10 +158,11 @@ def tradability_sql(screens: str, entry: float, leave: float) -> str:
     part = " + ".join(f"CASE WHEN i >= floor(n * {c} / 3.0::DOUBLE) THEN 1 ELSE 0 END" for c in (1, 2))
     ks = ", ".join(f"regr_slope(ds, s0) FILTER (WHERE part = {c} AND same) AS k{c}, regr_slope(ly, lx) FILTER (WHERE part = {c}) AS b{c}" for c in range(3))
     good = " + ".join(f"CASE WHEN {life(f'k{c}')} BETWEEN {MIN_LIFE} AND {MAX_LIFE} THEN 1.0::DOUBLE ELSE 0 END" for c in range(3))
-    inner = f"""(SELECT screen, y, x, grp, any_value(n) AS n, any_value(b) AS hedge_ratio, any_value(sd) AS sd, corr(dy, dx) AS ret_corr, {TAU} AS eg_tstat, regr_slope(ds, s0) AS k,
- count(*) FILTER (WHERE abs(z) > {entry} AND abs(z0) <= {entry}) AS entries, count(*) FILTER (WHERE z0 IS NOT NULL AND (z < 0) <> (z0 < 0)) AS crossings, arg_max(py, t) AS py, arg_max(px, t) AS px, {ks} FROM t5 GROUP BY screen, y, x, grp)"""
+    inner = f"""(SELECT screen, y, x, grp, any_value(n) AS n, any_value(b) AS hedge_ratio, any_value(sd) AS sd, corr(dy, dx) AS ret_corr, any_value(tau) AS eg_tstat, regr_slope(ds, s0) AS k,
+ count(*) FILTER (WHERE abs(z) > {entry} AND abs(z0) <= {entry}) AS entries, count(*) FILTER (WHERE z0 IS NOT NULL AND (z < 0) <> (z0 < 0)) AS crossings, arg_max(py, t) AS py, arg_max(px, t) AS px, {ks} FROM t5 LEFT JOIN (SELECT screen, y, x, tau FROM ttau) USING (screen, y, x) GROUP BY screen, y, x, grp)"""
     return f"""sw AS (SELECT p.*, w.screen FROM pp p JOIN {screens} w ON p.t >= w.lo AND p.t < w.hi),
 {residual_sql('t', 'sw', 'screen, y, x')},
+{unit_root_sql('t', 'ts', 'screen, y, x')},
 t3 AS (SELECT *, count(*) OVER (PARTITION BY screen, y, x) AS n, row_number() OVER w - 1 AS i, ly - lag(ly) OVER w AS dy, lx - lag(lx) OVER w AS dx, stddev_samp(s) OVER (PARTITION BY screen, y, x) AS sd, avg(s) OVER (PARTITION BY screen, y, x) AS m
  FROM ts WINDOW w AS (PARTITION BY screen, y, x ORDER BY t)),
 t4 AS (SELECT *, {part} AS part, (s - m) / nullif(sd, 0) AS z FROM t3),
@@ -200,22 +263,22 @@ def pool_overlap_of_screens(spark, d):
     return rescreen.pool_overlaps(_pools(spark, d))
 
 
-_EX = eg_p_sql(f"(SELECT y, x, count(*) AS n_obs, {TAU} AS tau FROM es GROUP BY y, x)", "tau", "p")
+_EX = eg_p_sql("(SELECT y, x, count(*) AS n_obs, any_value(tau) AS tau FROM es LEFT JOIN (SELECT y, x, tau FROM etau) USING (y, x) GROUP BY y, x HAVING count(*) >= 500)", "tau", "p")
 
 
-@query(f"""WITH {PP}, {residual_sql('e', 'pp', 'y, x', 'py', 'px')}, ex AS (SELECT * FROM {_EX}), ek AS (SELECT *, count(p) OVER () AS m_, row_number() OVER (ORDER BY p NULLS LAST, y, x) AS k_, 1 AS f FROM ex)
+@query(f"""WITH {PP}, {residual_sql('e', 'pp', 'y, x', 'py', 'px')}, {unit_root_sql('e', 'es', 'y, x')}, ex AS (SELECT * FROM {_EX}), ek AS (SELECT *, count(p) OVER () AS m_, row_number() OVER (ORDER BY p NULLS LAST, y, x) AS k_, 1 AS f FROM ex)
 SELECT y, x, n_obs, {R('tau')} AS tau, {R('p')} AS p, {R('least(1, p * m_)')} AS p_bonferroni, {R(bh('p', 'f', ''))} AS p_bh, p < 0.05 AS significant, least(1, p * m_) <= 0.05 AS significant_bonferroni, {bh('p', 'f', '')} <= 0.05 AS significant_bh,
  CAST(row_number() OVER (ORDER BY round(p, 12) NULLS LAST, y, x) AS INT) AS place FROM ek""")
 def explore_pairs(spark, d):
     return r6(tradability.explored(_pairs(spark, d)), "tau", "p", "p_bonferroni", "p_bh").select(*PAIR, "n_obs", "tau", "p", "p_bonferroni", "p_bh", "significant", "significant_bonferroni", "significant_bh", "place")
 
 
-_RO = eg_p_sql(f"(SELECT y, x, screen, {TAU} AS tau FROM qs GROUP BY y, x, screen)", "tau", "p")
+_RO = eg_p_sql("(SELECT y, x, screen, any_value(tau) AS tau FROM qs LEFT JOIN (SELECT y, x, screen, tau FROM qtau) USING (y, x, screen) GROUP BY y, x, screen)", "tau", "p")
 
 
-@query(f"""WITH {PP}, {residual_sql('e', 'pp', 'y, x', 'py', 'px')}, ex AS (SELECT * FROM {_EX}), kp AS (SELECT y, x FROM ex WHERE p <= 0.5),
+@query(f"""WITH {PP}, {residual_sql('e', 'pp', 'y, x', 'py', 'px')}, {unit_root_sql('e', 'es', 'y, x')}, ex AS (SELECT * FROM {_EX}), kp AS (SELECT y, x FROM ex WHERE p <= 0.5),
 ro AS (SELECT pp.*, k AS screen FROM pp JOIN kp USING (y, x), range(0, 100) t(k) WHERE t >= k * 21 AND t < k * 21 + 126 AND k * 21 + 126 <= (SELECT max(t) + 1 FROM panel)),
-{residual_sql('q', 'ro', 'y, x, screen')}, rp AS (SELECT * FROM {_RO}) SELECT y, x, count(p) AS n_windows, {R('avg(CASE WHEN p < 0.05 THEN 1.0::DOUBLE ELSE 0 END)')} AS share_cointegrated, {R('avg(p)')} AS mean_p FROM rp GROUP BY y, x""")
+{residual_sql('q', 'ro', 'y, x, screen')}, {unit_root_sql('q', 'qs', 'y, x, screen')}, rp AS (SELECT * FROM {_RO}) SELECT y, x, count(p) AS n_windows, {R('avg(CASE WHEN p < 0.05 THEN 1.0::DOUBLE ELSE 0 END)')} AS share_cointegrated, {R('avg(p)')} AS mean_p FROM rp GROUP BY y, x""")
 def rolling_persistence(spark, d):
     tested = tradability.explored(_pairs(spark, d)).select(*PAIR, "p")
     return r6(tradability.persistence(_pairs(spark, d), tested, 126, 21, 0.05, 0.5), "share_cointegrated", "mean_p")
@@ -432,8 +495,8 @@ def _by_block():
 CAPITAL, LEAST = 100_000.0, 1
 FOLDS = """nn AS (SELECT max(t) + 1 AS n, CAST(floor((max(t) + 1) * 0.5) AS INT) AS st FROM panel), f0 AS (SELECT k, n, st + k * ((n - st) // 5) AS a, CASE WHEN k = 4 THEN n ELSE st + (k + 1) * ((n - st) // 5) END AS b FROM nn, range(0, 5) t(k)),
 fd AS (SELECT CAST(k + 1 AS INT) AS fold, a, a + CAST(floor((b - a) * 0.5) AS INT) AS m, b FROM f0), fs AS (SELECT fold, 'val' AS segment, a AS lo, m AS hi FROM fd UNION ALL SELECT fold, 'test', m, b FROM fd)"""
-_CAND = f"(SELECT fold, y, x, count(*) AS n_obs, {TAU} AS tau, regr_slope(ds, s0) AS slope, any_value(b) AS beta, stddev_samp(s) AS sd, stddev_samp(ds) AS sd_change, avg(py) AS my, avg(px) AS mx FROM cs GROUP BY fold, y, x)"
-CANDIDATES = f"""{FOLDS}, ct AS (SELECT p.*, fold FROM pp p JOIN fd ON t < a), {residual_sql('c', 'ct', 'fold, y, x', 'py', 'px')},
+_CAND = "(SELECT fold, y, x, count(*) AS n_obs, any_value(tau) AS tau, regr_slope(ds, s0) AS slope, any_value(b) AS beta, stddev_samp(s) AS sd, stddev_samp(ds) AS sd_change, avg(py) AS my, avg(px) AS mx FROM cs LEFT JOIN (SELECT fold, y, x, tau FROM ctau) USING (fold, y, x) GROUP BY fold, y, x)"
+CANDIDATES = f"""{FOLDS}, ct AS (SELECT p.*, fold FROM pp p JOIN fd ON t < a), {residual_sql('c', 'ct', 'fold, y, x', 'py', 'px')}, {unit_root_sql('c', 'cs', 'fold, y, x')},
 c1 AS (SELECT * FROM {eg_p_sql(_CAND, 'tau', 'p')} WHERE n_obs >= 100 AND p IS NOT NULL), c2 AS (SELECT *, count(*) OVER (PARTITION BY fold) AS m_, row_number() OVER (PARTITION BY fold ORDER BY p, y, x) AS k_ FROM c1),
 c3 AS (SELECT *, least(1, p * m_) AS p_bonferroni, {bh('p', 'fold', '')} AS p_bh FROM c2), c4 AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(p_bh, 12), round(p, 12), y, x) AS first FROM c3 WHERE p_bh <= 0.05),
 c5 AS (SELECT *, CASE WHEN slope < 0 THEN -ln(2.0::DOUBLE) / slope END AS half_life, 2 * 6.0::DOUBLE / 1e4 * (my + abs(beta) * mx) / (1.5::DOUBLE * nullif(sd, 0)) AS cost_to_move FROM c4 WHERE first <= 20),
