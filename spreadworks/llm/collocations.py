@@ -303,7 +303,9 @@ def mine(docs: DataFrame, least: int = LEAST, nearly: int = NEARLY, few: int = F
     every = max(1, int(min(total, SAMPLED_WORDS) // SAMPLE))
     bounds: list[bytes] = []
     if parts > 1:
-        sample = sorted(bytes(r["key"]) for r in windows(drawn, words, n_words, size // thin, None, every, few, held).toLocalIterator())
+        keys = materialize(windows(drawn, words, n_words, size // thin, None, every, few, held), "sample")
+        sample = sorted(bytes(r["key"]) for r in keys.toLocalIterator())
+        discard(keys)
         bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
 
     grams = materialize(run_lengths(windows(rows, words, n_words, size, bounds, 0, few, held), len(bounds) + 1, least), "grams")
