@@ -565,16 +565,6 @@ def kalman_hedge(spark, d):
     return out.select(*PAIR, F.col("t").cast("long").alias("t"), F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"))
 
 
-@query()
-def cointegration_screen(spark, d):
-    return screens.screen(_pairs(spark, d), PAIR)
-
-
-@query()
-def rolling_pass_rate(spark, d):
-    return screens.pass_rate(_pairs(spark, d), 4)
-
-
 @query()
 def bootstrap_sharpe(spark, d):
     return research.bootstrap_sharpe(_screened(spark, d).select(*PAIR, "t", "pnl"), PAIR, "pnl")

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions.native import DF_HIGH, DF_LARGE, DF_LOW, DF_SMALL, DF_STAR, EG_HIGH, EG_LARGE, EG_LOW, EG_SMALL, EG_STAR, ERFC
-from .operators import pairs, research, rolling, selection, simulate, tradability
+from .operators import pairs, research, rolling, screens, selection, simulate, tradability
 from .plans import folded, folds, predictive, rescreen, walkforward
 from .plans.lineage import cut
 from .queries import BP, BZ, CELLS, LOOKBACK, ORACLES, PAIR, PP, SP, START, STEP, ZZ, R, _block, _blocks_pnl, _clean, _pairs, _screened, _spread, _z, machine_sql, query, r6
@@ -97,12 +97,12 @@ def kpss_sql(p: str, source: str, by: str, s: str = "s") -> str:
     cov = "list_dot_product(e[k + 1:n], e[1:n - k]) / n"
     table = [(0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01)]
     steps = " ".join(f"WHEN kpss < {x1} THEN {p0} + (kpss - {x0}) * ({p1} - {p0}) / ({x1} - {x0})::DOUBLE" for (x0, p0), (x1, p1) in zip(table, table[1:], strict=False))
-    return f"""{p}k0 AS (SELECT {by}, n, list_transform(l, lambda x: x - list_avg(l)) AS e FROM (SELECT {by}, list({s} ORDER BY t) AS l, count(*) AS n FROM {source} GROUP BY {by} HAVING count({s}) = count(*))),
+    return f"""{p}k0 AS (SELECT {by}, n, list_transform(l, lambda v: v - list_avg(l)) AS e FROM (SELECT {by}, list({s} ORDER BY t) AS l, count(*) AS n FROM {source} GROUP BY {by} HAVING count({s}) = count(*))),
 {p}k1 AS (SELECT *, list_dot_product(e, e) / n + 2 * coalesce(list_sum(list_transform(range(1, CAST(floor(pow(n::DOUBLE, 2 / 9.0::DOUBLE)) AS INT) + 1), lambda k: {cov})), 0) AS s0,
  2 * coalesce(list_sum(list_transform(range(1, CAST(floor(pow(n::DOUBLE, 2 / 9.0::DOUBLE)) AS INT) + 1), lambda k: k * {cov})), 0) AS s1 FROM {p}k0),
 {p}k2 AS (SELECT *, CAST({bw} AS INT) AS lags FROM {p}k1),
 {p}k3 AS (SELECT {by}, list_dot_product(e, e) / n + coalesce(list_sum(list_transform(range(1, lags + 1), lambda k: 2 * (1 - k / (lags + 1.0::DOUBLE)) * {cov})), 0) AS lr, n FROM {p}k2),
-{p}k4 AS (SELECT {by}, sum(w * w) AS walk FROM (SELECT {by}, sum(x) OVER (PARTITION BY {by} ORDER BY i) AS w FROM (SELECT {by}, unnest(e) AS x, unnest(range(1, n + 1)) AS i FROM {p}k0)) GROUP BY {by}),
+{p}k4 AS (SELECT {by}, sum(w * w) AS walk FROM (SELECT {by}, sum(e_) OVER (PARTITION BY {by} ORDER BY i) AS w FROM (SELECT {by}, unnest(e) AS e_, unnest(range(1, n + 1)) AS i FROM {p}k0)) GROUP BY {by}),
 {p}kpss AS (SELECT *, CASE WHEN kpss <= 0.347 THEN 0.10::DOUBLE {steps} WHEN kpss IS NOT NULL THEN 0.01::DOUBLE END AS kpss_p FROM (SELECT {by}, walk / (n::DOUBLE * n * nullif(lr, 0)) AS kpss FROM {p}k3 JOIN {p}k4 USING ({by})))"""
 
 
@@ -636,3 +636,84 @@ def portfolio_reallocated(spark, d):
     weights, money, table, results = _weights(spark, d)
     daily = folded.portfolio_daily(folded.held(money, results).select("fold", *PAIR, "t", "r", "executed"), weights.filter("mode = 'validation_quality'"), table, True)
     return folded.portfolio_summary(daily, [])
+
+
+# ---------------------------------------------------------------- tests of whole series
+
+def pass_rates_sql(p: str, source: str, by: str, count: int, least: str, alpha: float, y: str = "ly", x: str = "lx") -> str:
+    """CTE {p}rate (by, n_windows, pass_rate, mean_p): Engle-Granger over evenly placed windows of source's groups (n: rows of a group)."""
+    p_of = eg_p_sql(f"(SELECT w.{by.replace(', ', ', w.')}, w.start, tau FROM (SELECT DISTINCT {by}, start FROM {p}w2) w LEFT JOIN {p}rtau USING ({by}, start))", "tau", "p")
+    return f"""{p}w0 AS (SELECT *, count(*) OVER (PARTITION BY {by}) AS n, row_number() OVER (PARTITION BY {by} ORDER BY t) - 1 AS i FROM {source}), {p}w1 AS (SELECT *, CAST(greatest({least}, n // {count}) AS INT) AS width FROM {p}w0),
+{p}w2 AS (SELECT {p}w1.*, s.start FROM {p}w1 JOIN (SELECT DISTINCT {by}, CAST(floor(k * (n - width) / {count - 1}::DOUBLE) AS INT) AS start FROM {p}w1, range(0, {count}) r(k) WHERE width < n) s USING ({by}) WHERE i >= start AND i < start + width),
+{residual_sql(f'{p}x', f'{p}w2', f'{by}, start', y, x)}, {unit_root_sql(f'{p}r', f'{p}xs', f'{by}, start')},
+{p}rate AS (SELECT {by}, count(p) AS n_windows, avg(CASE WHEN p <= {alpha} THEN 1.0::DOUBLE WHEN p IS NOT NULL THEN 0 END) AS pass_rate, avg(p) AS mean_p FROM {p_of} GROUP BY {by})"""
+
+
+_CS = ["eg_tau", "eg_p", "adf_tau", "adf_p", "kpss_stat", "kpss_p", "johansen_trace", "johansen_eigen", "johansen_trace_ratio", "johansen_hedge", "alpha", "beta"]
+_CP = df_p_sql(f"(SELECT * FROM {eg_p_sql('c0', 'eg_tau', 'eg_p')})", "adf_tau", "adf_p")
+
+
+@query(f"""WITH {PP}, {residual_sql('e', 'pp', 'y, x')}, {unit_root_sql('e', 'es', 'y, x')}, {unit_root_sql('d', 'es', 'y, x', True)}, {kpss_sql('e', 'es', 'y, x')}, {johansen_sql('e', 'pp', 'y, x')},
+c0 AS (SELECT g.*, etau.tau AS eg_tau, etau.lag AS eg_lag, dtau.tau AS adf_tau, kpss AS kpss_stat, kpss_p, trace AS johansen_trace, eigen AS johansen_eigen, trace / 15.4943 AS johansen_trace_ratio, hedge AS johansen_hedge, trace > 15.4943 AND eigen > 14.2639 AS johansen_ok
+ FROM (SELECT y, x, count(*)::INT AS n, any_value(a) AS alpha, any_value(b) AS beta FROM es GROUP BY y, x) g LEFT JOIN etau USING (y, x) LEFT JOIN dtau USING (y, x) LEFT JOIN ekpss USING (y, x) LEFT JOIN ejo USING (y, x))
+SELECT y, x, n, eg_lag, johansen_ok, {rounded(_CS)} FROM {_CP}""")
+def cointegration_screen(spark, d):
+    """Every test of a pair's whole history."""
+    return r6(screens.screen(_pairs(spark, d), PAIR), *_CS).select(*PAIR, "n", "eg_lag", "johansen_ok", *_CS)
+
+
+@query(f"WITH {PP}, {pass_rates_sql('p', 'pp', 'y, x', 4, '100', 0.05)} SELECT y, x, n_windows, {R('pass_rate')} AS pass_rate, {R('mean_p')} AS mean_p FROM prate")
+def rolling_pass_rate(spark, d):
+    return r6(screens.pass_rate(_pairs(spark, d), 4), "pass_rate", "mean_p")
+
+
+_SC = f"""WITH {PP}, {WIN}, {tradability_sql('scr', 1.5, 0.5)}, {johansen_sql('h', 'sw', 'screen, y, x')}, {kpss_sql('h', 'ts', 'screen, y, x')},
+gm AS (SELECT tm.*, trace > 15.4943 AND eigen > 14.2639 AS johansen_ok, trace / 15.4943 AS johansen_trace_ratio, kpss_p AS kpss_pvalue FROM tm LEFT JOIN hjo USING (screen, y, x) LEFT JOIN hkpss USING (screen, y, x))"""
+
+
+def _tested(spark, d):
+    return tradability.tradability(_pairs(spark, d), _windows(spark, d)[1], 1.5, 0.5, 3, MIN_LIFE, MAX_LIFE, johansen=True, kpss=True)
+
+
+@query(f"{_SC} SELECT screen, y, x, johansen_ok, {rounded(['eg_pvalue', 'johansen_trace_ratio', 'kpss_pvalue'])} FROM gm")
+def screen_second_tests(spark, d):
+    """Johansen and KPSS beside Engle-Granger for each screen."""
+    return r6(_tested(spark, d), "eg_pvalue", "johansen_trace_ratio", "kpss_pvalue").select("screen", *PAIR, "johansen_ok", "eg_pvalue", "johansen_trace_ratio", "kpss_pvalue")
+
+
+@query(f"""{_SC}, pf AS (SELECT * FROM gm WHERE half_life BETWEEN {MIN_LIFE} AND {MAX_LIFE} AND eg_pvalue <= 0.6 AND johansen_ok AND kpss_pvalue > 0.05),
+ps AS (SELECT *, round(-eg_tstat, 9) AS pool_score FROM pf), {capped_sql('p', 'ps', 'screen', 'pool_score', 12, 4)} SELECT screen, y, x, {R('pool_score')} AS pool_score, CAST(place AS INT) AS screen_rank FROM pk""")
+def pool_gated(spark, d):
+    """Pools whose pairs also pass the Johansen test and are not rejected as stationary."""
+    out = selection.pool(_tested(spark, d), ["screen"], 12, 4, MIN_LIFE, MAX_LIFE, max_p=0.6, gate_johansen=True, gate_kpss=True, score="tstat")
+    return r6(out, "pool_score").select("screen", *PAIR, "pool_score", F.col("screen_rank").cast("int").alias("screen_rank"))
+
+
+_GATE_P = df_p_sql("(SELECT c.*, a.tau AS adf_tau, pass_rate AS stability FROM gc c JOIN gtau a USING (fold, y, x) JOIN grate USING (fold, y, x))", "adf_tau", "spread_adf_p")
+_WIDE = CANDIDATES.replace("p_bh <= 0.05", "p_bh <= 0.5").replace("first <= 20", "first <= 40")
+
+
+@query(f"""WITH {PP}, {_WIDE}, gc AS (SELECT * EXCLUDE (place) FROM cand), gt AS (SELECT ct.* FROM ct SEMI JOIN gc ON gc.fold = ct.fold AND gc.y = ct.y AND gc.x = ct.x), gr AS (SELECT cs.* FROM cs SEMI JOIN gc ON gc.fold = cs.fold AND gc.y = cs.y AND gc.x = cs.x),
+{unit_root_sql('g', 'gr', 'fold, y, x', True)}, {pass_rates_sql('g', 'gt', 'fold, y, x', 3, "50", 0.5, "py", "px")},
+gg AS (SELECT * FROM {_GATE_P} WHERE stability >= 0.5)
+SELECT fold, y, x, {rounded(['p', 'p_bh', 'half_life', 'stability', 'spread_adf_p'])}, CAST(row_number() OVER (PARTITION BY fold ORDER BY round(p_bh, 12), round(p, 12), round(half_life, 9), y, x) AS INT) AS place FROM gg""")
+def fold_candidates_gated(spark, d):
+    """Candidates of each fold that also pass in half of three windows: stage two tests the pairs of stage one alone."""
+    out = tradability.candidates(folded.train_rows(_pairs(spark, d).select(*PAIR, "t", "py", "px"), _folds(spark, d)), ["fold"], significance=0.5, top_n=40, least=100, min_half_life=0.5, stability_windows=3, min_stability=0.5)
+    return r6(out, "p", "p_bh", "half_life", "stability", "spread_adf_p").select("fold", *PAIR, "p", "p_bh", "half_life", "stability", "spread_adf_p", "place")
+
+
+_DG = ["train_coint_p", "train_beta", "train_half_life", "train_stability", "train_spread_sd", "train_adf_p"]
+_DP = df_p_sql(f"(SELECT * FROM {eg_p_sql('dg', 'eg_tau', 'train_coint_p')})", "adf_tau", "train_adf_p")
+
+
+@query(f"""WITH {PP}, {FOLDS}, gv AS (SELECT DISTINCT y, x FROM pp WHERE y = 'Brand#11' OR x = 'Brand#55' OR y = 'Brand#22'), dsrc AS (SELECT p.*, fold FROM pp p JOIN fd ON t < a SEMI JOIN gv ON gv.y = p.y AND gv.x = p.x),
+{residual_sql('d', 'dsrc', 'fold, y, x', 'py', 'px')}, {unit_root_sql('d', 'ds', 'fold, y, x')}, {unit_root_sql('f', 'ds', 'fold, y, x', True)}, {pass_rates_sql('d', 'dsrc', 'fold, y, x', 4, 'greatest(50, n // 5)', 0.05, 'py', 'px')},
+dg AS (SELECT g.*, dtau.tau AS eg_tau, ftau.tau AS adf_tau, pass_rate AS train_stability FROM (SELECT fold, y, x, count(s) AS train_obs, any_value(b) AS train_beta, stddev_samp(s) AS train_spread_sd, CASE WHEN regr_slope(ds, s0) < 0 THEN -ln(2.0::DOUBLE) / regr_slope(ds, s0) END AS train_half_life FROM ds GROUP BY ALL) g
+ LEFT JOIN dtau USING (fold, y, x) LEFT JOIN ftau USING (fold, y, x) LEFT JOIN drate USING (fold, y, x))
+SELECT fold, y, x, train_obs, {rounded(_DG)} FROM {_DP}""")
+def fold_diagnostics(spark, d):
+    """What each fold's training rows say of a given watchlist, whether its pairs pass or not."""
+    p = _pairs(spark, d)
+    given = p.select(*PAIR).distinct().filter("y = 'Brand#11' OR x = 'Brand#55' OR y = 'Brand#22'")
+    return r6(folded.diagnosed(p, _folds(spark, d), given), *_DG).select("fold", *PAIR, "train_obs", *_DG)

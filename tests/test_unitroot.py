@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 
 from spreadworks.functions import stats
-from spreadworks.operators import unitroot
+from spreadworks.operators import intervals, screens, tradability, unitroot
 
 
 def walks():
@@ -97,3 +97,74 @@ def test_p_values(spark):
     frame = spark.createDataFrame([(t,) for t in taus] + [(None,)], "tau double").select("tau", unitroot.adf_p(unitroot.F.col("tau")).alias("p"))
     for r in frame.collect():
         assert r["p"] is None if r["tau"] is None else r["p"] == pytest.approx(stats.unit_root_p(r["tau"], 1), abs=1e-6)
+
+
+def test_intervals_by_buckets(spark):
+    """Every row meets exactly the intervals that cover it, and no plan compares all rows with all intervals."""
+    g = np.random.default_rng(5)
+    lo = [*g.integers(-300, 900, 30).tolist(), 0, 127, 128, 5]
+    hi = [*(a + int(k) for a, k in zip(lo, g.integers(0, 500, 30), strict=False)), 128, 128, 129, 5]
+    windows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(lo, hi, strict=True))], "w int, lo int, hi int")
+    rows = spark.range(-50, 1000).select(unitroot.F.col("id").cast("int").alias("t"))
+    for width in (1, 128, 10_000):
+        met = intervals.within(rows, windows, width=width)
+        assert met.columns == ["t", "w"]
+        assert sorted(map(tuple, met.collect())) == sorted((t, i) for t in range(-50, 1000) for i, (a, b) in enumerate(zip(lo, hi, strict=True)) if a <= t < b)
+        assert "NestedLoop" not in met._jdf.queryExecution().toString() and "Cartesian" not in met._jdf.queryExecution().toString()
+
+
+def pair_rows(spark, n=420):
+    """Two pairs of one group: the first is cointegrated all along, the second in its first third only; raw prices."""
+    g = np.random.default_rng(3)
+    x = 50 + np.cumsum(g.normal(size=n))
+    tied = 5 + 1.2 * x + np.convolve(g.normal(size=n), [1, 0.5, 0.2])[:n]
+    loose = np.where(np.arange(n) < n // 3, 3 + 0.8 * x + 0.3 * g.normal(size=n), 3 + 0.8 * x + np.cumsum(0.8 * g.normal(size=n)))
+    rows = [(k, i, float(y), float(b)) for k, s in (("a", tied), ("b", loose)) for i, (y, b) in enumerate(zip(s, x, strict=True))]
+    return spark.createDataFrame(rows, "y string, t int, py double, px double").select("y", unitroot.F.lit("z").alias("x"), unitroot.F.lit(1).alias("fold"), "t", "py", "px"), {"a": (tied, x), "b": (loose, x)}
+
+
+def brute_rate(y, x, count, least, alpha):
+    n = len(y)
+    width = max(least, n // count)
+    if width >= n:
+        return None
+    p = [stats.engle_granger(y[i : i + width], x[i : i + width])[1] for i in np.unique(np.linspace(0, n - width, count, dtype=int))]
+    return float(np.mean(np.array(p) <= alpha)), float(np.mean(p)), len(p)
+
+
+@pytest.mark.parametrize(("count", "least"), [(3, 50), (5, 100), (1, 100), (4, 419), (4, 420)])
+def test_pass_rates(spark, count, least):
+    rows, series = pair_rows(spark)
+    found = {r["y"]: r for r in screens.pass_rates(rows, ["fold", "y", "x"], count, 0.05, least, "py", "px").collect()}
+    for k, (y, x) in series.items():
+        want = brute_rate(y, x, count, least, 0.05)
+        assert (found[k]["pass_rate"], found[k]["mean_p"], found[k]["n_windows"]) == pytest.approx(want, abs=1e-6) if want else k not in found
+
+
+def test_second_stage_gates_candidates(spark):
+    """The stability of windows decides which pairs of stage one stay; the spread's unit-root test stands beside it."""
+    rows, series = pair_rows(spark)
+    rates = {k: brute_rate(y, x, 3, 50, 0.9)[0] for k, (y, x) in series.items()}
+    loose = dict(significance=0.9, least=100, min_half_life=0.0, max_half_life=1e9, max_cost_to_move=1e9)
+    every = {r["y"]: r for r in tradability.candidates(rows, ["fold"], **loose).collect()}
+    assert set(every) == {"a", "b"} and all(r["stability"] is None for r in every.values())
+    for k, (y, x) in series.items():
+        b, a = np.polyfit(x, y, 1)
+        assert every[k]["spread_adf_p"] == pytest.approx(stats.adf(y - a - b * x)[1], abs=1e-6)
+        assert every[k]["p"] == pytest.approx(stats.engle_granger(y, x)[1], abs=1e-6)
+    for least in (0.0, 0.5, 1.0):
+        kept = {r["y"]: r["stability"] for r in tradability.candidates(rows, ["fold"], **loose, stability_windows=3, min_stability=least).collect()}
+        assert kept == {k: v for k, v in rates.items() if v >= least}
+
+
+def test_diagnostics_of_given_pairs(spark):
+    rows, series = pair_rows(spark)
+    for r in tradability.diagnostics(rows, ["fold"]).collect():
+        y, x = series[r["y"]]
+        b, a = np.polyfit(x, y, 1)
+        s = y - a - b * x
+        assert r["train_obs"] == len(y) and r["train_beta"] == pytest.approx(b) and r["train_spread_sd"] == pytest.approx(s.std(ddof=1))
+        assert r["train_coint_p"] == pytest.approx(stats.engle_granger(y, x)[1], abs=1e-6) and r["train_adf_p"] == pytest.approx(stats.adf(s)[1], abs=1e-6)
+        assert r["train_stability"] == pytest.approx(brute_rate(y, x, 4, max(50, len(y) // 5), 0.05)[0])
+        slope = np.polyfit(s[:-1], np.diff(s), 1)[0]
+        assert r["train_half_life"] == pytest.approx(-np.log(2) / slope)
