@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.native import DF_HIGH, DF_LARGE, DF_LOW, DF_SMALL, DF_STAR, EG_HIGH, EG_LARGE, EG_LOW, EG_SMALL, EG_STAR, ERFC
 from .operators import pairs, research, rolling, screens, selection, simulate, tradability
-from .plans import folded, folds, predictive, rescreen, walkforward
+from .plans import folded, folds, oneshot, predictive, rescreen, walkforward
 from .plans.lineage import cut
 from .queries import BP, BZ, CELLS, LOOKBACK, ORACLES, PAIR, PP, SP, START, STEP, ZZ, R, _block, _blocks_pnl, _clean, _pairs, _screened, _spread, _z, machine_sql, query, r6
 from .sources import lists
@@ -717,3 +717,63 @@ def fold_diagnostics(spark, d):
     p = _pairs(spark, d)
     given = p.select(*PAIR).distinct().filter("y = 'Brand#11' OR x = 'Brand#55' OR y = 'Brand#22'")
     return r6(folded.diagnosed(p, _folds(spark, d), given), *_DG).select("fold", *PAIR, "train_obs", *_DG)
+
+
+# ---------------------------------------------------------------- one-shot screen
+
+_OS = [
+    "train_return_corr", "hedge_ratio", "intercept", "train_eg_p", "train_eg_p_fdr", "train_adf_p", "train_half_life", "train_hurst", "train_spread_sd", "train_johansen_trace", "train_johansen_eigen", "johansen_hedge_ratio",
+    "test_johansen_trace_ratio", "test_adf_p", "test_half_life", "test_hurst", "test_mean_shift_in_train_sd", "test_sd_ratio", "test_max_abs_z", "test_share_within_2sd", "test_crossings_per_year",
+    "wf_adf_p", "wf_half_life", "wf_share_within_2sd", "wf_max_abs_z", "wf_crossings_per_year", "wf_beta_mean", "wf_beta_sd", "wf_beta_drift", "roll_share_cointegrated", "roll_mean_p", "rank_score",
+]
+_OF = ["train_johansen_ok", "test_johansen_ok", "cointegrated_train", "cointegrated_train_fdr", "stationary_test", "stationary_wf", "persisted", "persisted_fdr", "persisted_wf_fdr", "eg_and_johansen_train", "persisted_strict"]
+
+
+def hurst_sql(p: str, source: str, s: str = "s") -> str:
+    """CTE {p}hu (y, x, hurst) of the pairs' values s."""
+    return f"""{p}h0 AS (SELECT y, x, {s} AS v, row_number() OVER (PARTITION BY y, x ORDER BY t) AS i, count(*) OVER (PARTITION BY y, x) AS n FROM {source}),
+{p}h1 AS (SELECT a.y, a.x, k, stddev_pop(b.v - a.v) AS tau FROM {p}h0 a, range(2, 50) r(k) JOIN {p}h0 b ON b.y = a.y AND b.x = a.x AND b.i = a.i + k WHERE k < greatest(3, least(50, a.n // 4)) GROUP BY ALL),
+{p}hu AS (SELECT y, x, regr_slope(ln(tau), ln(k::DOUBLE)) AS hurst FROM {p}h1 WHERE tau > 0 GROUP BY y, x)"""
+
+
+def _crossings(now: str, before: str) -> str:
+    return f"count(*) FILTER (WHERE {before} IS NOT NULL AND ({now} < 0) <> ({before} < 0)) * 252.0::DOUBLE / count(*)"
+
+
+_O1 = df_p_sql(f"(SELECT * FROM {eg_p_sql('o0', 'eg_tau', 'train_eg_p')})", "adf_tau", "train_adf_p")
+_O2 = df_p_sql(f"(SELECT * FROM {df_p_sql(f'(SELECT * FROM {_O1})', 'tau', 'test_adf_p')})", "wf_tau", "wf_adf_p")
+_ORP = eg_p_sql("(SELECT y, x, screen, any_value(tau) AS tau FROM qs LEFT JOIN (SELECT y, x, screen, tau FROM qtau) USING (y, x, screen) GROUP BY y, x, screen)", "tau", "p")
+ONESHOT = f"""{PP}, sz AS (SELECT (max(t) + 1)::INT AS n, floor((max(t) + 1) * 0.6::DOUBLE)::INT AS n_train FROM panel), otr AS (SELECT pp.* FROM pp, sz WHERE t < n_train), ote AS (SELECT pp.*, n_train FROM pp, sz WHERE t >= n_train),
+{residual_sql('op', 'otr', 'y, x')}, {unit_root_sql('op', 'ops', 'y, x')}, {unit_root_sql('oa', 'ops', 'y, x', True)}, {johansen_sql('op', 'otr', 'y, x')}, {hurst_sql('op', 'ops')},
+od AS (SELECT *, ly - lag(ly) OVER w AS dy, lx - lag(lx) OVER w AS dx FROM ops WINDOW w AS (PARTITION BY y, x ORDER BY t)),
+ofi AS (SELECT y, x, corr(dy, dx) AS train_return_corr, any_value(b) AS hedge_ratio, any_value(a) AS intercept, stddev_samp(s) AS train_spread_sd, {life('regr_slope(ds, s0)')} AS train_half_life FROM od GROUP BY y, x HAVING corr(dy, dx) >= -1),
+ob AS (SELECT k AS block, greatest(n_train + k * 63 - n_train, 0) AS lo, n_train + k * 63 AS hi FROM sz, range(0, 1000) r(k) WHERE n_train + k * 63 < n),
+obf AS (SELECT y, x, block, regr_slope(ly, lx) AS wb, regr_intercept(ly, lx) AS wa, sqrt((regr_syy(ly, lx) - regr_sxy(ly, lx) ^ 2 / regr_sxx(ly, lx)) / (count(*) - 1)) AS wsd FROM pp JOIN ob ON t >= lo AND t < hi GROUP BY ALL),
+ot0 AS (SELECT te.*, f.hedge_ratio, train_spread_sd AS sd, obf.block, wb, ly - intercept - hedge_ratio * lx AS s, (ly - wa - wb * lx) / wsd AS v FROM ote te JOIN ofi f USING (y, x) JOIN obf ON obf.y = te.y AND obf.x = te.x AND obf.block = (te.t - n_train) // 63),
+ot AS (SELECT *, s / sd AS z, lag(s) OVER w AS s0, lag(v) OVER w AS v0, lag(s) OVER w / sd AS z0 FROM ot0 WINDOW w AS (PARTITION BY y, x ORDER BY t)),
+obb AS (SELECT y, x, avg(wb) AS wf_beta_mean, stddev_pop(wb) AS wf_beta_sd, avg(wb) - any_value(hedge_ratio) AS wf_beta_drift, count(*) FILTER (WHERE sign(wb) <> sign(hedge_ratio)) AS wf_beta_sign_flips FROM obf JOIN ofi USING (y, x) GROUP BY y, x),
+{unit_root_sql('ot', 'ot', 'y, x', True)}, {unit_root_sql('ow', 'ot', 'y, x', True, 'v')}, {johansen_sql('ot', 'ote', 'y, x')}, {hurst_sql('ot', 'ot')},
+ott AS (SELECT y, x, count(*) AS test_rows, avg(s) / any_value(sd) AS test_mean_shift_in_train_sd, stddev_samp(s) / any_value(sd) AS test_sd_ratio, max(abs(z)) AS test_max_abs_z, avg(CASE WHEN abs(z) < 2 THEN 1.0::DOUBLE ELSE 0 END) AS test_share_within_2sd, {_crossings('z', 'z0')} AS test_crossings_per_year,
+ max(abs(v)) AS wf_max_abs_z, avg(CASE WHEN abs(v) < 2 THEN 1.0::DOUBLE ELSE 0 END) AS wf_share_within_2sd, {_crossings('v', 'v0')} AS wf_crossings_per_year, {life('regr_slope(s - s0, s0)')} AS test_half_life, {life('regr_slope(v - v0, v0)')} AS wf_half_life FROM ot GROUP BY y, x),
+o0 AS (SELECT ofi.*, ott.* EXCLUDE (y, x), obb.* EXCLUDE (y, x), optau.tau AS eg_tau, oatau.tau AS adf_tau, ottau.tau AS tau, owtau.tau AS wf_tau, ophu.hurst AS train_hurst, othu.hurst AS test_hurst, opjo.trace AS train_johansen_trace, opjo.eigen AS train_johansen_eigen, opjo.hedge AS johansen_hedge_ratio,
+ coalesce(opjo.trace > 15.4943 AND opjo.eigen > 14.2639, false) AS train_johansen_ok, otjo.trace / 15.4943 AS test_johansen_trace_ratio, coalesce(otjo.trace > 15.4943 AND otjo.eigen > 14.2639, false) AS test_johansen_ok
+ FROM ofi JOIN ott USING (y, x) JOIN obb USING (y, x) LEFT JOIN optau USING (y, x) LEFT JOIN oatau USING (y, x) LEFT JOIN ottau USING (y, x) LEFT JOIN owtau USING (y, x) LEFT JOIN ophu USING (y, x) LEFT JOIN othu USING (y, x) LEFT JOIN opjo USING (y, x) LEFT JOIN otjo USING (y, x)),
+o2 AS (SELECT * FROM {_O2}),
+ro AS (SELECT te.y, te.x, te.t, te.ly, te.lx, k AS screen FROM ote te JOIN o2 ON o2.y = te.y AND o2.x = te.x AND train_eg_p <= 0.5, range(0, 200) r(k), sz WHERE t - sz.n_train >= k * 21 AND t - sz.n_train < k * 21 + 126 AND k * 21 + 126 <= n - sz.n_train AND n - sz.n_train >= 147),
+{residual_sql('q', 'ro', 'y, x, screen')}, {unit_root_sql('q', 'qs', 'y, x, screen')},
+orl AS (SELECT y, x, count(p) AS roll_n_windows, avg(CASE WHEN p < 0.05 THEN 1.0::DOUBLE ELSE 0 END) AS roll_share_cointegrated, avg(p) AS roll_mean_p FROM {_ORP} GROUP BY y, x),
+o3 AS (SELECT *, coalesce(train_eg_p, 1) AS p1_, count(*) OVER () AS m_, row_number() OVER (ORDER BY coalesce(train_eg_p, 1), y, x) AS k_, 1 AS f FROM o2 LEFT JOIN orl USING (y, x)),
+o4 AS (SELECT *, {bh('p1_', 'f', '')} AS train_eg_p_fdr FROM o3),
+o5 AS (SELECT *, coalesce(train_eg_p < 0.05, false) AS cointegrated_train, coalesce(train_eg_p_fdr < 0.05, false) AS cointegrated_train_fdr, coalesce(test_adf_p < 0.05, false) AS stationary_test, coalesce(wf_adf_p < 0.05, false) AS stationary_wf,
+ round(train_eg_p, 9) AS r1, round(test_adf_p, 9) AS r2, round(wf_adf_p, 9) AS r3, round(coalesce(roll_share_cointegrated, 0), 9) AS r4 FROM o4),
+o6 AS (SELECT *, cointegrated_train AND stationary_test AS persisted, cointegrated_train_fdr AND stationary_test AS persisted_fdr, cointegrated_train_fdr AND stationary_wf AS persisted_wf_fdr, cointegrated_train_fdr AND train_johansen_ok AS eg_and_johansen_train,
+ round({share('r1', 'f')} + {share('r2', 'f')} + {share('r3', 'f')} + 1 - {share('r4', 'f')}, 9) AS rank_score FROM o5),
+o7 AS (SELECT *, persisted_fdr AND persisted_wf_fdr AND eg_and_johansen_train AS persisted_strict FROM o6)"""
+
+
+@query(f"""WITH {ONESHOT} SELECT y, x, test_rows, wf_beta_sign_flips, roll_n_windows, {', '.join(_OF)}, {rounded(_OS)},
+ CAST(row_number() OVER (ORDER BY persisted_strict DESC, persisted_fdr DESC, persisted DESC, rank_score ASC NULLS LAST, y, x) AS INT) AS place FROM o7""")
+def oneshot_screen(spark, d):
+    """Every pair's training statistics, whether they hold frozen, refitted and anew on the test rows, and its rank."""
+    out = oneshot.screened(_pairs(spark, d), oneshot.split_at(_clean(spark, d)), screen_p=0.5)
+    return r6(out, *_OS).select(*PAIR, "test_rows", "wf_beta_sign_flips", "roll_n_windows", *_OF, *_OS, "place")
