@@ -8,40 +8,44 @@ element that enters and taking off the one that leaves.  Eliminating the lagged
 by one leaves, after each, the level's and the target's products given the lags so far:
 the sum of squares (and so the criterion) and the t value of every order.
 
-Nothing leaves the JVM, and the tests join the aggregation that made the array.
+Nothing leaves the JVM, and the tests join the aggregation that made the array.  The formulas are SQL
+text, which Spark parses at once.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.native import unit_root_p
 
-#: Smallest sum of squares and variance.
-TINY = 1e-300
 # KPSS level critical values (Kwiatkowski et al. 1992).
 KPSS_TABLE = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
 # Johansen 95 % values for two series with a constant (MacKinnon, Haug and Michelis 1999): trace and largest eigenvalue.
 JOHANSEN_TRACE, JOHANSEN_EIGEN = 15.4943, 14.2639
 
 
-def span(first: Column | int, last: Column | int) -> Column:
+def span(first: str, last: str) -> str:
     """Whole numbers from first to last; empty if last is smaller."""
-    a, b = (F.lit(x) if isinstance(x, int) else x.cast("int") for x in (first, last))
-    return F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    return f"if(({last}) >= ({first}), sequence(cast({first} as int), cast({last} as int)), cast(array() as array<int>))"
 
 
-def dot(a: Column, b: Column, first: Column | int, last: Column | int, back: Column | int) -> Column:
+def dot(a: str, b: str, first: str, last: str, back: str) -> str:
     """Sum of a[t] * b[t - back] for t from first to last."""
-    return F.aggregate(span(first, last), F.lit(0.0), lambda s, t: s + a[t] * b[t - back])
+    return f"aggregate({span(first, last)}, 0D, (s, t) -> s + {a}[t] * {b}[t - ({back})])"
 
 
-def most_lags(n: Column, constant: bool) -> Column:
+def most_lags(n: str, constant: bool) -> str:
     """Schwert's bound on the lags of n values, as far as the rows suffice."""
-    return F.greatest(F.least(F.ceil(12 * F.pow(n / 100.0, F.lit(0.25))), F.floor(n / 2) - 1 - int(constant)), F.lit(0)).cast("int")
+    return f"cast(greatest(least(ceil(12 * pow({n} / 100D, 0.25D)), {n} div 2 - 1 - {int(constant)}), 0) as int)"
+
+
+def with_expressions(df: DataFrame, **columns: str) -> DataFrame:
+    """df with columns given as SQL text: parsed in one go, where column objects would take a call for each node."""
+    return df.withColumns({k: F.expr(v) for k, v in columns.items()})
+
+
+_CORNER = "named_struct('v', {x}[size({x}) - 2][size({x}) - 2], 'c', {x}[size({x}) - 2][size({x}) - 1], 'r', {x}[size({x}) - 1][size({x}) - 1])"
 
 
 def _corners(df: DataFrame, s: str, lags: str, constant: bool, out: str) -> DataFrame:
@@ -49,48 +53,38 @@ def _corners(df: DataFrame, s: str, lags: str, constant: bool, out: str) -> Data
 
     s: array of values; lags: the largest order, whose rows all orders use.  Adds and drops working columns named _u_*.
     """
-    level, most = F.col(s), F.col(lags)
-    df = df.withColumn("_u_d", F.transform(span(1, F.size(level) - 1), lambda i: level[i] - level[i - 1]))
-    d, m = F.col("_u_d"), F.size("_u_d")
-    df = df.withColumns({
-        "_u_top": F.transform(span(0, most), lambda k: dot(d, d, most, m - 1, k)),
-        "_u_mixed": F.transform(span(0, most), lambda k: dot(level, d, most, m - 1, k)),
-        "_u_square": dot(level, level, most, m - 1, 0),
-    })
-    top, mixed = F.col("_u_top"), F.col("_u_mixed")
-
-    def below(rows, i):
-        moved = lambda j: F.element_at(rows, -1)[j - 1] + d[most - i] * d[most - j] - d[m - i] * d[m - j]
-        return F.concat(rows, F.array(F.concat(F.array(top[i]), F.transform(span(1, most), moved))))
-
-    df = df.withColumn("_u_gram", F.aggregate(span(1, most), F.array(top), below))
-    gram = F.col("_u_gram")
-    lagged = F.transform(span(1, most), lambda i: F.concat(F.slice(gram[i], F.lit(2), most), F.array(mixed[i], top[i])))
-    matrix = F.concat(
-        lagged, F.array(F.concat(F.slice(mixed, F.lit(2), most), F.array(F.col("_u_square"), mixed[0]))), F.array(F.concat(F.slice(top, F.lit(2), most), F.array(mixed[0], top[0])))
+    df = with_expressions(df, _u_d=f"transform({span('1', f'size({s}) - 1')}, i -> {s}[i] - {s}[i - 1])")
+    last = "size(_u_d) - 1"
+    df = with_expressions(
+        df,
+        _u_top=f"transform({span('0', lags)}, k -> {dot('_u_d', '_u_d', lags, last, 'k')})",
+        _u_mixed=f"transform({span('0', lags)}, k -> {dot(s, '_u_d', lags, last, 'k')})",
+        _u_square=dot(s, s, lags, last, "0"),
+    )
+    # a row follows from the one above it: one element enters, one leaves
+    moved = f"element_at(rows, -1)[j - 1] + _u_d[{lags} - i] * _u_d[{lags} - j] - _u_d[size(_u_d) - i] * _u_d[size(_u_d) - j]"
+    df = with_expressions(df, _u_gram=f"aggregate({span('1', lags)}, array(_u_top), (rows, i) -> concat(rows, array(concat(array(_u_top[i]), transform({span('1', lags)}, j -> {moved})))))")
+    df = with_expressions(
+        df,
+        _u_matrix=f"concat(transform({span('1', lags)}, i -> concat(slice(_u_gram[i], 2, {lags}), array(_u_mixed[i], _u_top[i]))), "
+        f"array(concat(slice(_u_mixed, 2, {lags}), array(_u_square, _u_mixed[0])), concat(slice(_u_top, 2, {lags}), array(_u_mixed[0], _u_top[0]))))",
     )
-    df = df.withColumn("_u_matrix", matrix)
     if constant:  # products around means: the regression has a constant
-        rows = (m - most).cast("double")
-        sums = F.concat(F.transform(span(1, most), lambda i: level[m - i] - level[most - i]), F.array(F.aggregate(span(most, m - 1), F.lit(0.0), lambda a, t: a + level[t]), level[m] - level[most]))
-        df = df.withColumn("_u_sums", sums).withColumn("_u_matrix", F.transform("_u_matrix", lambda row, i: F.transform(row, lambda v, j: v - F.col("_u_sums")[i] * F.col("_u_sums")[j] / rows)))
-
-    def corner(x):
-        k = F.size(x)
-        return F.struct(x[k - 2][k - 2].alias("v"), x[k - 2][k - 1].alias("c"), x[k - 1][k - 1].alias("r"))
-
-    def step(state, _):
-        x = state["m"]
-        left = F.transform(F.slice(x, F.lit(2), F.size(x) - 1), lambda row: F.transform(F.slice(row, F.lit(2), F.size(row) - 1), lambda v, j: v - row[0] * x[0][j + 1] / F.nullif(x[0][0], F.lit(0.0))))
-        return F.struct(left.alias("m"), F.concat(state["out"], F.array(corner(x))).alias("out"))
-
-    none = F.slice(F.array(corner(F.col("_u_matrix"))), 1, 0)
-    found = F.aggregate(span(1, most), F.struct(F.col("_u_matrix").alias("m"), none.alias("out")), step, lambda state: F.concat(state["out"], F.array(corner(state["m"]))))
-    return df.withColumn(out, found).drop("_u_d", "_u_top", "_u_mixed", "_u_square", "_u_gram", "_u_matrix", "_u_sums")
+        df = with_expressions(
+            df, _u_sums=f"concat(transform({span('1', lags)}, i -> {s}[size(_u_d) - i] - {s}[{lags} - i]), array(aggregate({span(lags, last)}, 0D, (a, t) -> a + {s}[t]), {s}[size(_u_d)] - {s}[{lags}]))"
+        )
+        df = with_expressions(df, _u_matrix=f"transform(_u_matrix, (row, i) -> transform(row, (v, j) -> v - _u_sums[i] * _u_sums[j] / (size(_u_d) - {lags})))")
+    left = "transform(slice(a.m, 2, size(a.m) - 1), row -> transform(slice(row, 2, size(row) - 1), (v, j) -> v - row[0] * a.m[0][j + 1] / nullif(a.m[0][0], 0D)))"
+    corner = _CORNER.format(x="a.m")
+    found = (
+        f"aggregate({span('1', lags)}, named_struct('m', _u_matrix, 'out', slice(array({_CORNER.format(x='_u_matrix')}), 1, 0)), "
+        f"(a, i) -> named_struct('m', {left}, 'out', concat(a.out, array({corner}))), a -> concat(a.out, array({corner})))"
+    )
+    return with_expressions(df, **{out: found}).drop("_u_d", "_u_top", "_u_mixed", "_u_square", "_u_gram", "_u_matrix", "_u_sums")
 
 
-def _residual(x: Column) -> Column:
-    return F.greatest(x["r"] - x["c"] * x["c"] / F.nullif(x["v"], F.lit(0.0)), F.lit(TINY))
+def _residual(x: str) -> str:
+    return f"greatest({x}.r - {x}.c * {x}.c / nullif({x}.v, 0D), 1e-300D)"
 
 
 def dickey_fuller(df: DataFrame, s: str, tau: str, constant: bool = False, rule: str | None = "aic", max_lag: int | None = None) -> DataFrame:
@@ -100,26 +94,23 @@ def dickey_fuller(df: DataFrame, s: str, tau: str, constant: bool = False, rule:
     statistic then uses all rows that lag leaves.  Without a rule it is max_lag, or else the bound.  Null where a value is
     missing, a regression has no rest of rows or the series does not vary.
     """
-    n = F.size(s)
-    most = most_lags(n, constant) if max_lag is None else F.least(F.lit(max_lag), F.greatest(F.floor(n / 2) - 1 - int(constant), F.lit(0))).cast("int")
-    usable = (n > 3 + int(constant)) & ~F.exists(s, lambda v: v.isNull() | F.isnan(v))
-    df = df.withColumn("_u_s", F.when(usable, F.col(s)).otherwise(F.array(*[F.lit(0.0)] * 5)))
-    df = df.withColumns({"_u_most": F.when(usable, most).otherwise(0), "_u_n": F.size("_u_s") - 1})
-    lag = F.col("_u_most")
-    if rule is not None:
+    c, lag = int(constant), f"{tau}_lag"
+    room = f"greatest(size({s}) div 2 - 1 - {c}, 0)"
+    most = most_lags(f"size({s})", constant) if max_lag is None else f"cast(least({max_lag}, {room}) as int)"
+    df = with_expressions(df, _u_ok=f"size({s}) > {3 + c} AND NOT exists({s}, v -> v IS NULL OR isnan(v))")
+    df = with_expressions(df, _u_s=f"if(_u_ok, {s}, array(0D, 0D, 0D, 0D, 0D))", _u_most=f"if(_u_ok, {most}, 0)").withColumn("_u_n", F.size("_u_s") - 1)
+    if rule is None:
+        df = df.withColumn("_u_used", F.col("_u_most"))
+    else:
         df = _corners(df, "_u_s", "_u_most", constant, "_u_all")
-        rows = (F.col("_u_n") - F.col("_u_most")).cast("double")
-        price = F.lit(2.0) if rule == "aic" else F.log(rows)
-        score = F.transform("_u_all", lambda x, k: F.struct(F.coalesce(rows * F.log(_residual(x) / rows) + price * (k + 1 + int(constant)), F.lit(math.inf)).alias("score"), k.alias("k")))
-        df = df.withColumn("_u_lag", F.array_min(score)["k"]).drop("_u_all")
-        lag = F.col("_u_lag")
-    df = df.withColumn(tau + "_lag", lag)
-    df = _corners(df, "_u_s", tau + "_lag", constant, "_u_one").withColumn("_u_x", F.element_at("_u_one", -1))
-    x, free = F.col("_u_x"), F.col("_u_n") - F.col(tau + "_lag") - (F.col(tau + "_lag") + 1 + int(constant))
-    value = x["c"] / F.sqrt(F.greatest(_residual(x) / F.nullif(free, F.lit(0)), F.lit(TINY)) * F.nullif(x["v"], F.lit(0.0)))
-    df = df.withColumn("_u_tau", F.when(usable & (free > 0), value)).withColumnRenamed(tau + "_lag", "_u_used")
-    df = _settled(df, {tau: F.col("_u_tau"), tau + "_lag": F.when(F.col("_u_tau").isNotNull(), F.col("_u_used"))})
-    return df.drop("_u_s", "_u_most", "_u_n", "_u_lag", "_u_one", "_u_x", "_u_tau", "_u_used")
+        rows = "(_u_n - _u_most)"
+        price = "2D" if rule == "aic" else f"ln({rows})"
+        score = f"coalesce({rows} * ln({_residual('x')} / {rows}) + {price} * (k + {1 + c}), double('inf'))"
+        df = with_expressions(df, _u_used=f"array_min(transform(_u_all, (x, k) -> named_struct('score', {score}, 'k', k))).k").drop("_u_all")
+    df = _corners(df, "_u_s", "_u_used", constant, "_u_one")
+    df = with_expressions(df, _u_x="element_at(_u_one, -1)", _u_free=f"_u_n - 2 * _u_used - {1 + c}")
+    df = with_expressions(df, _u_tau=f"CASE WHEN _u_ok AND _u_free > 0 THEN _u_x.c / sqrt(greatest({_residual('_u_x')} / _u_free, 1e-300D) * nullif(_u_x.v, 0D)) END")
+    return _settled(df, {tau: F.col("_u_tau"), lag: F.when(F.col("_u_tau").isNotNull(), F.col("_u_used"))}).drop("_u_ok", "_u_s", "_u_most", "_u_n", "_u_used", "_u_one", "_u_x", "_u_free", "_u_tau")
 
 
 def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -129,32 +120,21 @@ def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def kpss(df: DataFrame, s: str, out: str) -> DataFrame:
     """df with columns out (level stationarity), out_lags (bandwidth by Hobijn et al. 1998) and out_p (clipped to the table)."""
-    usable = (F.size(s) > 1) & ~F.exists(s, lambda v: v.isNull() | F.isnan(v))
-    df = df.withColumn("_k_s", F.when(usable, F.col(s)).otherwise(F.array(F.lit(0.0), F.lit(0.0))))
-    n = F.size("_k_s")
-    mean = F.aggregate("_k_s", F.lit(0.0), lambda a, v: a + v) / n
-    df = df.withColumn("_k_mean", mean).withColumn("_k_e", F.transform("_k_s", lambda v: v - F.col("_k_mean")))
-    e, n = F.col("_k_e"), F.size("_k_e")
-    reach = F.floor(F.pow(n.cast("double"), F.lit(2 / 9))).cast("int")
-    df = df.withColumn("_k_c", F.transform(span(0, reach), lambda k: dot(e, e, k, n - 1, k) / n))
-    c = F.col("_k_c")
-    s0 = c[0] + 2 * F.aggregate(F.slice(c, F.lit(2), F.size(c)), F.lit(0.0), lambda a, v: a + v)
-    s1 = 2 * F.aggregate(F.transform(c, lambda v, k: v * k), F.lit(0.0), lambda a, v: a + v)
-    width = F.floor(1.1447 * F.pow(F.pow(s1 / F.nullif(s0, F.lit(0.0)), F.lit(2.0)), F.lit(1 / 3)) * F.pow(n.cast("double"), F.lit(1 / 3)))
-    df = df.withColumn(out + "_lags", F.least(width, n - 1).cast("int"))
-    lags = F.col(out + "_lags")
-    weighted = F.aggregate(span(1, lags), F.lit(0.0), lambda a, k: a + 2 * (1 - k / (lags + 1.0)) * dot(e, e, k, n - 1, k) / n)
-    df = df.withColumn("_k_v", c[0] + weighted)
-    walk = F.aggregate(e, F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("squares")), lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["squares"] + (a["sum"] + v) * (a["sum"] + v)).alias("squares")), lambda a: a["squares"])
-    df = df.withColumn(out, F.when(usable, walk / (n.cast("double") * n * F.nullif("_k_v", F.lit(0.0)))))
-    at, p = F.col(out), F.lit(KPSS_TABLE[-1][1])
-    for (x0, p0), (x1, p1) in reversed(list(zip(KPSS_TABLE, KPSS_TABLE[1:], strict=False))):
-        p = F.when(at < x1, p0 + (at - x0) * ((p1 - p0) / (x1 - x0))).otherwise(p)
-    p = F.when(at <= KPSS_TABLE[0][0], KPSS_TABLE[0][1]).otherwise(p)
-    df = df.withColumn(out + "_p", F.when(at.isNotNull(), p)).withColumn(out + "_lags", F.when(at.isNotNull(), lags)).drop("_k_s", "_k_mean", "_k_e", "_k_c", "_k_v")
-    names = [out, out + "_lags", out + "_p"]
-    df = df.withColumnsRenamed({n: f"_k_{n}" for n in names})
-    return _settled(df, {n: F.col(f"_k_{n}") for n in names}).drop(*[f"_k_{n}" for n in names])
+    df = with_expressions(df, _k_ok=f"size({s}) > 1 AND NOT exists({s}, v -> v IS NULL OR isnan(v))")
+    df = with_expressions(df, _k_s=f"if(_k_ok, {s}, array(0D, 0D))")
+    df = with_expressions(df, _k_mean="aggregate(_k_s, 0D, (a, v) -> a + v) / size(_k_s)", _k_n="size(_k_s)")
+    df = with_expressions(df, _k_e="transform(_k_s, v -> v - _k_mean)")
+    cov = lambda k: f"{dot('_k_e', '_k_e', k, '_k_n - 1', k)} / _k_n"
+    df = with_expressions(df, _k_c=f"transform({span('0', 'floor(pow(_k_n, 2D / 9))')}, k -> {cov('k')})")
+    df = with_expressions(df, _k_0="2 * aggregate(_k_c, 0D, (a, v) -> a + v) - _k_c[0]", _k_1="2 * aggregate(transform(_k_c, (v, k) -> v * k), 0D, (a, v) -> a + v)")
+    df = with_expressions(df, _k_lags="cast(least(floor(1.1447D * pow(pow(_k_1 / nullif(_k_0, 0D), 2D), 1D / 3) * pow(_k_n, 1D / 3)), _k_n - 1) as int)")
+    df = with_expressions(df, _k_v=f"_k_c[0] + aggregate({span('1', '_k_lags')}, 0D, (a, k) -> a + 2 * (1 - k / (_k_lags + 1D)) * {cov('k')})")
+    walk = "aggregate(_k_e, named_struct('sum', 0D, 'squares', 0D), (a, v) -> named_struct('sum', a.sum + v, 'squares', a.squares + (a.sum + v) * (a.sum + v)), a -> a.squares)"
+    df = with_expressions(df, _k_stat=f"CASE WHEN _k_ok THEN {walk} / (cast(_k_n as double) * _k_n * nullif(_k_v, 0D)) END")
+    steps = " ".join(f"WHEN _k_stat < {x1}D THEN {p0}D + (_k_stat - {x0}D) * {(p1 - p0) / (x1 - x0)!r}D" for (x0, p0), (x1, p1) in zip(KPSS_TABLE, KPSS_TABLE[1:], strict=False))
+    df = with_expressions(df, _k_p=f"CASE WHEN _k_stat <= {KPSS_TABLE[0][0]}D THEN {KPSS_TABLE[0][1]}D {steps} WHEN _k_stat IS NOT NULL THEN {KPSS_TABLE[-1][1]}D END")
+    found = {out: F.col("_k_stat"), out + "_lags": F.when(F.col("_k_stat").isNotNull(), F.col("_k_lags")), out + "_p": F.col("_k_p")}
+    return _settled(df, found).drop("_k_ok", "_k_s", "_k_mean", "_k_n", "_k_e", "_k_c", "_k_0", "_k_1", "_k_lags", "_k_v", "_k_stat", "_k_p")
 
 
 #: The six series whose covariances the Johansen test needs: changes, earlier changes, levels before them.
@@ -171,8 +151,8 @@ def johansen_series(rows: DataFrame, by, y: str, x: str) -> DataFrame:
 
 def johansen_moments() -> list[Column]:
     """Aggregates of a group: the covariances of the six series (columns _j_ij) and the number of rows (_j_n)."""
-    out = [F.covar_pop(JOHANSEN_SERIES[i], JOHANSEN_SERIES[j]).alias(f"_j_{i}{j}") for i in range(6) for j in range(i, 6)]
-    return [*out, F.count(JOHANSEN_SERIES[0]).alias("_j_n")]
+    names = JOHANSEN_SERIES
+    return [*(F.expr(f"covar_pop({names[i]}, {names[j]}) AS _j_{i}{j}") for i in range(6) for j in range(i, 6)), F.count(names[0]).alias("_j_n")]
 
 
 def johansen(df: DataFrame, out: str = "johansen") -> DataFrame:
@@ -180,34 +160,26 @@ def johansen(df: DataFrame, out: str = "johansen") -> DataFrame:
 
     Constant and one lagged difference.  The 2 x 2 eigenvalues are in closed form; null where a covariance has no inverse.
     """
-    c = lambda i, j: F.col(f"_j_{min(i, j)}{max(i, j)}")
-    df = df.withColumn("_j_det", F.nullif(c(2, 2) * c(3, 3) - c(2, 3) * c(2, 3), F.lit(0.0)))
-
-    def partial(i, j):  # covariance of i and j given the earlier changes
-        a = (c(i, 2) * c(3, 3) - c(i, 3) * c(2, 3)) / F.col("_j_det")
-        b = (c(i, 3) * c(2, 2) - c(i, 2) * c(2, 3)) / F.col("_j_det")
-        return c(i, j) - a * c(j, 2) - b * c(j, 3)
-
-    names = {(i, j): f"_j_p{i}{j}" for i in (0, 1, 4, 5) for j in (0, 1, 4, 5) if i <= j}
-    df = df.withColumns({v: partial(*k) for k, v in names.items()})
-    p = lambda i, j: F.col(names[min(i, j), max(i, j)])
-    df = df.withColumns({"_j_d0": F.nullif(p(0, 0) * p(1, 1) - p(0, 1) * p(0, 1), F.lit(0.0)), "_j_dk": F.nullif(p(4, 4) * p(5, 5) - p(4, 5) * p(4, 5), F.lit(0.0))})
+    c = lambda i, j: f"_j_{min(i, j)}{max(i, j)}"
+    df = with_expressions(df, _j_det=f"nullif({c(2, 2)} * {c(3, 3)} - {c(2, 3)} * {c(2, 3)}, 0D)")
+    p = lambda i, j: f"_j_p{min(i, j)}{max(i, j)}"  # noqa: E731  covariance of i and j given the earlier changes
+    some = (0, 1, 4, 5)
+    first = lambda i: f"({c(i, 2)} * {c(3, 3)} - {c(i, 3)} * {c(2, 3)}) / _j_det"
+    second = lambda i: f"({c(i, 3)} * {c(2, 2)} - {c(i, 2)} * {c(2, 3)}) / _j_det"
+    df = with_expressions(df, **{p(i, j): f"{c(i, j)} - {first(i)} * {c(j, 2)} - {second(i)} * {c(j, 3)}" for i in some for j in some if i <= j})
+    df = with_expressions(df, _j_d0=f"nullif({p(0, 0)} * {p(1, 1)} - {p(0, 1)} * {p(0, 1)}, 0D)", _j_dk=f"nullif({p(4, 4)} * {p(5, 5)} - {p(4, 5)} * {p(4, 5)}, 0D)")
     # b: the levels' covariances with the changes times the inverse of the changes' (rows: levels); q: b times the changes' with the levels
-    df = df.withColumns({f"_j_b{k}{i}": (p(k, i) * p(1 - i, 1 - i) - p(k, 1 - i) * p(0, 1)) / F.col("_j_d0") for k in (4, 5) for i in (0, 1)})
-    b = lambda k, i: F.col(f"_j_b{k}{i}")
-    df = df.withColumns({f"_j_q{k}{m}": b(k, 0) * p(0, m) + b(k, 1) * p(1, m) for k in (4, 5) for m in (4, 5)})
-    q = lambda k, m: F.col(f"_j_q{k}{m}")
-    df = df.withColumns({f"_j_a{k}{m}": (p(9 - k, 9 - k) * q(k, m) - p(4, 5) * q(9 - k, m)) / F.col("_j_dk") for k in (4, 5) for m in (4, 5)})
-    a = lambda k, m: F.col(f"_j_a{k}{m}")
-    half = (a(4, 4) + a(5, 5)) / 2
-    root = F.sqrt(F.greatest(half * half - (a(4, 4) * a(5, 5) - a(4, 5) * a(5, 4)), F.lit(0.0)))
-    held = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1 - 1e-12))
-    df = df.withColumns({"_j_v1": held(half + root), "_j_v2": held(half - root), "_j_v": half + root})
-    df = df.withColumns({out + "_eigen": -F.col("_j_n") * F.log1p(-F.col("_j_v1")), out + "_trace": -F.col("_j_n") * (F.log1p(-F.col("_j_v1")) + F.log1p(-F.col("_j_v2")))})
+    df = with_expressions(df, **{f"_j_b{k}{i}": f"({p(k, i)} * {p(1 - i, 1 - i)} - {p(k, 1 - i)} * {p(0, 1)}) / _j_d0" for k in (4, 5) for i in (0, 1)})
+    df = with_expressions(df, **{f"_j_q{k}{m}": f"_j_b{k}0 * {p(0, m)} + _j_b{k}1 * {p(1, m)}" for k in (4, 5) for m in (4, 5)})
+    df = with_expressions(df, **{f"_j_a{k}{m}": f"({p(9 - k, 9 - k)} * _j_q{k}{m} - {p(4, 5)} * _j_q{9 - k}{m}) / _j_dk" for k in (4, 5) for m in (4, 5)})
+    root = "sqrt(greatest(pow((_j_a44 + _j_a55) / 2, 2D) - (_j_a44 * _j_a55 - _j_a45 * _j_a54), 0D))"
+    df = with_expressions(df, _j_v=f"(_j_a44 + _j_a55) / 2 + {root}", _j_u=f"(_j_a44 + _j_a55) / 2 - {root}")
+    held = lambda v: f"log1p(-least(greatest({v}, 0D), 1 - 1e-12D))"
     # the eigenvector from the row of A - v I with the larger off-diagonal element
-    first = F.abs(a(4, 5)) >= F.abs(a(5, 4))
-    hedge = F.when(first, -(F.col("_j_v") - a(4, 4)) / F.nullif(a(4, 5), F.lit(0.0))).otherwise(-a(5, 4) / F.nullif(F.col("_j_v") - a(5, 5), F.lit(0.0)))
-    df = df.withColumns({out + "_hedge": hedge, out + "_trace_ratio": F.col(out + "_trace") / JOHANSEN_TRACE, out + "_ok": (F.col(out + "_trace") > JOHANSEN_TRACE) & (F.col(out + "_eigen") > JOHANSEN_EIGEN)})
+    hedge = "CASE WHEN abs(_j_a45) >= abs(_j_a54) THEN -(_j_v - _j_a44) / nullif(_j_a45, 0D) ELSE -_j_a54 / nullif(_j_v - _j_a55, 0D) END"
+    df = with_expressions(df, _j_eigen=f"-_j_n * {held('_j_v')}", _j_trace=f"-_j_n * ({held('_j_v')} + {held('_j_u')})", _j_hedge=hedge)
+    trace, eigen = F.col("_j_trace"), F.col("_j_eigen")
+    df = _settled(df, {out + "_trace": trace, out + "_eigen": eigen, out + "_hedge": F.col("_j_hedge"), out + "_trace_ratio": trace / JOHANSEN_TRACE, out + "_ok": (trace > JOHANSEN_TRACE) & (eigen > JOHANSEN_EIGEN)})
     return df.drop(*[x for x in df.columns if x.startswith("_j_")])
 
 

@@ -16,6 +16,7 @@ from ..functions.native import eg_p
 from ..operators import rolling, tradability, unitroot
 from ..operators.intervals import within
 from ..operators.ranking import corrected, percent_rank_of
+from .lineage import cut
 
 PAIR = ["y", "x"]
 YEAR = 252
@@ -96,7 +97,7 @@ def screened(rows: DataFrame, split: DataFrame, step: int = 63, lookback: int =
     a pair whose training p is above screen_p has no rolling test, which ranks as a share of 0.  Ties of place go by y and x.
     """
     all_rows = rows.select(*PAIR, "t", "ly", "lx").crossJoin(F.broadcast(split.select("n_train")))  # one row
-    fits = trained(all_rows.filter("t < n_train").drop("n_train"), min_corr, autolag, with_hurst)
+    fits = cut(trained(all_rows.filter("t < n_train").drop("n_train"), min_corr, autolag, with_hurst))  # a row per pair, read three times
     test = all_rows.filter("t >= n_train")
     out = fits.join(tried(test, fits, refits(rows, split, step, lookback), step, with_hurst), PAIR)
     rolled = tradability.persistence(test.select(*PAIR, "t", "ly", "lx"), fits.select(*PAIR, F.col("train_eg_p").alias("p")), roll_window, roll_step, alpha, screen_p)

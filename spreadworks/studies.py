@@ -263,14 +263,14 @@ def pool_overlap_of_screens(spark, d):
     return rescreen.pool_overlaps(_pools(spark, d))
 
 
-_EX = eg_p_sql("(SELECT y, x, count(*) AS n_obs, any_value(tau) AS tau FROM es LEFT JOIN (SELECT y, x, tau FROM etau) USING (y, x) GROUP BY y, x HAVING count(*) >= 500)", "tau", "p")
+_EX = eg_p_sql("(SELECT y, x, count(*) AS n_obs, any_value(tau) AS tau FROM es LEFT JOIN (SELECT y, x, tau FROM etau) USING (y, x) GROUP BY y, x HAVING count(*) >= 100)", "tau", "p")
 
 
 @query(f"""WITH {PP}, {residual_sql('e', 'pp', 'y, x', 'py', 'px')}, {unit_root_sql('e', 'es', 'y, x')}, ex AS (SELECT * FROM {_EX}), ek AS (SELECT *, count(p) OVER () AS m_, row_number() OVER (ORDER BY p NULLS LAST, y, x) AS k_, 1 AS f FROM ex)
 SELECT y, x, n_obs, {R('tau')} AS tau, {R('p')} AS p, {R('least(1, p * m_)')} AS p_bonferroni, {R(bh('p', 'f', ''))} AS p_bh, p < 0.05 AS significant, least(1, p * m_) <= 0.05 AS significant_bonferroni, {bh('p', 'f', '')} <= 0.05 AS significant_bh,
  CAST(row_number() OVER (ORDER BY round(p, 12) NULLS LAST, y, x) AS INT) AS place FROM ek""")
 def explore_pairs(spark, d):
-    return r6(tradability.explored(_pairs(spark, d)), "tau", "p", "p_bonferroni", "p_bh").select(*PAIR, "n_obs", "tau", "p", "p_bonferroni", "p_bh", "significant", "significant_bonferroni", "significant_bh", "place")
+    return r6(tradability.explored(_pairs(spark, d), least=100), "tau", "p", "p_bonferroni", "p_bh").select(*PAIR, "n_obs", "tau", "p", "p_bonferroni", "p_bh", "significant", "significant_bonferroni", "significant_bh", "place")
 
 
 _RO = eg_p_sql("(SELECT y, x, screen, any_value(tau) AS tau FROM qs LEFT JOIN (SELECT y, x, screen, tau FROM qtau) USING (y, x, screen) GROUP BY y, x, screen)", "tau", "p")
@@ -280,7 +280,7 @@ _RO = eg_p_sql("(SELECT y, x, screen, any_value(tau) AS tau FROM qs LEFT JOIN (S
 ro AS (SELECT pp.*, k AS screen FROM pp JOIN kp USING (y, x), range(0, 100) t(k) WHERE t >= k * 21 AND t < k * 21 + 126 AND k * 21 + 126 <= (SELECT max(t) + 1 FROM panel)),
 {residual_sql('q', 'ro', 'y, x, screen')}, {unit_root_sql('q', 'qs', 'y, x, screen')}, rp AS (SELECT * FROM {_RO}) SELECT y, x, count(p) AS n_windows, {R('avg(CASE WHEN p < 0.05 THEN 1.0::DOUBLE ELSE 0 END)')} AS share_cointegrated, {R('avg(p)')} AS mean_p FROM rp GROUP BY y, x""")
 def rolling_persistence(spark, d):
-    tested = tradability.explored(_pairs(spark, d)).select(*PAIR, "p")
+    tested = tradability.explored(_pairs(spark, d), least=100).select(*PAIR, "p")
     return r6(tradability.persistence(_pairs(spark, d), tested, 126, 21, 0.05, 0.5), "share_cointegrated", "mean_p")
 
 
