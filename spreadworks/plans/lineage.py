@@ -6,5 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the shared folder (spark.checkpoint.dir); as it is where none is set: results are the same."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df
+    """df as a reliable checkpoint in the shared folder (spark.checkpoint.dir).
+
+    Where none is set, one machine alone goes on without (results are the same), and a cluster is refused.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getConf().get("spark.checkpoint.dir"):
+        return df.checkpoint()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return df

@@ -777,3 +777,27 @@ def oneshot_screen(spark, d):
     """Every pair's training statistics, whether they hold frozen, refitted and anew on the test rows, and its rank."""
     out = oneshot.screened(_pairs(spark, d), oneshot.split_at(_clean(spark, d)), screen_p=0.5)
     return r6(out, *_OS).select(*PAIR, "test_rows", "wf_beta_sign_flips", "roll_n_windows", *_OF, *_OS, "place")
+
+
+@query(f"""WITH {ONESHOT}, oc0 AS (SELECT y, x, 1 AS f, train_eg_p AS p, train_half_life, hedge_ratio, train_johansen_trace / 15.4943 AS ratio, round(train_eg_p, 9) AS p9, round(train_johansen_trace / 15.4943, 9) AS r9 FROM o7 WHERE train_half_life BETWEEN 0.15 AND 60),
+oc AS (SELECT *, round({share('p9', 'f')} + {share('r9', 'f', True)}, 9) AS sel_score FROM oc0), od9 AS (SELECT *, -sel_score AS up FROM oc), {capped_sql('p', 'od9', 'f', 'up', 15, 4)}
+SELECT y, x, {R('p')} AS p, {R('ratio')} AS johansen_ratio, {R('hedge_ratio')} AS hedge_ratio, {R('sel_score')} AS sel_score, CAST(place AS INT) AS place FROM pk""")
+def oneshot_candidates(spark, d):
+    """The best pairs of the one-shot screen by training p and trace ratio, at most four of a ticker."""
+    return r6(_picked(spark, d), "p", "johansen_ratio", "hedge_ratio", "sel_score").select(*PAIR, "p", "johansen_ratio", "hedge_ratio", "sel_score", F.col("place").cast("int").alias("place"))
+
+
+def _picked(spark, d):
+    rows = _pairs(spark, d).select(*PAIR, "t", "ly", "lx").crossJoin(F.broadcast(oneshot.split_at(_clean(spark, d)).select("n_train"))).filter("t < n_train")  # one row
+    fits = oneshot.trained(rows.drop("n_train"), with_hurst=False).select(*PAIR, F.lit(1).alias("f"), "hedge_ratio", F.col("train_half_life").alias("half_life"), F.round("train_eg_p", 9).alias("p"), F.round("train_johansen_trace_ratio", 9).alias("johansen_ratio"))
+    return selection.picked_candidates(fits, ["f"], 15, 4, 0.15, 60.0)
+
+
+@query(f"""WITH {PP}, sz AS (SELECT floor((max(t) + 1) * 0.6::DOUBLE)::INT AS n_train FROM panel), a AS (SELECT y, x, regr_slope(ly, lx) AS hedge_ratio FROM pp, sz WHERE t < n_train GROUP BY y, x), b AS (SELECT y, x, regr_slope(ly, lx) AS fitted FROM pp GROUP BY y, x)
+SELECT y, x, {R('hedge_ratio')} AS hedge_ratio, {R('fitted')} AS fitted FROM a JOIN b USING (y, x) WHERE abs(hedge_ratio - fitted) > 0.05""")
+def hedge_drift(spark, d):
+    """Pairs whose training hedge ratio is not the one of the whole history: a pool made on another split shows here."""
+    rows = _pairs(spark, d).select(*PAIR, "t", "ly", "lx")
+    train = rows.crossJoin(F.broadcast(oneshot.split_at(_clean(spark, d)).select("n_train"))).filter("t < n_train")  # one row
+    fits = train.groupBy(*PAIR).agg(F.regr_slope("ly", "lx").alias("hedge_ratio"))
+    return r6(selection.drifted(fits, rows, 0.05), "hedge_ratio", "fitted")
