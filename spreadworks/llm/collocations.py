@@ -43,7 +43,7 @@ LEAST, NEARLY, TOP, SCALE = 30, 80, 2000, 2_000_000
 #: Words of a dictionary that is sent to the tasks; keys that the ranges are fitted on, words they are drawn from; keys in a range, about.
 FEW_WORDS, SAMPLE, SAMPLED_WORDS, RANGE = 1_000_000, 20_000, 4_000_000, 500_000
 #: Words and keys that a task holds before it adds them up.
-HELD_WORDS, HELD_KEYS = 200_000, 1_000_000
+HELD_WORDS, HELD_KEYS = 200_000, 500_000
 #: Groups of texts that meet their own part of a large dictionary: about this many bytes each.
 GROUP = 32 << 20
 
