@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.native import normal_two_sided, t_two_sided
-from .ranking import random_subsets
+from .ranking import PRIME, keyed_places, numbered, random_subsets
 
 
 def complete(rows: DataFrame, *columns: str) -> DataFrame:
@@ -97,43 +100,84 @@ def measures(daily: DataFrame, by: list[str], value: str, capital: float) -> Dat
     return out.select(*by, F.explode(named).alias("m")).select(*by, "m.measure", "m.v")
 
 
-def permutation_daily(pool: DataFrame, chosen: DataFrame, daily: DataFrame, by: list[str], key: list[str], value: str, draws: int = 5000, capital: float = 100_000.0, seed: int = 0) -> DataFrame:
+def permutation_daily(pool: DataFrame, chosen: DataFrame, daily: DataFrame, by: list[str], key: list[str], value: str, draws: int = 5000, capital: float = 100_000.0, seed: int = 0, keyed: bool = True) -> DataFrame:
     """Net profit, Sharpe and drawdown of random picks against the ones made: pool (by, key, k), chosen (by, key), daily (by, key, t, value).
 
-    k pairs are drawn for each period; a draw's daily profit is the sum over its pairs.  The draws of a period that hold a pair are
-    a list beside the pair, so daily rows are exploded by draws only once, and summed by draw and day before anything is sorted.
+    k pairs are drawn for each period, by keyed permutations of its places (keyed) or as the first in order of a hash (which sorts
+    pool x draws rows).  A draw's daily profit is the sum over its pairs, taken by masked_sums.
     """
-    out = pool.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), *[F.col(c).cast("string") for c in [*by, *key]])
-    place = F.row_number().over(Window.partitionBy(*by, "draw").orderBy(F.md5(text.cast("binary")), *key))
-    picks = out.withColumn("pick", place).filter(F.col("pick") <= F.col("k")).select(*by, *key, "draw")
-    drawn = picks.join(daily, [*by, *key]).groupBy("draw", "t").agg(F.sum(value).alias("v"))
+    rows = numbered(pool, by, key)
+    if keyed:
+        picks = keyed_places(rows.groupBy(*by).agg(F.first("m").alias("m"), F.max("k").alias("k")), by, draws, seed)
+    else:
+        out = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+        text = F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), *[F.col(c).cast("string") for c in [*by, *key]])
+        place = F.row_number().over(Window.partitionBy(*by, "draw").orderBy(F.md5(text.cast("binary")), *key))
+        picks = out.withColumn("pick", place).filter(F.col("pick") <= F.col("k")).groupBy(*by, "draw").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    drawn = masked_sums(picks, rows.select(*by, *key, "pos"), daily, by, key, value)
     real = chosen.join(daily, [*by, *key]).groupBy("t").agg(F.sum(value).alias("v"))
     return against(measures(drawn, ["draw"], "v", capital), measures(real, [], "v", capital).withColumnRenamed("v", "actual"), ["measure"])
 
 
+def masked_sums(picks: DataFrame, places: DataFrame, daily: DataFrame, by: list[str], key: list[str], value: str, block: int = 1024, together: int = 64, spread: int = 16) -> DataFrame:
+    """(draw, t, v): sums of value over the rows a draw picked, picks (by, draw, places) of places (by, key, pos), daily (by, key, t, value).
+
+    The product of masks and days is taken in blocks: the values of a day at `block` places are one array, the picks of `together` draws
+    at those places are another, and where they meet each sum reads its picks from the array.  So daily rows are never repeated by draws,
+    and what is shuffled after is a row per draw, day and block.  A period's days are dealt to `spread` keys, which its picks go to all.
+    Days on which no picked row has a value are left out.
+    """
+    dealt = [*by, "_block", "_deal"]
+    days = daily.filter(F.col(value).isNotNull()).join(places, [*by, *key]).select(*by, "t", F.expr(f"pos div {block}").alias("_block"), (F.col("pos") % block).cast("int").alias("_p"), F.pmod(F.hash("t"), F.lit(spread)).alias("_deal"), F.col(value).cast("double").alias("_v"))
+    days = days.groupBy(*dealt, "t", "_p").agg(F.sum("_v").alias("_v")).groupBy(*dealt, "t").agg(F.sort_array(F.collect_list(F.struct("_p", "_v"))).alias("_e"))
+    gap = lambda e, i: F.concat(F.array_repeat(F.lit(None).cast("double"), e["_p"] - F.when(i > 0, F.get("_e", i - 1)["_p"]).otherwise(F.lit(-1)) - 1), F.array(e["_v"]))
+    days = days.select(*dealt, "t", F.flatten(F.transform("_e", gap)).alias("_values"))
+    split = picks.withColumn("_block", F.explode(F.array_distinct(F.transform("places", lambda p: F.floor(p / block).cast("long")))))
+    mine = F.transform(F.filter("places", lambda p: F.floor(p / block) == F.col("_block")), lambda p: (p % block).cast("int"))
+    masks = split.groupBy(*by, "_block", F.expr(f"draw div {together}").alias("_together")).agg(F.collect_list(F.struct("draw", mine.alias("at"))).alias("_draws"))
+    masks = masks.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+
+    def summed(d):
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+        add = lambda s, p: F.when(F.get("_values", p).isNull(), s).otherwise(F.struct((s["s"] + F.get("_values", p)).alias("s"), (s["n"] + 1).alias("n")))
+        return F.struct(d["draw"].alias("draw"), F.aggregate(d["at"], start, add).alias("sum"))
+
+    met = masks.join(days, dealt).select("t", F.explode(F.transform("_draws", summed)).alias("_d"))
+    return met.filter("_d.sum.n > 0").groupBy("_d.draw", "t").agg(F.sum("_d.sum.s").alias("v"))
+
+
+#: Cumulative probabilities of the Poisson distribution with mean 1 at 0 to 9; what is above counts as 10.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) for j in range(10))
+
+
 def bootstrap_sharpe(daily: DataFrame, by: list[str], value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """2.5 and 97.5 % of resampled Sharpe ratios (independent rows, with replacement), for groups of 20 rows or more.
+    """2.5 and 97.5 % of resampled Sharpe ratios, for groups of 20 rows or more: (by, low, high).
 
-    A group is one series (thousands of rows), in one array; every group draws with the same seed, so reruns agree.
+    A row's weight in a draw is Poisson with mean 1: a uniform number from the row's hash (of seed, by and t) by the draw's two
+    random keys picks it.  So a draw is three sums of weights and weighted powers, which merge from any partitioning, and no
+    group is ever in one place.  Values are taken less the group's mean before they are squared.  Null and NaN count as missing;
+    draws without variation do not count; rows that agree in by and t have the same weights.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in daily.schema.fields if f.name in by) + ", low double, high double"
-
-    def run(key, table):
-        import numpy as np
-        import pyarrow as pa
-
-        v = table.sort_by("t")[value].to_numpy()
-        v, low, high = v[~np.isnan(v)], None, None
-        if len(v) >= 20:
-            spot = np.random.default_rng(seed).integers(0, len(v), (draws, len(v)))
-            m, sd = v[spot].mean(axis=1), v[spot].std(axis=1, ddof=1)
-            s = (m / np.where(sd > 0, sd, np.nan) * np.sqrt(252))[sd > 0]
-            if len(s):
-                low, high = np.percentile(s, [2.5, 97.5]).tolist()
-        return pa.Table.from_arrays([pa.array([k.as_py()], k.type) for k in key] + [pa.array([x], pa.float64()) for x in (low, high)], names=[*by, "low", "high"])
-
-    return daily.groupBy(*by).applyInArrow(run, schema).filter("low IS NOT NULL")
+    rows = daily.select(*by, "t", F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    known = rows.groupBy(*by).agg(F.avg("_v").alias("_m"), F.count(F.lit(1)).alias("_n")).filter("_n >= 20")
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+    rows = rows.join(known.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_m"), on).select(*by, "t", "_m", (F.col("_v") - F.col("_m")).alias("_v"))
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in [*by, "t"]]).cast("binary"))
+    rows = rows.withColumn("_h", F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % PRIME)
+    keys = [hashlib.md5(f"{seed}|{i}".encode()).hexdigest() for i in range(1, draws + 1)]  # two numbers a draw: part of the plan, like draws itself
+    first, second = (F.lit([int(k[at : at + 8], 16) % PRIME for k in keys]).cast("array<bigint>") for at in (0, 8))
+    each = rows.withColumn("_d", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(draws)).alias("draw"), first.alias("a"), second.alias("b"))))
+    u = (F.col("_h") * F.col("_d.a") + F.col("_d.b")) % PRIME
+    weight = F.lit(0)
+    for p in POISSON:
+        weight = weight + F.when(F.col("_u") >= math.ceil(p * PRIME), 1).otherwise(0)
+    each = each.select(*by, F.col("_d.draw").alias("_draw"), "_m", "_v", u.alias("_u")).select(*by, "_draw", "_m", "_v", weight.cast("double").alias("_w"))
+    sums = each.groupBy(*by, "_draw").agg(F.first("_m").alias("_m"), F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_v")).alias("_t"), F.sum(F.col("_w") * F.col("_v") * F.col("_v")).alias("_q"))
+    mean = F.col("_t") / F.col("_n")
+    sd = F.when(F.col("_n") > 1, F.sqrt(F.greatest((F.col("_q") - F.col("_t") * mean) / (F.col("_n") - 1), F.lit(0.0))))
+    sharpe = F.when(sd > 1e-12, (F.col("_m") + mean) / sd * F.sqrt(F.lit(252.0)))
+    out = sums.select(*by, sharpe.alias("_s")).filter("_s IS NOT NULL")
+    return out.groupBy(*by).agg(F.percentile("_s", F.lit(0.025)).alias("low"), F.percentile("_s", F.lit(0.975)).alias("high"))
 
 
 def exit_table(trades: DataFrame, reason: str = "why") -> DataFrame:

@@ -154,6 +154,94 @@ def test_capped_walk_equals_a_loop(spark):
         assert [(r["y"], r["x"]) for r in sorted((r for r in got if r["p"] == p), key=lambda r: r["place"])] == want
 
 
+@pytest.mark.parametrize(("k", "cap"), [(1, 1), (5, 1), (7, 2), (40, 3), (400, 2), (0, 2), (3, 0)])
+def test_capped_walk_of_pools_larger_than_its_bound(spark, k, cap):
+    """One hot ticker has most of the best pairs; scores tie, some are missing or NaN; all columns stay, in order."""
+    g = np.random.default_rng(k + cap)
+    names = [f"t{i:02d}" for i in range(30)]
+    score = lambda y: None if g.random() < 0.05 else math.nan if g.random() < 0.05 else float(np.round(g.random() + (y < "t03"), 1))
+    rows = [(p, y, x, score(y), y + x) for p in (1, None) for y in names for x in names if y < x]
+    out = ranking.capped_top_k(spark.createDataFrame(rows, "p int, y string, x string, s double, _extra string"), ["p"], "s", k, cap)
+    assert out.columns == ["p", "y", "x", "s", "_extra", "place"]
+    got = {(r["p"], r["place"]): (r["y"], r["x"], r["_extra"]) for r in out.collect()}
+    want = {}
+    for p in (1, None):
+        used, n = {}, 0
+        for _, y, x, s, extra in sorted((r for r in rows if r[0] == p), key=lambda r: (r[3] is None, r[3] != r[3], -r[3] if r[3] is not None and r[3] == r[3] else 0, r[1], r[2])):
+            if n < k and used.get(y, 0) < cap and used.get(x, 0) < cap:
+                n += 1
+                want[p, n] = (y, x, extra)
+                used[y], used[x] = used.get(y, 0) + 1, used.get(x, 0) + 1
+    assert got == want
+
+
+def test_capped_walk_passes_a_bounded_number_of_rows(spark):
+    plan = ranking.capped_top_k(spark.createDataFrame([(1, "a", "b", 1.0)], "p int, y string, x string, s double"), ["p"], "s", 50, 5)._jdf.queryExecution().toString()
+    assert "InArrow" not in plan and plan.count("WindowGroupLimit") >= 3
+
+
+def test_keyed_places_are_even(spark):
+    """k distinct places of each pool and draw; single places and pairs of places come as often as they should (5 deviations)."""
+    n = 4000
+    sizes = [(1, 3), (2, 1), (3, 2), (7, 3), (10, 4), (26, 5), (100, 5), (1000, 8)]
+    groups = spark.createDataFrame([(m, m, k) for m, k in sizes], "g int, m long, k long")
+    found = {}
+    for r in ranking.keyed_places(groups, ["g"], n, 3).collect():
+        found.setdefault(r["g"], {})[r["draw"]] = r["places"]
+    for m, k in sizes:
+        k, drawn = min(m, k), found[m]
+        assert len(drawn) == n and all(len(set(p)) == len(p) == k and min(p) >= 0 and max(p) < m for p in drawn.values())
+        counts = np.bincount([p for ps in drawn.values() for p in ps], minlength=m)
+        share = k / m
+        assert np.abs(counts - n * share).max() <= 5 * math.sqrt(n * share * (1 - share)) + 1e-9
+        if 2 <= k and m <= 26:
+            both = np.zeros((m, m))
+            for ps in drawn.values():
+                for a in ps:
+                    both[a, [b for b in ps if b != a]] += 1
+            share = k * (k - 1) / (m * (m - 1))
+            off = ~np.eye(m, dtype=bool)
+            assert np.abs(both[off] - n * share).max() <= 5 * math.sqrt(n * share * (1 - share)) + 1e-9
+    again = {(r["g"], r["draw"]): r["places"] for r in ranking.keyed_places(groups.repartition(3), ["g"], 20, 3).collect()}
+    assert all(again[g, d] == found[g][d] for g, d in again)
+
+
+def test_keyed_places_of_nothing(spark):
+    groups = spark.createDataFrame([(1, 0, 3), (2, 5, 0), (None, 4, 2)], "g int, m long, k long")
+    got = {(r["g"], r["draw"]): r["places"] for r in ranking.keyed_places(groups, ["g"], 2).collect()}
+    assert got[2, 1] == got[2, 2] == [] and (1, 1) not in got and len(got[None, 1]) == 2
+
+
+@pytest.mark.parametrize(("block", "together", "spread"), [(1024, 64, 16), (3, 2, 2), (1, 1, 1)])
+def test_masked_sums_equal_a_loop(spark, block, together, spread):
+    """Blocks of any size; missing values and days, days of two periods, repeated rows of a day, draws that pick nothing."""
+    g = np.random.default_rng(4)
+    daily = [(p, f"k{i}", t, None if g.random() < 0.2 else float(g.integers(-9, 9))) for p in (1, 2) for i in range(8) for t in range(p * 5, p * 5 + 8) if g.random() < 0.8 for _ in range(1 + (i == 0))]
+    places = [(p, f"k{i}", i) for p in (1, 2) for i in range(8)]
+    picks = [(p, d, [int(v) for v in g.permutation(8)[: int(g.integers(0, 5))]]) for p in (1, 2) for d in range(1, 12)]
+    got = research.masked_sums(spark.createDataFrame(picks, "p int, draw int, places array<long>"), spark.createDataFrame(places, "p int, k string, pos long"),
+                               spark.createDataFrame(daily, "p int, k string, t int, v double"), ["p"], ["k"], "v", block, together, spread)
+    want = {}
+    for p, d, ps in picks:
+        for q, k, t, v in daily:
+            if p == q and int(k[1:]) in ps and v is not None:
+                want[d, t] = want.get((d, t), 0) + v
+    assert {(r["draw"], r["t"]): r["v"] for r in got.collect()} == want
+
+
+def test_bootstrap_is_near_a_resampling(spark):
+    """The interval of Poisson weights against rows drawn with replacement; a series with a large mean, missing values, constant and short series."""
+    g = np.random.default_rng(11)
+    series_ = {"a": g.normal(0.05, 1, 500), "b": g.standard_t(4, 300) + 0.2, "far": g.normal(1e6, 1.0, 200)}
+    rows = [(k, t, float(v)) for k, vs in series_.items() for t, v in enumerate(vs)] + [("flat", t, 2.0) for t in range(40)] + [("holes", t, None if t % 2 else math.nan) for t in range(50)]
+    got = {r["k"]: r for r in research.bootstrap_sharpe(spark.createDataFrame(rows, "k string, t int, v double"), ["k"], "v", 2000).collect()}
+    assert set(got) == {"a", "b", "far"}
+    for k, v in series_.items():
+        spot = v[g.integers(0, len(v), (4000, len(v)))]
+        low, high = np.percentile(spot.mean(axis=1) / spot.std(axis=1, ddof=1) * math.sqrt(252), [2.5, 97.5])
+        assert abs(got[k]["low"] - low) < 0.12 * (high - low) and abs(got[k]["high"] - high) < 0.12 * (high - low)
+
+
 def test_formation_keeps_ineligible_pairs_out(spark):
     rows = spark.createDataFrame([(0, "a", "b", 3.0, 0), (0, "a", "c", 2.0, 2), (0, "b", "c", 1.0, 2), (0, "c", "d", None, 2), (0, "d", "e", -1.0, 3)], "period int, y string, x string, f_pnl double, f_trades int")
     for cap in (0, 9):
