@@ -6,6 +6,8 @@ are rounded to six digits: sums in other orders differ in the last bits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -565,9 +567,23 @@ def kalman_hedge(spark, d):
     return out.select(*PAIR, F.col("t").cast("long").alias("t"), F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"))
 
 
-@query()
+def poisson_sql(u: str) -> str:
+    """The weight of a uniform number below 2^31 - 1: how many of the cumulative probabilities it reaches."""
+    return " + ".join(f"({u} >= {math.ceil(p * ranking.PRIME)})::INT" for p in research.POISSON)
+
+
+_NUMBER = f"(('0x' || substr({{}}, {{}}, 8))::BIGINT % {ranking.PRIME})"
+
+
+@query(f"""WITH {BZ}, ok AS (SELECT y, x, avg(pnl) AS m, count(*) AS n FROM sc WHERE pnl IS NOT NULL GROUP BY y, x HAVING n >= 20),
+hs AS (SELECT sc.y, sc.x, m, pnl - m AS v, {_NUMBER.format("md5('42|' || sc.y || '|' || sc.x || '|' || t)", 1)} AS h FROM sc JOIN ok ON ok.y = sc.y AND ok.x = sc.x WHERE pnl IS NOT NULL),
+dr AS (SELECT draw, {_NUMBER.format('k', 1)} AS a, {_NUMBER.format('k', 9)} AS b FROM (SELECT draw, md5('42|' || draw) AS k FROM range(1, 1001) g(draw))),
+us AS (SELECT y, x, m, v, draw, (h * a + b) % {ranking.PRIME} AS u FROM hs, dr), ws AS (SELECT y, x, m, v, draw, ({poisson_sql('u')})::DOUBLE AS w FROM us),
+sm AS (SELECT y, x, draw, any_value(m) AS m, sum(w) AS n, sum(w * v) AS s, sum(w * v * v) AS q FROM ws GROUP BY ALL),
+sd AS (SELECT y, x, m + s / nullif(n, 0) AS mean, CASE WHEN n > 1 THEN sqrt(greatest((q - s * s / n) / (n - 1), 0)) END AS sd FROM sm)
+SELECT y, x, {R('quantile_cont(mean / sd * sqrt(252.0::DOUBLE), 0.025)')} AS low, {R('quantile_cont(mean / sd * sqrt(252.0::DOUBLE), 0.975)')} AS high FROM sd WHERE sd > 1e-12 GROUP BY y, x""")
 def bootstrap_sharpe(spark, d):
-    return research.bootstrap_sharpe(_screened(spark, d).select(*PAIR, "t", "pnl"), PAIR, "pnl")
+    return r6(research.bootstrap_sharpe(_screened(spark, d).select(*PAIR, "t", "pnl"), PAIR, "pnl"), "low", "high")
 
 
 @query()

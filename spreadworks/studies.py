@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions.native import DF_HIGH, DF_LARGE, DF_LOW, DF_SMALL, DF_STAR, EG_HIGH, EG_LARGE, EG_LOW, EG_SMALL, EG_STAR, ERFC
-from .operators import pairs, research, rolling, screens, selection, simulate, tradability
+from .operators import pairs, ranking, research, rolling, screens, selection, simulate, tradability
 from .plans import folded, folds, oneshot, predictive, rescreen, walkforward
 from .plans.lineage import cut
 from .queries import BP, BZ, CELLS, LOOKBACK, ORACLES, PAIR, PP, SP, START, STEP, ZZ, R, _block, _blocks_pnl, _clean, _pairs, _screened, _spread, _z, machine_sql, query, r6
@@ -153,6 +153,11 @@ def capped_sql(p: str, source: str, by: str, score: str, k: int, cap: int) -> st
 {p}k AS (SELECT o.* EXCLUDE (r_), w.taken AS place FROM {p}o o JOIN {p}w w ON w.g = o.{by} AND w.r = o.r_ WHERE w.ok)"""
 
 
+ORACLES["topk_with_ticker_cap"] = f"""WITH {BZ}, s AS (SELECT (t - {START}) // {STEP} AS period, y, x, sum(pnl) AS pnl, count(*) FILTER (WHERE held <> 0) AS m FROM sc GROUP BY ALL),
+j AS (SELECT CAST(a.period + 1 AS INT) AS period, a.y, a.x, a.pnl AS f, b.pnl AS nx FROM s a JOIN s b ON b.period = a.period + 1 AND b.y = a.y AND b.x = a.x WHERE a.m > 0),
+{capped_sql('p', 'j', 'period', 'f', 8, 2)} SELECT period, y, x, {R('f')} AS f_pnl, {R('nx')} AS next_pnl, CAST(place AS INT) AS place FROM pk"""
+
+
 def tradability_sql(screens: str, entry: float, leave: float) -> str:
     """CTE tm: the metrics of every screen (CTE screens: screen, lo, hi) and pair."""
     part = " + ".join(f"CASE WHEN i >= floor(n * {c} / 3.0::DOUBLE) THEN 1 ELSE 0 END" for c in (1, 2))
@@ -482,7 +487,42 @@ def permutation_measures(spark, d):
     b = _blocks_pnl(spark, d)
     chosen = b.withColumn("p", F.row_number().over(_by_block())).filter("p <= 5").select("block", *PAIR)
     daily = _screened(spark, d).select("block", *PAIR, "t", F.round(F.col("pnl") * 1e4, 6).alias("v"))
-    out = research.permutation_daily(b.select("block", *PAIR, F.lit(5).alias("k")), chosen, daily, ["block"], PAIR, "v", DRAWS)
+    out = research.permutation_daily(b.select("block", *PAIR, F.lit(5).alias("k")), chosen, daily, ["block"], PAIR, "v", DRAWS, keyed=False)
+    return r6(out, "actual", "random_mean", "random_std", "p5", "p50", "p95", "percentile", "p_value")
+
+
+KEYED_DRAWS = 5000
+
+
+def turn_sql(p: str, source: str) -> str:
+    """CTE {p}4: four rounds over the cells (l, r) of source (a, b, h): one coordinate shifted by a linear function of the other."""
+    number = lambda j: f"(('0x' || substr(h, {8 * j + 1}, 8))::BIGINT % {ranking.PRIME})"
+    shift = lambda of, j: f"({of} * {number(2 * j)} + {number(2 * j + 1)}) % {ranking.PRIME}"
+    steps = [f"(l + {shift('r', j)}) % a AS l" if j % 2 == 0 else f"(r + {shift('l', j)}) % b AS r" for j in range(4)]
+    return ",\n".join(f"{p}{j + 1} AS (SELECT * REPLACE ({steps[j]}) FROM {source if j == 0 else f'{p}{j}'})" for j in range(4))
+
+
+MEASURED = f"""SELECT measure, count(*) AS draws, {R('any_value(actual)')} AS actual, {R('avg(v)')} AS random_mean, {R('stddev_pop(v)')} AS random_std, {R('quantile_cont(v, 0.05)')} AS p5, {R('quantile_cont(v, 0.5)')} AS p50, {R('quantile_cont(v, 0.95)')} AS p95,
+ {R('avg(CASE WHEN v < actual THEN 1.0::DOUBLE ELSE 0 END) * 100')} AS percentile, {R('(count(*) FILTER (WHERE v >= actual) + 1) / (count(*) + 1)::DOUBLE')} AS p_value"""
+
+
+@query(f"""WITH {BP}, po AS (SELECT block, y, x, row_number() OVER (PARTITION BY block ORDER BY y, x) - 1 AS pos FROM bp),
+gm AS (SELECT block, count(*) AS m, (floor(sqrt(count(*) - 1)) + 1)::BIGINT AS a FROM bp GROUP BY block),
+gd AS (SELECT block, m, a, (m + a - 1) // a AS b, least(5, m) AS k, draw, sha256('0|' || draw || '|' || block) AS h FROM gm, range(1, {KEYED_DRAWS + 1}) d(draw)),
+gi AS (SELECT *, unnest(range(0, k + a * b - m)) AS i FROM gd), gc AS (SELECT *, i % a AS l, i // a AS r FROM gi), {turn_sql('gt', 'gc')},
+pk AS (SELECT block, draw, r * a + l AS pos FROM gt4 WHERE r * a + l < m QUALIFY row_number() OVER (PARTITION BY block, draw ORDER BY i) <= k),
+ch AS (SELECT block, y, x FROM (SELECT block, y, x, row_number() OVER (PARTITION BY block ORDER BY mean_z DESC, y, x) AS p FROM bp) WHERE p <= 5),
+dl AS (SELECT block, y, x, t, round(pnl * 1e4, 6) AS v FROM sc), rd AS (SELECT draw, t, sum(v) AS v FROM pk JOIN po USING (block, pos) JOIN dl USING (block, y, x) GROUP BY ALL UNION ALL SELECT 0, t, sum(v) FROM ch JOIN dl USING (block, y, x) GROUP BY ALL),
+rq AS (SELECT *, 100000 + sum(v) OVER (PARTITION BY draw ORDER BY t) AS eq FROM rd), rm AS (SELECT *, eq / max(eq) OVER (PARTITION BY draw ORDER BY t) - 1 AS dd FROM rq),
+ms AS (SELECT draw, sum(v) AS net, CASE WHEN stddev_samp(v) > 1e-12 THEN avg(v) / stddev_samp(v) * sqrt(252.0::DOUBLE) END AS sharpe, min(dd) * 100 AS max_drawdown_pct FROM rm GROUP BY draw),
+mu AS (UNPIVOT ms ON net, sharpe, max_drawdown_pct INTO NAME measure VALUE v), ma AS (SELECT r.measure, r.v, a.v AS actual FROM mu r JOIN mu a ON a.measure = r.measure AND a.draw = 0 WHERE r.draw > 0)
+{MEASURED} FROM ma GROUP BY measure""")
+def permutation_keyed(spark, d):
+    """5,000 draws by keyed permutations: no row of the pool is ordered or repeated by draws."""
+    b = _blocks_pnl(spark, d)
+    chosen = b.withColumn("p", F.row_number().over(_by_block())).filter("p <= 5").select("block", *PAIR)
+    daily = _screened(spark, d).select("block", *PAIR, "t", F.round(F.col("pnl") * 1e4, 6).alias("v"))
+    out = research.permutation_daily(b.select("block", *PAIR, F.lit(5).alias("k")), chosen, daily, ["block"], PAIR, "v", KEYED_DRAWS)
     return r6(out, "actual", "random_mean", "random_std", "p5", "p50", "p95", "percentile", "p_value")
 
 
