@@ -182,19 +182,96 @@ def capped(rows: DataFrame, by: list[str], base: str, cap: float, total: float =
     return rows.withColumn("weight", weight).drop("_p", "_k", "_n", "_left", "_rest", "_over", "_f")
 
 
-def portfolio_daily(test: DataFrame, weights: DataFrame, folds: DataFrame, reallocate: bool = False, active_cap: float = 0.5, active_total: float = 1.0) -> DataFrame:
-    """(fold, t, r, active_weight, active_pairs): every test day of every fold; reallocate: weights of the day's active pairs grow up to active_cap."""
-    rows = test.join(weights.select(*KEY, "weight"), KEY).withColumn("active", F.when(F.col("executed") != 0, 1.0).otherwise(0.0))
+def portfolio_daily(test: DataFrame, weights: DataFrame, folds: DataFrame, reallocate: bool = False, active_cap: float = 0.5, active_total: float = 1.0, cells: DataFrame | None = None) -> DataFrame:
+    """(fold, t, r, active_weight, active_pairs): every test day of every fold; reallocate: weights of the day's active pairs grow up to active_cap.
+
+    cells: a small table of parameter cells; its columns are keys of weights and of the result.  weights.scale, where it exists, multiplies r.
+    """
+    more = cells.columns if cells is not None else []
+    by = [*more, "fold", "t"]
+    scaled = "scale" in weights.columns
+    rows = test.join(weights.select(*more, *KEY, "weight", *(["scale"] if scaled else [])), KEY).withColumn("active", F.when(F.col("executed") != 0, 1.0).otherwise(0.0))
+    if scaled:
+        rows = rows.withColumn("r", F.col("r") * F.col("scale"))
     if reallocate:
-        rows = capped(rows.withColumn("base", F.col("weight") * F.col("active")).drop("weight"), ["fold", "t"], "base", active_cap)
-        total = F.sum("weight").over(Window.partitionBy("fold", "t"))
+        rows = capped(rows.withColumn("base", F.col("weight") * F.col("active")).drop("weight"), by, "base", active_cap)
+        total = F.sum("weight").over(Window.partitionBy(*by))
         rows = rows.withColumn("weight", F.when(total > active_total, F.col("weight") * active_total / total).otherwise(F.col("weight")))
         active = F.col("weight")
     else:
         active = F.col("weight") * F.col("active")
-    sums = rows.withColumn("w", active).groupBy("fold", "t").agg(F.sum(F.col("r") * F.col("weight")).alias("r"), F.sum("w").alias("active_weight"), F.count_if(F.col("w") > 0).alias("active_pairs"))
+    sums = rows.withColumn("w", active).groupBy(*by).agg(F.sum(F.col("r") * F.col("weight")).alias("r"), F.sum("w").alias("active_weight"), F.count_if(F.col("w") > 0).alias("active_pairs"))
     days = folds.select("fold", F.explode(F.sequence("test_lo", F.col("test_hi") - 1)).alias("t"))
-    return days.join(sums, ["fold", "t"], "left").na.fill(0.0, ["r", "active_weight"]).na.fill(0, ["active_pairs"])
+    if cells is not None:
+        days = days.crossJoin(F.broadcast(cells))  # some cells of parameters
+    return days.join(sums, by, "left").na.fill(0.0, ["r", "active_weight"]).na.fill(0, ["active_pairs"])
+
+
+def sized(rows: DataFrame, folds: DataFrame, chosen: DataFrame, risks: list[float], capital: float, leverage: float = 2.0) -> DataFrame:
+    """(fold, y, x, risk_target, units): spread units whose yearly risk is risk_target of capital, from train rows alone.
+
+    chosen has beta and sd_change of the train rows; the notional is that of the last train row, and leverage bounds it.  Without
+    variation of the spread one unit is held; a bound of nothing gives one unit too.
+    """
+    last = rows.select(*PAIR, "t", "py", "px").join(F.broadcast(folds.select("fold", (F.col("train_hi") - 1).alias("t"))), "t")  # a row for each fold
+    d = chosen.select(*KEY, "beta", "sd_change").join(last.select(*KEY, "py", "px"), KEY).withColumn("risk_target", F.explode(F.array(*[F.lit(float(r)) for r in risks])))
+    most = capital * leverage / F.greatest(F.col("py") + F.abs("beta") * F.col("px"), F.lit(1e-12))
+    wanted = F.when(F.col("sd_change") > 1e-12, capital * F.col("risk_target") / (F.col("sd_change") * F.sqrt(F.lit(252.0)))).otherwise(1.0)
+    units = F.greatest(F.least(wanted, most), F.lit(0.0))
+    return d.select(*KEY, "risk_target", F.when(units > 1e-12, units).when(most > 1e-12, most).otherwise(1.0).alias("units"))
+
+
+def swept(results: DataFrame, test: DataFrame, chosen: DataFrame, sizes: DataFrame, folds: DataFrame, ks: list[int], mode: str = "validation_quality", cap: float = 0.25, units: float = 10.0, filters: tuple = (0.0, 3, 0.3, 5),
+          reallocate: bool = True, active_cap: float = 0.5, active_total: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Portfolios of every cell (risk_target, top_k) at once: (daily, members).
+
+    Money is linear in the spread units, and what validation picks does not depend on them: one simulation with `units` serves all
+    risk targets, each as a factor of its rows.  filters: least validation Sharpe and trades, most cost share, trades that count in full.
+    """
+    best = watchlist(results, max(ks), *filters).join(chosen.select(*KEY, "sd_change"), KEY)
+    best = best.withColumn("top_k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter("place <= top_k")
+    weights = allocation(best, mode, ["fold", "top_k"], cap).select(*KEY, "top_k", "weight", "test_trades")
+    members = weights.join(sizes, KEY).withColumn("scale", F.col("units") / units)
+    cells = sizes.select("risk_target").distinct().withColumn("top_k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    daily = portfolio_daily(test, members, folds, reallocate, active_cap, active_total, cells)
+    base = members.groupBy("risk_target", "top_k", "fold").agg(F.sum("weight").alias("base_weight"))
+    return daily.join(base, ["risk_target", "top_k", "fold"], "left").na.fill(0.0, ["base_weight"]), members
+
+
+def portfolio_report(daily: DataFrame, members: DataFrame, folds: DataFrame, dates: DataFrame, by: list[str], complete: bool = True) -> DataFrame:
+    """A row per cell: span and coverage of the test days, return and risk measures, weights, share of good folds, trades.
+
+    complete: the test days of all folds must be there once each, from the first test row to the last; a gap fails the job.
+    A day of two folds counts in the first.  Only days that `dates` (t, date) has exist.
+    """
+    kept = F.struct("fold", "r", "active_weight", "active_pairs", "base_weight")
+    one = daily.groupBy(*by, "t").agg(F.min_by(kept, "fold").alias("_d")).select(*by, "t", "_d.*").join(dates.select("t", "date").distinct(), "t")
+    w = Window.partitionBy(*by).orderBy("t")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    one = one.withColumn("log", F.sum(growth_of("r")).over(upto)).withColumn("top", F.max("log").over(upto)).withColumn("pos", F.row_number().over(w))
+    one = one.withColumn("under", F.exp("log") < F.exp("top") - 1e-12)
+    one = one.withColumn("streak", F.when(F.col("under"), F.col("pos") - F.coalesce(F.max(F.when(~F.col("under"), F.col("pos"))).over(upto), F.lit(0))).otherwise(0))
+    n, r = F.count(F.lit(1)), F.col("r")
+    out = one.groupBy(*by).agg(
+        F.min("date").alias("oos_start"), F.max("date").alias("oos_end"), n.alias("oos_rows"), sharpe(n, F.sum(r), F.sum(r * r)).alias("sharpe"), F.avg(r).alias("_m"),
+        F.avg(F.when(r < 0, r * r)).alias("_down"), F.max_by("log", "t").alias("_g"), F.greatest(F.min(F.expm1(F.col("log") - F.col("top"))), F.lit(-1.0)).alias("max_drawdown"),
+        F.max("streak").cast("long").alias("max_drawdown_days"), (F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("annualized_vol"), F.avg("base_weight").alias("avg_allocated_weight"),
+        F.avg("active_weight").alias("avg_active_weight"), F.avg("active_pairs").alias("avg_active_pairs"),
+    )
+    each = daily.groupBy(*by, "fold").agg(sharpe(n, F.sum(r), F.sum(r * r)).alias("s")).groupBy(*by).agg(F.count(F.lit(1)).alias("folds"), F.avg(F.when(F.col("s") > 0, 1.0).otherwise(0.0)).alias("positive_fold_fraction"))
+    trades = members.groupBy(*by).agg(F.sum("test_trades").alias("completed_trades"))
+    span = folds.agg((F.max("test_hi") - F.min("test_lo")).cast("long").alias("_span"))
+    out = out.join(each, by).join(trades, by, "left").na.fill(0, ["completed_trades"]).crossJoin(F.broadcast(span))  # one row
+    whole = F.col("oos_rows") == F.col("_span")
+    if complete:
+        whole = F.when(whole, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("test days are not covered: "), F.col("oos_rows").cast("string"), F.lit(" of "), F.col("_span").cast("string"))).cast("boolean"))
+    days = F.datediff("oos_end", "oos_start")
+    sortino = F.when(F.col("_down").isNull() & (F.col("_m") > 0), F.lit(float("inf"))).when(F.col("_down") > 1e-24, F.col("_m") / F.sqrt("_down") * F.sqrt(F.lit(252.0)))
+    return out.select(
+        *by, "folds", "oos_start", "oos_end", days.alias("oos_calendar_days"), "oos_rows", whole.alias("oos_complete"), "sharpe", sortino.alias("sortino"), F.expm1("_g").alias("total_return"),
+        F.when(days > 0, F.expm1(F.col("_g") * 365.25 / days)).alias("cagr"), "max_drawdown", "max_drawdown_days", "annualized_vol", "avg_allocated_weight", "avg_active_weight", "avg_active_pairs",
+        "positive_fold_fraction", "completed_trades",
+    )
 
 
 def portfolio_summary(daily: DataFrame, by: list[str]) -> DataFrame:

@@ -678,6 +678,47 @@ def portfolio_reallocated(spark, d):
     return folded.portfolio_summary(daily, [])
 
 
+RISKS, KS = [0.05, 0.1, 0.2], [2, 4, 8]
+#: Continuous folds in place of gapped ones: tests tile the second half, validation is the test block before.
+CONTINUOUS = """nn AS (SELECT max(t) + 1 AS n, CAST(floor((max(t) + 1) * 0.5) AS INT) AS st FROM panel), ed AS (SELECT k, CASE WHEN k = 5 THEN n ELSE st + CAST(floor((n - st) * k / 5.0::DOUBLE) AS INT) END AS e, st FROM nn, range(0, 6) t(k)),
+fd AS (SELECT CAST(u.k + 1 AS INT) AS fold, coalesce(p.e, u.st - CAST(floor(u.st * 0.2) AS INT)) AS a, u.e AS m, v.e AS b FROM ed u JOIN ed v ON v.k = u.k + 1 LEFT JOIN ed p ON p.k = u.k - 1), fs AS (SELECT fold, 'val' AS segment, a AS lo, m AS hi FROM fd UNION ALL SELECT fold, 'test', m, b FROM fd)"""
+SWEPT = EVALUATED.replace(FOLDS, CONTINUOUS) + f""",
+sz AS (SELECT c.fold, c.y, c.x, risk_target, greatest(least(CASE WHEN sd_change > 1e-12 THEN {CAPITAL}::DOUBLE * risk_target / (sd_change * sqrt(252.0::DOUBLE)) ELSE 1 END, {CAPITAL}::DOUBLE * 2 / greatest(p.py + abs(c.beta) * p.px, 1e-12)), 0) / 10.0::DOUBLE AS scale
+ FROM cand c JOIN fd USING (fold) JOIN pp p ON p.y = c.y AND p.x = c.x AND p.t = fd.a - 1, (SELECT unnest({RISKS}::DOUBLE[]) AS risk_target)),
+w0 AS (SELECT ev.*, round(val_sharpe * sqrt(least(1, val_trades / 5.0::DOUBLE)), 9) AS val_quality FROM ev),
+w1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY val_quality DESC, y, x) AS wp FROM w0 WHERE val_sharpe >= 0 AND val_trades >= 1 AND (val_cost_share IS NULL OR val_cost_share <= 0.3) AND val_quality > 0), (SELECT unnest({KS}) AS top_k) WHERE wp <= top_k),
+w3 AS (SELECT fold, top_k, list({{'y': y, 'x': x, 'b': val_quality, 'n': test_trades}} ORDER BY val_quality DESC, y, x) AS ms FROM w1 GROUP BY ALL),
+w4 AS (WITH RECURSIVE go(fold, top_k, ms, fixed, i) AS (SELECT fold, top_k, ms, 0::BIGINT, 0 FROM w3
+ UNION ALL SELECT fold, top_k, ms, fixed + len(list_filter(ms[fixed + 1:], lambda m: (1 - fixed * 0.25::DOUBLE) * m.b >= (0.25::DOUBLE - 1e-15) * list_sum(list_transform(ms[fixed + 1:], lambda z: z.b)))), i + 1 FROM go WHERE i < 9) SELECT * FROM go WHERE i = 9),
+w5 AS (SELECT fold, top_k, u.m.y AS y, u.m.x AS x, u.m.n AS n, CASE WHEN u.k <= fixed THEN greatest(least(0.25::DOUBLE, 1 - (u.k - 1) * 0.25::DOUBLE), 0) ELSE greatest(1 - fixed * 0.25::DOUBLE, 0) * u.m.b / list_sum(list_transform(ms[fixed + 1:], lambda z: z.b)) END AS weight
+ FROM w4, LATERAL (SELECT unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS k) u),
+me AS (SELECT w5.*, risk_target, scale FROM w5 JOIN sz USING (fold, y, x)),
+pd AS (SELECT risk_target, top_k, te.fold, te.t, sum(te.r * scale * weight) AS r, sum(CASE WHEN executed <> 0 THEN weight ELSE 0 END) AS aw, count(*) FILTER (WHERE executed <> 0 AND weight > 0) AS ap FROM te JOIN me USING (fold, y, x) GROUP BY ALL),
+swc AS (SELECT * FROM (SELECT DISTINCT risk_target FROM sz), (SELECT unnest({KS}) AS top_k)), td1 AS (SELECT swc.*, fold, unnest(range(m, b)) AS t FROM fd, swc), bw AS (SELECT risk_target, top_k, fold, sum(weight) AS bw FROM me GROUP BY ALL),
+pj AS (SELECT risk_target, top_k, fold, t, date, coalesce(r, 0) AS r, coalesce(aw, 0) AS aw, coalesce(ap, 0) AS ap, coalesce(bw, 0) AS bw FROM td1 LEFT JOIN pd USING (risk_target, top_k, fold, t) LEFT JOIN bw USING (risk_target, top_k, fold) JOIN (SELECT DISTINCT t, date FROM panel) USING (t)),
+pl AS (SELECT *, sum(ln(greatest(1 + r, 1e-12::DOUBLE))) OVER w AS lg, row_number() OVER w AS pos FROM pj WINDOW w AS (PARTITION BY risk_target, top_k ORDER BY t)), pt AS (SELECT *, max(lg) OVER (PARTITION BY risk_target, top_k ORDER BY t) AS top FROM pl),
+pu AS (SELECT *, exp(lg) < exp(top) - 1e-12 AS under FROM pt), pm AS (SELECT *, CASE WHEN under THEN pos - coalesce(max(CASE WHEN NOT under THEN pos END) OVER (PARTITION BY risk_target, top_k ORDER BY t), 0) ELSE 0 END AS streak FROM pu),
+sf AS (SELECT risk_target, top_k, count(*) AS folds, avg(CASE WHEN s > 0 THEN 1.0::DOUBLE ELSE 0 END) AS good FROM (SELECT risk_target, top_k, fold, CASE WHEN var_samp(r) > 1e-24 THEN avg(r) / stddev_samp(r) END AS s FROM pj GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(f"""WITH {SWEPT} SELECT risk_target, top_k, any_value(sf.folds) AS folds, strftime(min(date), '%Y-%m-%d') AS oos_start, strftime(max(date), '%Y-%m-%d') AS oos_end, datediff('day', min(date), max(date))::INT AS oos_calendar_days, count(*) AS oos_rows, count(*) = (SELECT max(b) - min(m) FROM fd) AS oos_complete,
+ {R('CASE WHEN var_samp(r) > 1e-24 THEN avg(r) / stddev_samp(r) * sqrt(252.0::DOUBLE) END')} AS sharpe, {R('CASE WHEN count(*) FILTER (WHERE r < 0) > 0 THEN avg(r) / sqrt(avg(r * r) FILTER (WHERE r < 0)) * sqrt(252.0::DOUBLE) END')} AS sortino, {R('exp(arg_max(lg, t)) - 1')} AS total_return,
+ {R("exp(arg_max(lg, t) * 365.25::DOUBLE / datediff('day', min(date), max(date))) - 1")} AS cagr, {R('greatest(min(exp(lg - top) - 1), -1)')} AS max_drawdown, max(streak) AS max_drawdown_days, {R('stddev_samp(r) * sqrt(252.0::DOUBLE)')} AS annualized_vol, {R('avg(bw)')} AS avg_allocated_weight, {R('avg(aw)')} AS avg_active_weight,
+ {R('avg(ap)')} AS avg_active_pairs, {R('any_value(sf.good)')} AS positive_fold_fraction, coalesce((SELECT sum(n) FROM me WHERE me.risk_target = pm.risk_target AND me.top_k = pm.top_k), 0)::BIGINT AS completed_trades FROM pm JOIN sf USING (risk_target, top_k) GROUP BY risk_target, top_k""")
+def portfolio_sweep(spark, d):
+    """Continuous folds, every risk target and number of pairs: one simulation, a report a cell."""
+    panel = _clean(spark, d)
+    table = folds.of_panel(panel, "continuous")
+    chosen = _candidates(spark, d, table)
+    money = cut(folded.simulated(_z(spark, d), table, chosen, pairs.grid(spark, (1.25, 1.5, 2.0), (0.25, 0.5)), CAPITAL))
+    results = cut(folded.evaluated(money, LEAST, LEAST))
+    sizes = folded.sized(_pairs(spark, d), table, chosen, RISKS, CAPITAL)
+    daily, members = folded.swept(results, folded.held(money, results), chosen, sizes, table, KS, filters=(0.0, 1, 0.3, 5), reallocate=False)
+    out = folded.portfolio_report(daily, members, table, panel, ["risk_target", "top_k"])
+    out = out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("oos_start", "oos_end")})
+    return r6(out, "sharpe", "sortino", "total_return", "cagr", "max_drawdown", "annualized_vol", "avg_allocated_weight", "avg_active_weight", "avg_active_pairs", "positive_fold_fraction")
+
+
 # ---------------------------------------------------------------- tests of whole series
 
 def pass_rates_sql(p: str, source: str, by: str, count: int, least: str, alpha: float, y: str = "ly", x: str = "lx") -> str:

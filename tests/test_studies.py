@@ -282,6 +282,64 @@ def test_bootstrap_covers_the_sharpe(spark):
         assert got[k]["low"] < v.mean() / v.std(ddof=1) * math.sqrt(252) < got[k]["high"]
 
 
+def test_sizes_from_train_rows(spark):
+    """Risk of the spread sets the units, leverage bounds them; no variation: one unit, bounded too; prices are those of the last train row."""
+    table = folds.table(spark, [(1, 0, 3, 3, 5, 5, 8)])
+    rows = spark.createDataFrame([(y, "x", t, 10.0 * (t + 1), 5.0) for y in ("a", "b", "c") for t in range(8)], "y string, x string, t int, py double, px double")
+    chosen = spark.createDataFrame([(1, "a", "x", -2.0, 100.0), (1, "b", "x", 1.0, 1e-3), (1, "c", "x", 1.0, 0.0)], "fold int, y string, x string, beta double, sd_change double")
+    got = {(r["y"], r["risk_target"]): r["units"] for r in folded.sized(rows, table, chosen, [0.1, 0.2], 1000.0).collect()}
+    assert got["a", 0.1] == pytest.approx(1000 * 0.1 / (100 * math.sqrt(252))) and got["a", 0.2] == pytest.approx(2 * got["a", 0.1])
+    assert got["b", 0.1] == got["b", 0.2] == pytest.approx(2000 / 35) and got["c", 0.1] == 1.0
+
+
+def test_report_of_cells_and_its_coverage(spark):
+    """Two cells over two folds against a loop; a missing day fails the job, or is reported where gaps are allowed."""
+    import datetime
+
+    table = folds.table(spark, [(1, 0, 2, 2, 4, 4, 7), (2, 0, 4, 4, 7, 7, 10)])
+    r = {1: [0.01, -0.02, 0.005, 0.0, -0.01, 0.02], 2: [0.02, 0.01, 0.0, 0.0, 0.03, 0.01]}
+    daily = [(c, 1 if i < 3 else 2, 4 + i, v, 0.5, 1, 0.8) for c, vs in r.items() for i, v in enumerate(vs)] + [(c, 2, 6, 9.0, 0.5, 1, 0.8) for c in r]  # day 6 counts in fold 1
+    daily = spark.createDataFrame(daily, "cell int, fold int, t int, r double, active_weight double, active_pairs int, base_weight double")
+    dates = spark.createDataFrame([(t, datetime.date(2020, 1, 1) + datetime.timedelta(2 * t)) for t in range(12)], "t int, date date")
+    members = spark.createDataFrame([(1, 3), (1, 4)], "cell int, test_trades int")
+    got = {x["cell"]: x for x in folded.portfolio_report(daily, members, table, dates, ["cell"]).collect()}
+    for c, vs in r.items():
+        v = np.array(vs)
+        eq = np.cumprod(1 + v)
+        down, top = v[v < 0], np.maximum.accumulate(eq)
+        longest = run = 0
+        for under in eq < top - 1e-12:
+            run = run + 1 if under else 0
+            longest = max(longest, run)
+        x = got[c]
+        assert (x["oos_rows"], x["oos_calendar_days"], x["oos_complete"], x["max_drawdown_days"], x["completed_trades"]) == (6, 10, True, longest, 7 if c == 1 else 0)
+        assert x["total_return"] == pytest.approx(eq[-1] - 1) and x["max_drawdown"] == pytest.approx((eq / top - 1).min()) and x["annualized_vol"] == pytest.approx(v.std(ddof=1) * math.sqrt(252))
+        assert x["cagr"] == pytest.approx(eq[-1] ** (365.25 / 10) - 1) and x["sharpe"] == pytest.approx(v.mean() / v.std(ddof=1) * math.sqrt(252))
+        assert x["sortino"] == (pytest.approx(v.mean() / math.sqrt((down**2).mean()) * math.sqrt(252)) if len(down) else math.inf)
+    gap = daily.filter("t <> 5")
+    with pytest.raises(Exception, match="not covered: 5 of 6"):
+        folded.portfolio_report(gap, members, table, dates, ["cell"]).collect()
+    assert {x["oos_complete"] for x in folded.portfolio_report(gap, members, table, dates, ["cell"], complete=False).collect()} == {False}
+
+
+def test_cells_of_a_sweep_scale_the_same_money(spark):
+    """Twice the risk is twice the return of a day, more pairs are more members; reallocation keeps within its caps."""
+    table = folds.table(spark, [(1, 0, 2, 2, 4, 4, 6)])
+    results = spark.createDataFrame([(1, y, "x", s, 4, 0.1, 3) for y, s in (("a", 2.0), ("b", 1.5), ("c", 1.0))], "fold int, y string, x string, val_sharpe double, val_trades int, val_cost_share double, test_trades int")
+    chosen = spark.createDataFrame([(1, y, "x", 1.0) for y in "abc"], "fold int, y string, x string, sd_change double")
+    test = spark.createDataFrame([(1, y, "x", t, 0.01 * (i + 1), int(t == 4 or i == 0)) for i, y in enumerate("abc") for t in (4, 5)], "fold int, y string, x string, t int, r double, executed int")
+    sizes = spark.createDataFrame([(1, y, "x", risk, 10.0 * k) for y in "abc" for risk, k in ((0.1, 1), (0.2, 2))], "fold int, y string, x string, risk_target double, units double")
+    daily, members = folded.swept(results, test, chosen, sizes, table, [1, 3], "equal", 0.4, filters=(0.0, 1, 0.3, 5), reallocate=False)
+    got = {(x["risk_target"], x["top_k"], x["t"]): x["r"] for x in daily.collect()}
+    assert len(got) == 8 and members.count() == 8
+    assert got[0.1, 1, 4] == pytest.approx(0.01 * 0.4) and got[0.1, 3, 4] == pytest.approx(0.02) and got[0.2, 3, 5] == pytest.approx(0.04)
+    daily, _ = folded.swept(results, test, chosen, sizes, table, [1, 3], "equal", 0.4, filters=(0.0, 1, 0.3, 5))
+    weights = {(x["risk_target"], x["top_k"], x["t"]): x["active_weight"] for x in daily.collect()}
+    # one pair is active on day 5: it takes its cap, and what is left goes to the idle ones in equal parts (see capped)
+    assert weights[0.1, 3, 5] == pytest.approx(1.0) and weights[0.1, 3, 4] == pytest.approx(1.0)
+    assert {(x["risk_target"], x["top_k"], x["t"]): x["r"] for x in daily.collect()}[0.1, 3, 5] == pytest.approx(0.5 * 0.01 + 0.25 * 0.02 + 0.25 * 0.03)
+
+
 def test_reallocated_portfolio(spark):
     test = spark.createDataFrame([(1, "a", "b", 5, 0.02, 1), (1, "c", "d", 5, 0.01, 0), (1, "a", "b", 6, 0.02, 1), (1, "c", "d", 6, -0.01, 1)], "fold int, y string, x string, t int, r double, executed int")
     weights = spark.createDataFrame([(1, "a", "b", 0.25), (1, "c", "d", 0.25)], "fold int, y string, x string, weight double")
