@@ -7,7 +7,7 @@ from spreadworks.operators import clean
 from spreadworks.sources import panel as sources
 
 
-@pytest.mark.parametrize("name", ["rescreen_daily", "portfolio_sweep"])
+@pytest.mark.parametrize("name", ["rescreen_daily", "portfolio_sweep", "pair_evidence"])
 def test_line_items_are_read_once(spark, name, monkeypatch):
     """A query takes its panel from the line items one time, as a written table: what it returns does not go back to them."""
     calls, of_sales = [], sources.sales_panel
