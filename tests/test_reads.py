@@ -25,3 +25,21 @@ def test_the_cut_panel_is_the_cleaned_one(spark):
     want = clean.clean(sources.sales_panel(spark, SF))
     got = q._clean(spark, SF)
     assert got.inputFiles() == [] and got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+
+
+class _First(Exception):
+    """The first frame that a query cuts."""
+
+
+@pytest.mark.parametrize("name", ["portfolio_sweep"])
+def test_line_items_cost_plain_arithmetic(spark, name, monkeypatch):
+    """For each line item no decimal is made and no time zone asked: both cost more than the rest of the step."""
+
+    def first(df):
+        raise _First(df)
+
+    monkeypatch.setattr(q, "cut", first)
+    with pytest.raises(_First) as found:
+        q.QUERIES[name](spark, SF)
+    plan = found.value.args[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" in plan and not [f for f in ("round(", "date_trunc(", "as timestamp") if f in plan]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from spreadworks.operators import clean
 from spreadworks.sources import panel
@@ -107,3 +108,33 @@ def test_bars_stream_like_a_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(repr, spark.table("bars").collect())) == sorted(map(repr, bars(events, "1 day").collect()))
+
+
+@pytest.fixture
+def sales(spark, tmp_path):
+    def f(items):
+        spark.createDataFrame([(1, "Brand#11")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+        rows = spark.createDataFrame(items, "day string, l_extendedprice double, l_quantity double")
+        rows = rows.selectExpr("1L AS l_partkey", "l_quantity", "l_extendedprice", "CAST(day AS timestamp_ntz) AS l_shipdate")
+        rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+        return str(tmp_path)
+
+    return f
+
+
+def test_the_date_of_a_sale_has_no_time_zone(spark, sales):
+    """Kiritimati left out 1994-12-31; a sale of that day is one of December all the same."""
+    d, zone = sales([("1994-12-31 00:00:00", 1.0, 1.0), ("1994-12-31 23:59:59", 3.0, 1.0)]), spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Pacific/Kiritimati")
+    try:
+        got = {p: [(str(r["date"]), r["close"]) for r in panel.sales_panel(spark, d, p).collect()] for p in ("day", "week", "month", "quarter", "year")}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == {p: [(day, 2.0)] for p, day in {"day": "1994-12-31", "week": "1994-12-26", "month": "1994-12-01", "quarter": "1994-10-01", "year": "1994-01-01"}.items()}
+
+
+def test_cents_are_those_of_round(spark):
+    """Halves go away from zero, neighbours of a half do not, large and missing values stay."""
+    odd = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.49999999999999994, 1234567.4999999998, 4503599627370497.0, -9007199254740993.0, 1e18, 33.33 * 100, 1.005 * 100, 1.115 * 100, None]
+    rows = spark.createDataFrame([(x,) for x in odd], "x double").select(panel.whole(F.col("x")).alias("got"), F.round("x").cast("long").alias("want"), "x").collect()
+    assert [r for r in rows if r["got"] != r["want"]] == [] and rows[2]["got"] == 1 and rows[6]["got"] == -3 and rows[-1]["got"] is None
