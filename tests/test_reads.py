@@ -31,7 +31,7 @@ class _First(Exception):
     """The first frame that a query cuts."""
 
 
-@pytest.mark.parametrize("name", ["portfolio_sweep"])
+@pytest.mark.parametrize("name", ["portfolio_sweep", "pair_evidence"])
 def test_line_items_cost_plain_arithmetic(spark, name, monkeypatch):
     """For each line item no decimal is made and no time zone asked: both cost more than the rest of the step."""
 
