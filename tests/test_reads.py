@@ -43,3 +43,16 @@ def test_line_items_cost_plain_arithmetic(spark, name, monkeypatch):
         q.QUERIES[name](spark, SF)
     plan = found.value.args[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "l_extendedprice" in plan and not [f for f in ("round(", "date_trunc(", "as timestamp") if f in plan]
+
+
+def test_line_items_are_not_sorted_to_meet_many_parts(spark, monkeypatch):
+    """Parts too many for a broadcast are hashed task by task; more than a task may hold are merged."""
+
+    def plan():
+        return sources.sales_panel(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+    want = sorted(sources.sales_panel(spark, SF).collect())
+    monkeypatch.setattr(sources, "MANY_PARTS", 0)
+    assert "ShuffledHashJoin" in plan() and sorted(sources.sales_panel(spark, SF).collect()) == want
+    monkeypatch.setattr(sources, "PARTS_A_TASK", 1)
+    assert "ShuffledHashJoin" not in plan()
